@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from duoscreen.catalog import screens  # noqa: F401
+from duoscreen.catalog import scores, screens  # noqa: F401
 from duoscreen.catalog.base import QUERIES  # noqa: F401

@@ -47,7 +47,7 @@ def cte(name: str, sql: str) -> None:
 
 
 def _needed(sql: str, found: list[str]) -> None:
-    for word in re.findall(r"[a-z_][a-z0-9_]*", sql):
+    for word in re.findall(r"(?:FROM|JOIN)\s+([a-z_][a-z0-9_]*)", sql):
         if word in CTES and word not in found:
             _needed(CTES[word], found)
             if word not in found:

@@ -8,6 +8,7 @@ from duoscreen.catalog.base import cte, query
 from duoscreen.functions import labels, packed
 from duoscreen.operators import filters, normalize, reshape, stats
 from duoscreen.screen import CONSTRUCT, Layout
+from duoscreen.session import stage
 from duoscreen.sources.lineitem_screen import (
     ESSENTIALS,
     LAYOUT,
@@ -82,6 +83,11 @@ def _screen(spark, d):
     return screen_from_lineitem(spark, d)
 
 
+def _stored(spark, d):
+    """The screen as a stored table, as a library would be, for scores that read it several times."""
+    return stage(_screen(spark, d), "screen")
+
+
 def _union(template: str, columns) -> str:
     return " UNION ALL ".join(template.format(c=c) for c in columns)
 

@@ -11,36 +11,43 @@ from duoscreen.operators.ordered import HOT_ROWS, grouped_median
 from duoscreen.screen import GENE1, GENE2, GUIDE1, GUIDE2, Layout
 
 
-def column_totals(df: DataFrame, columns: Sequence[str], fn=F.sum) -> Column:
-    """One struct with an aggregate of each column, as a scalar subquery: no join and no window over everything."""
-    return df.agg(F.struct(*[fn(F.col(c)).alias(c) for c in columns]).alias("totals")).scalar()
+def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
+    """Put the only row of ``row`` on every row of ``df`` as a struct column.
 
+    A scalar subquery in a projection of its own: no join, no window over everything, and one subquery however
+    often its fields are used.
+    """
+    return df.withColumn(name, row.select(F.struct(*row.columns).alias(name)).scalar())
+
+
+def with_totals(df: DataFrame, columns: Sequence[str], fn=F.sum, name: str = "_totals") -> DataFrame:
+    """An aggregate of each column over the whole table, as a struct column."""
+    return with_row(df, df.agg(*[fn(F.col(c)).alias(c) for c in columns]), name)
 
-def rpm(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
-    """Reads per million of each column."""
-    totals = column_totals(df, columns)
-    return {c: F.try_divide(F.col(c) * 1e6, totals[c]) for c in columns}
+
+def rpm(column: str, totals: str = "_totals") -> Column:
+    """Reads per million of a column."""
+    return F.try_divide(F.col(column) * 1e6, F.col(f"{totals}.{column}"))
 
 
 def mask_low_pool(df: DataFrame, layout: Layout, threshold: float = 2.0) -> DataFrame:
     """Null out the columns of a cell line where its early pool has fewer reads per million (F1)."""
-    level = rpm(df, layout.early)
     masked = {}
     for sample, cols in layout.samples.items():
-        low = level[layout.t0_of(sample)] < threshold
+        low = rpm(layout.t0_of(sample)) < threshold
         for c in [*cols, *[layout.mid[c] for c in cols if c in layout.mid]]:
             masked[c] = F.when(~low, F.col(c))
     for c in layout.early:
-        masked[c] = F.when(~(level[c] < threshold), F.col(c))
-    return df.withColumns(masked)
+        masked[c] = F.when(~(rpm(c) < threshold), F.col(c))
+    return with_totals(df, layout.early).withColumns(masked).drop("_totals")
 
 
 def drop_low_pool(df: DataFrame, layout: Layout, threshold: float = 2.0) -> DataFrame:
     """Drop constructs whose early pool has fewer reads per million in any early column (F2)."""
     keep = F.lit(True)
-    for level in rpm(df, layout.early).values():
-        keep = keep & (level >= threshold)
-    return df.where(keep)
+    for c in layout.early:
+        keep = keep & (rpm(c) >= threshold)
+    return with_totals(df, layout.early).where(keep).drop("_totals")
 
 
 def mask_zero_points(df: DataFrame, layout: Layout) -> DataFrame:

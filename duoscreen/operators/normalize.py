@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duoscreen.functions.labels import gene_ordered_guides
-from duoscreen.operators.filters import column_totals
+from duoscreen.operators.filters import with_row, with_totals
 from duoscreen.operators.ordered import exact_quantiles
 from duoscreen.screen import CONSTRUCT, GENE1, GENE2, Layout
 
@@ -38,8 +38,8 @@ def to_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str
 
 def mean_scaled(df: DataFrame, columns: Sequence[str], pseudo: float = 5.0, target: float = 500.0) -> DataFrame:
     """Scale each column to a mean of ``target`` after adding a pseudo count."""
-    means = column_totals(df, columns, lambda c: F.avg(c + pseudo))
-    return df.withColumns({c: (F.col(c) + pseudo) / means[c] * target for c in columns})
+    scaled = {c: (F.col(c) + pseudo) / F.col(f"_means.{c}") * target for c in columns}
+    return with_totals(df, columns, lambda c: F.avg(c + pseudo), "_means").withColumns(scaled).drop("_means")
 
 
 def log_ratio(late: Column, early: Column, base: float | None = 2.0) -> Column:
@@ -69,25 +69,32 @@ def fitness_fold_change(
     late, early = layout.late, {c: layout.t0_for(c) for c in layout.late}
     present = {c: F.col(c).isNotNull() & F.col(early[c]).isNotNull() for c in late}
     sums = df.agg(
-        F.struct(
-            *[F.sum(F.when(present[c], F.col(early[c]) + pseudo)).alias(f"s_{c}") for c in late],
-            *[F.sum(F.when(present[c], F.col(c) + pseudo)).alias(f"e_{c}") for c in late],
-        ).alias("sums")
-    ).scalar()
-    raw = df.withColumns(
-        {
-            c: F.log2(
-                (F.col(c) + pseudo) / (F.col(early[c]) + pseudo) / F.try_divide(sums[f"s_{c}"], sums[f"e_{c}"])
-            )
-            for c in late
-        }
+        *[F.sum(F.when(present[c], F.col(early[c]) + pseudo)).alias(f"s_{c}") for c in late],
+        *[F.sum(F.when(present[c], F.col(c) + pseudo)).alias(f"e_{c}") for c in late],
+    )
+    raw = (
+        with_row(df, sums, "_sums")
+        .withColumns(
+            {
+                c: F.log2(
+                    (F.col(c) + pseudo)
+                    / (F.col(early[c]) + pseudo)
+                    / F.try_divide(F.col(f"_sums.s_{c}"), F.col(f"_sums.e_{c}"))
+                )
+                for c in late
+            }
+        )
+        .drop("_sums")
     )
     controls = to_long(raw.where(control).select(*late), [], late, "rep", "value")
-    medians = exact_quantiles(controls, ["rep"], "value", {"median": 0.5})
-    centre = medians.agg(
-        F.struct(*[F.max(F.when(F.col("rep") == c, F.col("median"))).alias(c) for c in late]).alias("centre")
-    ).scalar()
-    return raw.withColumns({c: (F.col(c) - F.coalesce(centre[c], F.lit(0.0))) / doublings for c in late})
+    centre = replicate_row(exact_quantiles(controls, ["rep"], "value", {"median": 0.5}), late, "median")
+    centred = {c: (F.col(c) - F.coalesce(F.col(f"_centre.{c}"), F.lit(0.0))) / doublings for c in late}
+    return with_row(raw, centre, "_centre").withColumns(centred).drop("_centre")
+
+
+def replicate_row(long: DataFrame, reps: Sequence[str], value: str) -> DataFrame:
+    """A table of one value per replicate as one row with a column per replicate."""
+    return long.agg(*[F.max(F.when(F.col("rep") == c, F.col(value))).alias(c) for c in reps])
 
 
 def orientation_average(df: DataFrame, columns: Sequence[str], suffix: str = "_abba") -> DataFrame:
@@ -102,21 +109,15 @@ def average_sides(df: DataFrame, early: Sequence[str], late: Sequence[str], name
     return df.withColumns({names[0]: row_mean(early), names[1]: row_mean(late)})
 
 
-def log_counts(column: str, total: Column, scale: float = 1e6, pseudo: float = 1.0) -> Column:
+def log_counts(column: str, scale: float = 1e6, pseudo: float = 1.0) -> Column:
     """Depth-scaled log2 counts."""
-    return F.log2(F.col(column) / total * scale + pseudo)
+    return F.log2(F.col(column) / F.col(f"_totals.{column}") * scale + pseudo)
 
 
 def depth_normalised_fold_change(df: DataFrame, layout: Layout, scale: float = 1e6, pseudo: float = 1.0) -> DataFrame:
     """Depth-scaled log2 counts of each late replicate minus those of its early column."""
-    totals = column_totals(df, [*layout.late, *layout.early])
-    return df.withColumns(
-        {
-            c: log_counts(c, totals[c], scale, pseudo)
-            - log_counts(layout.t0_for(c), totals[layout.t0_for(c)], scale, pseudo)
-            for c in layout.late
-        }
-    )
+    changes = {c: log_counts(c, scale, pseudo) - log_counts(layout.t0_for(c), scale, pseudo) for c in layout.late}
+    return with_totals(df, [*layout.late, *layout.early]).withColumns(changes).drop("_totals")
 
 
 def median_normalised_fold_change(df: DataFrame, layout: Layout, constant: float = 32.0) -> DataFrame:
@@ -124,15 +125,12 @@ def median_normalised_fold_change(df: DataFrame, layout: Layout, constant: float
     columns = [*layout.late, *layout.early]
     logged = df.withColumns({c: F.log2(F.col(c) + constant) for c in columns})
     medians = exact_quantiles(to_long(logged.select(*columns), [], columns, "rep", "v"), ["rep"], "v", {"m": 0.5})
-    centre = medians.agg(
-        F.struct(*[F.max(F.when(F.col("rep") == c, F.col("m"))).alias(c) for c in columns]).alias("centre")
-    ).scalar()
-    return logged.withColumns(
-        {
-            c: (F.col(c) - centre[c]) - (F.col(layout.t0_for(c)) - centre[layout.t0_for(c)])
-            for c in layout.late
-        }
-    )
+
+    def centred(c: str) -> Column:
+        return F.col(c) - F.col(f"_centre.{c}")
+
+    changes = {c: centred(c) - centred(layout.t0_for(c)) for c in layout.late}
+    return with_row(logged, replicate_row(medians, columns, "m"), "_centre").withColumns(changes).drop("_centre")
 
 
 def control_scaled(long: DataFrame, value: str = "lfc", by: str = "rep", cls: str = "target_class") -> DataFrame:

@@ -9,6 +9,7 @@ from duoscreen.operators.effects import delta_effects
 from duoscreen.operators.normalize import fold_changes, mean_scaled, row_mean, to_long
 from duoscreen.operators.stats import trimmed_z
 from duoscreen.screen import CONSTRUCT, Layout
+from duoscreen.session import stage
 
 
 def sample_fold_changes(screen: DataFrame, layout: Layout, pseudo: float = 5.0) -> DataFrame:
@@ -23,14 +24,17 @@ def sample_fold_changes(screen: DataFrame, layout: Layout, pseudo: float = 5.0)
 
 
 def zdlfc(screen: DataFrame, layout: Layout, positions: str = "left", pseudo: float = 5.0) -> DataFrame:
-    """``(gene_pair, sample, dlfc, zdlfc)`` for every pair whose two genes have a single effect."""
-    long = sample_fold_changes(screen, layout, pseudo)
+    """``(gene_pair, sample, dlfc, zdlfc)`` for every pair whose two genes have a single effect.
+
+    Fold changes are written once for the single effects and the pair medians to read, and so are the pair effects
+    for the percentiles, the moments and the scores.
+    """
+    long = stage(sample_fold_changes(screen, layout, pseudo), "fold-changes")
     delta = delta_effects(long, layout.control, "lfc", positions).where(F.col("dlfc").isNotNull())
-    return trimmed_z(delta.select("gene_pair", "sample", "dlfc"), "dlfc")
+    return trimmed_z(stage(delta.select("gene_pair", "sample", "dlfc"), "pair-effects"), "dlfc")
 
 
-def unscored_pairs(screen: DataFrame, layout: Layout, positions: str = "left") -> DataFrame:
+def unscored(long: DataFrame, layout: Layout, positions: str = "left") -> DataFrame:
     """Pairs without a score because one of their genes has no construct with a control (audit)."""
-    long = sample_fold_changes(screen, layout)
     delta = delta_effects(long, layout.control, "lfc", positions)
     return delta.where(F.col("dlfc").isNull()).select("gene_pair", "sample", "pair_median")

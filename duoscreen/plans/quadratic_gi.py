@@ -27,10 +27,11 @@ def construct_phenotypes(
     screen: DataFrame, layout: Layout, threshold: float = 35.0, pseudo: float = 10.0
 ) -> DataFrame:
     """Phenotype of each construct by cell line, averaged over orientations: ``(construct, arity, sample, fc)``."""
-    df = mask_low_count_guides(screen, layout.late, threshold)
+    df = screen if threshold <= 0 else stage(mask_low_count_guides(screen, layout.late, threshold), "masked-screen")
     df = df.withColumn("arity", same_gene_is_dual(target_arity(layout.control)))
     df = fitness_fold_change(df, layout, F.col("arity") == "Control", pseudo)
-    df = df.withColumns({s: row_mean_complete(cols) for s, cols in layout.samples.items()})
+    means = {s: row_mean_complete(cols) for s, cols in layout.samples.items()}
+    df = stage(df.withColumns(means).select(*CONSTRUCT, "arity", *layout.samples), "fitness")
     df = orientation_average(df, list(layout.samples))
     averaged = df.select(*CONSTRUCT, "arity", *[F.col(f"{s}_abba").alias(s) for s in layout.samples])
     return to_long(averaged, [*CONSTRUCT, "arity"], list(layout.samples), "sample", "fc").where(
@@ -63,24 +64,37 @@ def attach_phenotypes(long: DataFrame, phenotypes: DataFrame) -> DataFrame:
     return long
 
 
-def query_residuals(
-    long: DataFrame, query: str, partner_gene: str, x: str, offset: str, control: str, name: str
-) -> DataFrame:
-    """Residual of each construct from its query guide's curve, in units of the guide's control residuals.
+# The two fits: name, query guide, gene on the other position, its phenotype (x) and the query's own (offset).
+FITS = (
+    ("score_a", GUIDE2, GENE1, "pheno1", "pheno2"),
+    ("score_b", GUIDE1, GENE2, "pheno2", "pheno1"),
+)
+
 
-    The query guide may be in a large part of all constructs: fits are plain sums with partial aggregation, and
-    the joins back have one row per guide on the other side, which skew handling can split.
+def query_residuals(df: DataFrame) -> DataFrame:
+    """Residual of each construct from the curve of its guide at position 2 and at position 1.
+
+    A query guide may be in a large part of all constructs: fits are plain sums with partial aggregation, and the
+    joins back have one row per guide on the other side, which skew handling can split.
     """
-    key = ["sample", query]
-    fit = quadratic_fit(long, key, F.col(x), F.col("fc"), F.col(offset))
-    curve = F.col("m0") * F.col(x) * F.col(x) + F.col("m1") * F.col(x) + F.col(offset)
-    raw = long.join(fit, key).withColumn(name, F.col("fc") - curve).drop("m0", "m1")
-    spread = raw.where(F.col(partner_gene) == control).groupBy(*key).agg(F.stddev_pop(name).alias("_sd"))
-    return (
-        raw.join(spread, key, "left")
-        .withColumn(name, F.col(name) / F.coalesce(F.nullif(F.col("_sd"), F.lit(0.0)), F.lit(1.0)))
-        .drop("_sd")
-    )
+    out = df
+    for name, query, _, x, offset in FITS:
+        fit = quadratic_fit(df, ["sample", query], F.col(x), F.col("fc"), F.col(offset))
+        curve = F.col("m0") * F.col(x) * F.col(x) + F.col("m1") * F.col(x) + F.col(offset)
+        out = out.join(fit, ["sample", query]).withColumn(name, F.col("fc") - curve).drop("m0", "m1")
+    return out
+
+
+def in_control_units(residuals: DataFrame, control: str) -> DataFrame:
+    """Residuals over the population sd of the query guide's control residuals, where there are any."""
+    out = residuals
+    for name, query, partner, _, _ in FITS:
+        spread = (
+            residuals.where(F.col(partner) == control).groupBy("sample", query).agg(F.stddev_pop(name).alias("_sd"))
+        )
+        unit = F.coalesce(F.nullif(F.col("_sd"), F.lit(0.0)), F.lit(1.0))
+        out = out.join(spread, ["sample", query], "left").withColumn(name, F.col(name) / unit).drop("_sd")
+    return out
 
 
 def toward_zero(value):
@@ -93,9 +107,8 @@ def construct_gi(long: DataFrame, control: str, truncate_first: bool = True) ->
     A construct present in one orientation only keeps half of its weight. ``truncate_first`` cuts the residuals of
     the first fit to whole numbers.
     """
-    df = attach_phenotypes(long, guide_phenotypes(long, control))
-    df = query_residuals(df, GUIDE2, GENE1, "pheno1", "pheno2", control, "score_a")
-    df = query_residuals(df, GUIDE1, GENE2, "pheno2", "pheno1", control, "score_b")
+    df = stage(attach_phenotypes(long, guide_phenotypes(long, control)), "guide-phenotypes")
+    df = in_control_units(stage(query_residuals(df), "residuals"), control)
     if truncate_first:
         df = df.withColumn("score_a", toward_zero(F.col("score_a")))
     unordered = Window.partitionBy("sample", F.least(GUIDE1, GUIDE2), F.greatest(GUIDE1, GUIDE2))

@@ -24,12 +24,11 @@ from duoscreen.operators.filters import drop_low_pool, drop_missing, mask_low_po
 from duoscreen.operators.normalize import (
     attach_expression,
     construct_long,
-    control_scaled,
     fold_changes,
     sample_means,
-    unexpressed_recentred,
+    unexpressed_groups,
 )
-from duoscreen.operators.ordered import bh_fdr
+from duoscreen.operators.ordered import bh_fdr, exact_quantiles
 from duoscreen.operators.reshape import widen
 from duoscreen.operators.stats import line_fit, moments, welch, with_t_p
 from duoscreen.screen import GENE1, GENE2, GUIDE1, GUIDE2, Layout
@@ -87,13 +86,37 @@ def long_fold_changes(screen: DataFrame, layout: Layout, essentials: DataFrame,
 
 
 def crispr_scores(long: DataFrame, expression: DataFrame, layout: Layout, options: Options) -> DataFrame:
-    """Fold changes scaled by controls and centred on unexpressed genes: adds ``crispr_score``."""
+    """Fold changes scaled by controls and centred on unexpressed genes: adds ``crispr_score``.
+
+    Scaling is the same linear map for all rows of a replicate, so the medians of the scaled values follow from
+    those of the raw ones. All four medians of a replicate come from one pass over the fold changes.
+    """
+    flagged = attach_expression(long, expression, layout.control)
+    group, reference = unexpressed_groups(layout.control)
+    flagged = stage(flagged.withColumn("_group", group).withColumn("_reference", reference), "flagged")
+    roles = F.array_compact(
+        F.array(
+            F.when(F.col("target_class").isin("NC", "PC"), F.col("target_class")),
+            F.when(F.col("_reference"), F.col("_group")),
+        )
+    )
+    members = flagged.select("rep", "lfc", F.explode(roles).alias("_role"))
+    medians = exact_quantiles(members, ["rep", "_role"], "lfc", {"_m": 0.5})
+    names = ["NC", "PC", "single", "double"]
+    per_rep = medians.groupBy("rep").agg(*[F.max(F.when(F.col("_role") == n, F.col("_m"))).alias(f"_{n}") for n in names])
     if options.scale_controls:
-        scaled = control_scaled(long)
+        def scaled(c):
+            return F.try_divide(c - F.col("_NC"), F.col("_NC") - F.col("_PC"))
     else:
-        scaled = long.withColumn("lfc_scaled", F.col("lfc"))
-    flagged = attach_expression(scaled, expression, layout.control)
-    return unexpressed_recentred(flagged, layout.control)
+        def scaled(c):
+            return c
+    centre = F.when(F.col("_group") == "single", F.col("_single")).when(F.col("_group") == "double", F.col("_double"))
+    own = scaled(F.col("lfc"))
+    return (
+        flagged.join(F.broadcast(per_rep), "rep", "left")
+        .withColumn("crispr_score", F.when(F.col("_group") == "control", own).otherwise(own - scaled(centre)))
+        .drop("_group", "_reference", *[f"_{n}" for n in names])
+    )
 
 
 def single_constructs(scores: DataFrame, control: str) -> DataFrame:
@@ -263,7 +286,7 @@ def pair_tests(doubles_gi: DataFrame, singles_gi: DataFrame) -> DataFrame:
     """Welch t, p-value and FDR of each pair's residuals against the single residuals."""
     pairs = moments(doubles_gi, ["rep", PAIR], "gi_score", "pair")
     tested = pairs.join(F.broadcast(single_pool(singles_gi)), "rep", "left").withColumns(welch("pool", "pair"))
-    return bh_fdr(with_t_p(tested), ["rep"], "p_val", "fdr")
+    return bh_fdr(stage(with_t_p(tested), "pair-tests"), ["rep"], "p_val", "fdr")
 
 
 def pair_scores(doubles_gi: DataFrame, singles_gi: DataFrame) -> DataFrame:
@@ -290,19 +313,24 @@ def pair_scores(doubles_gi: DataFrame, singles_gi: DataFrame) -> DataFrame:
     return doubles.unionByName(singles)
 
 
+def residuals(scores: DataFrame, layout: Layout, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """Residuals of double constructs and of single constructs; ``scores`` should be a stored table.
+
+    The sums over single constructs and the double residuals are written once, because several passes read them.
+    """
+    singles = stage(single_expected(scores, layout.control, options.expected), "single-sums")
+    fit = single_fit(singles)
+    doubles = stage(double_gi(double_expected(scores, layout.control), fit), "double-residuals")
+    return doubles, single_gi(singles, fit)
+
+
 def regression_gi(
     screen: DataFrame, layout: Layout, essentials: DataFrame, expression: DataFrame, options: Options = Options()
 ) -> DataFrame:
     """Pair scores by replicate. The score table is written once, because five later passes read it."""
     long = long_fold_changes(screen, layout, essentials, options)
     scores = stage(crispr_scores(long, expression, layout, options), "crispr-scores")
-    return scores_to_pairs(scores, layout, options)
-
-
-def scores_to_pairs(scores: DataFrame, layout: Layout, options: Options = Options()) -> DataFrame:
-    singles = single_expected(scores, layout.control, options.expected)
-    fit = single_fit(singles)
-    return pair_scores(double_gi(double_expected(scores, layout.control), fit), single_gi(singles, fit))
+    return pair_scores(*residuals(scores, layout, options))
 
 
 def wide_pairs(pairs: DataFrame, layout: Layout) -> DataFrame:

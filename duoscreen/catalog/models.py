@@ -99,7 +99,7 @@ cte(
 
 
 def _mlong(spark, d):
-    return stage(mod.screen_fold_changes(_stored(spark, d), LAYOUT), "fold-changes")
+    return stage(mod.screen_fold_changes(_screen(spark, d), LAYOUT), "fold-changes")
 
 
 @query("depth_lfc", f"SELECT {IDS}, {', '.join(LATE)} FROM mnorm", LATE)
@@ -131,7 +131,7 @@ _M = ["mean_observed", "mean_expected", "effect", "t", "df", "p_val", "fdr"]
 
 @query("moderated_pairs", f"SELECT sample, gene_pair, n, {', '.join(_M)}, call FROM mfdr", _M)
 def moderated_pairs(spark, d):
-    df = mod.moderated_gi(_stored(spark, d), LAYOUT, [CONTROL])
+    df = mod.moderated_gi(_screen(spark, d), LAYOUT, [CONTROL])
     return df.select("sample", "gene_pair", "n", *_M, "call")
 
 

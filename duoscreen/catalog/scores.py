@@ -100,7 +100,7 @@ def dlfc(spark, d):
 
 @query("zdlfc", "SELECT * FROM zd", ["dlfc", "zdlfc"])
 def zdlfc(spark, d):
-    return delta_lfc.zdlfc(_stored(spark, d), LAYOUT)
+    return delta_lfc.zdlfc(_screen(spark, d), LAYOUT)
 
 
 @query(
@@ -508,14 +508,18 @@ def welch_p(spark, d):
     return reg.pair_tests(*_residuals(spark, d)).select("rep", "paralog_pair", "p_val")
 
 
-@query("bh_fdr", "SELECT rep, paralog_pair, p_val, fdr FROM rfdr", ["p_val", "fdr"])
+@query(
+    "bh_fdr",
+    "SELECT p.rep, p.paralog_pair, p.p_val, fdr FROM rp p LEFT JOIN rfdr f ON p.rep = f.rep AND p.paralog_pair = f.paralog_pair",
+    ["p_val", "fdr"],
+)
 def pair_fdr(spark, d):
     return reg.pair_tests(*_residuals(spark, d)).select("rep", "paralog_pair", "p_val", "fdr")
 
 
 @query("regression_pairs", "SELECT * FROM rpairs", ["mean_observed", "mean_expected", "mean_gi", "p_val", "fdr"])
 def regression_pairs(spark, d):
-    return reg.regression_gi(_stored(spark, d), LAYOUT, essentials(spark, d), expression(spark, d), OPTIONS)
+    return reg.regression_gi(_screen(spark, d), LAYOUT, essentials(spark, d), expression(spark, d), OPTIONS)
 
 
 @query(
@@ -531,7 +535,7 @@ def regression_pairs(spark, d):
     [f"{out}_{s}" for out in ("gi", "fdr", "p_val") for s in LINES],
 )
 def regression_wide(spark, d):
-    pairs = reg.regression_gi(_stored(spark, d), LAYOUT, essentials(spark, d), expression(spark, d), OPTIONS)
+    pairs = reg.regression_gi(_screen(spark, d), LAYOUT, essentials(spark, d), expression(spark, d), OPTIONS)
     return reg.wide_pairs(pairs, LAYOUT)
 
 
@@ -570,7 +574,7 @@ cte(
     ["mean_observed", "mean_expected", "mean_gi"],
 )
 def observed_mode_gi(spark, d):
-    pairs = reg.regression_gi(_stored(spark, d), LAYOUT, essentials(spark, d), expression(spark, d), OBSERVED)
+    pairs = reg.regression_gi(_screen(spark, d), LAYOUT, essentials(spark, d), expression(spark, d), OBSERVED)
     double = pairs.where(F.col("broad_class") == "double")
     return double.select("rep", "paralog_pair", "mean_observed", "mean_expected", "mean_gi")
 

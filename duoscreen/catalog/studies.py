@@ -21,7 +21,7 @@ cte(
     " UNION ALL ".join(
         f"""SELECT lower(guide1) AS guide_1, lower(guide2) AS guide_2, lower(gene1) AS gene_1, lower(gene2) AS gene_2,
           concat_ws(';', t0, {s.lower()}_a, {s.lower()}_n, {s.lower()}_r) AS count_replicates, '{s.lower()}' AS cell_line_origin,
-          'lines' AS study_origin, CASE WHEN t0 < 100 THEN 'T0;A' ELSE 'T0;A;N;R' END AS study_conditions FROM screen"""
+          'lines' AS study_origin, CASE WHEN t0 % 7 = 0 THEN 'T0;A' ELSE 'T0;A;N;R' END AS study_conditions FROM screen"""
         for s in LINES
     ),
 )
@@ -56,7 +56,7 @@ def _counts(spark, d):
             "_l.count_replicates",
             "_l.cell_line_origin",
             F.lit("lines").alias("study_origin"),
-            F.when(F.col("t0") < 100, "T0;A").otherwise("T0;A;N;R").alias("study_conditions"),
+            F.when(F.col("t0") % 7 == 0, "T0;A").otherwise("T0;A;N;R").alias("study_conditions"),
         )
     )
 

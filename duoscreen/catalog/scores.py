@@ -219,6 +219,12 @@ def lines_full_outer(spark, d):
     return reshape.full_outer(parts, "gene_pair", "zdlfc")
 
 
+@query("lines_stacked", "SELECT gene_pair, sample, zdlfc FROM zd", ["zdlfc"])
+def lines_stacked(spark, d):
+    z = stage(zdlfc(spark, d), "scores")
+    return reshape.stack_scores({s: z.where(F.col("sample") == s) for s in LINES}, "gene_pair", "zdlfc")
+
+
 @query(
     "zdlfc_wide",
     """SELECT gene_pair, max(zdlfc) FILTER (sample = 'F') AS "F", max(zdlfc) FILTER (sample = 'O') AS "O" FROM zd GROUP BY gene_pair""",
@@ -581,79 +587,87 @@ def observed_mode_gi(spark, d):
 
 # quadratic-fit score
 
-_fc_cols = ", ".join(
-    f"""(log2(({c} + 10) / (t0 + 10) / ((SELECT sum(t0 + 10) FROM screen) / (SELECT sum({c} + 10) FROM screen)))) AS {c}"""
-    for c in LATE
-)
-cte(
-    "qraw",
-    f"""SELECT {IDS}, CASE WHEN gene1 = 'CTRL' AND gene2 = 'CTRL' THEN 'Control' WHEN gene1 = 'CTRL' OR gene2 = 'CTRL' THEN 'Single'
-        ELSE 'Dual' END AS arity, {_fc_cols} FROM screen""",
-)
-cte(
-    "qfc",
-    f"SELECT {IDS}, arity, "
-    + ", ".join(f"({c} - (SELECT median({c}) FROM qraw WHERE arity = 'Control')) / 6.3 AS {c}" for c in LATE)
-    + " FROM qraw",
-)
-cte(
-    "qmean",
-    f"""SELECT {IDS}, arity, CASE WHEN gene1 > gene2 THEN guide2 || '|' || guide1 ELSE guide1 || '|' || guide2 END AS guide_pair,
-        (f_a + f_n + f_r) / 3 AS "F", (o_a + o_n + o_r) / 3 AS "O" FROM qfc""",
-)
-cte(
-    "qabba",
-    """SELECT m.*, a."F_abba", a."O_abba" FROM qmean m JOIN (SELECT guide_pair, avg("F") AS "F_abba", avg("O") AS "O_abba"
-       FROM qmean GROUP BY guide_pair) a USING (guide_pair)""",
-)
-cte(
-    "qlong",
-    f"""SELECT {IDS}, arity, 'F' AS sample, "F_abba" AS fc FROM qabba UNION ALL SELECT {IDS}, arity, 'O', "O_abba" FROM qabba""",
-)
-cte(
-    "qpheno",
-    """SELECT sample, guide1 AS guide, avg(fc) AS phenotype, 1 AS position FROM qlong WHERE arity <> 'Dual' AND gene2 = 'CTRL' GROUP BY ALL
-       UNION ALL SELECT sample, guide2, avg(fc), 2 FROM qlong WHERE arity <> 'Dual' AND gene1 = 'CTRL' GROUP BY ALL""",
-)
-cte(
-    "qrows",
-    """SELECT l.*, coalesce(a.phenotype, 0) AS pheno1, coalesce(b.phenotype, 0) AS pheno2 FROM qlong l
-       LEFT JOIN qpheno a ON a.position = 1 AND l.sample = a.sample AND l.guide1 = a.guide
-       LEFT JOIN qpheno b ON b.position = 2 AND l.sample = b.sample AND l.guide2 = b.guide""",
-)
+def _fc_sql(source: str) -> str:
+    """Depth-adjusted fold changes; a missing replicate stays out of both depth sums."""
+    return ", ".join(
+        f"""log2(({c} + 10) / (t0 + 10) / (SELECT sum(t0 + 10) / sum({c} + 10) FROM {source} WHERE {c} IS NOT NULL)) AS {c}"""
+        for c in LATE
+    )
 
 
-def _quad_sql(query_guide: str, x: str, b: str) -> str:
+def _quad_sql(rows: str, query_guide: str, x: str, b: str) -> str:
     return f"""SELECT sample, guide, CASE WHEN lo <> hi THEN (t2 * s2 - t1 * s3) / (s4 * s2 - s3 * s3) ELSE 0 END AS m0,
          CASE WHEN lo <> hi THEN (s4 * t1 - s3 * t2) / (s4 * s2 - s3 * s3) ELSE coalesce(t1 / nullif(s2, 0), 0) END AS m1 FROM (
          SELECT sample, {query_guide} AS guide, sum({x} ** 2) AS s2, sum({x} ** 3) AS s3, sum({x} ** 4) AS s4,
            sum({x} * (fc - {b})) AS t1, sum({x} ** 2 * (fc - {b})) AS t2, min(nullif({x}, 0)) AS lo, max(nullif({x}, 0)) AS hi
-         FROM qrows GROUP BY ALL)"""
+         FROM {rows} GROUP BY ALL)"""
 
 
-cte("qfit_a", _quad_sql("guide2", "pheno1", "pheno2"))
-cte("qfit_b", _quad_sql("guide1", "pheno2", "pheno1"))
-cte(
-    "qres",
-    """SELECT r.*, fc - (a.m0 * pheno1 ** 2 + a.m1 * pheno1 + pheno2) AS ra, fc - (b.m0 * pheno2 ** 2 + b.m1 * pheno2 + pheno1) AS rb
-       FROM qrows r JOIN qfit_a a ON r.sample = a.sample AND r.guide2 = a.guide JOIN qfit_b b ON r.sample = b.sample AND r.guide1 = b.guide""",
-)
-cte(
-    "qnorm",
-    """SELECT *, trunc(ra / coalesce(nullif(stddev_pop(CASE WHEN gene1 = 'CTRL' THEN ra END) OVER (PARTITION BY sample, guide2), 0), 1)) AS score_a,
-         rb / coalesce(nullif(stddev_pop(CASE WHEN gene2 = 'CTRL' THEN rb END) OVER (PARTITION BY sample, guide1), 0), 1) AS score_b FROM qres""",
-)
-cte(
-    "qgi",
-    """SELECT n.*, (n.score_a + n.score_b + coalesce(m.score_a + m.score_b, 0)) / 4 AS gi FROM qnorm n
-       LEFT JOIN qnorm m ON n.sample = m.sample AND n.guide1 = m.guide2 AND n.guide2 = m.guide1""",
-)
-cte(
-    "qpairs",
-    """SELECT sample, least(gene1, gene2) || '|' || greatest(gene1, gene2) AS gene_pair, avg(gi) AS sl_score,
-         stddev_samp(gi) / sqrt(count(gi)) AS standard_error FROM qgi
-       WHERE gene1 <> 'CTRL' AND gene2 <> 'CTRL' GROUP BY 1, 2""",
-)
+def _quadratic_ctes(q: str, source: str) -> None:
+    """All steps of the score over one source table, under names that start with ``q``."""
+    cte(
+        f"{q}raw",
+        f"""SELECT {IDS}, CASE WHEN gene1 = 'CTRL' AND gene2 = 'CTRL' THEN 'Control' WHEN gene1 = 'CTRL' OR gene2 = 'CTRL' THEN 'Single'
+            ELSE 'Dual' END AS arity, {_fc_sql(source)} FROM {source}""",
+    )
+    cte(
+        f"{q}fc",
+        f"SELECT {IDS}, arity, "
+        + ", ".join(f"({c} - (SELECT median({c}) FROM {q}raw WHERE arity = 'Control')) / 6.3 AS {c}" for c in LATE)
+        + f" FROM {q}raw",
+    )
+    cte(
+        f"{q}mean",
+        f"""SELECT {IDS}, arity, CASE WHEN gene1 > gene2 THEN guide2 || '|' || guide1 ELSE guide1 || '|' || guide2 END AS guide_pair,
+            (f_a + f_n + f_r) / 3 AS "F", (o_a + o_n + o_r) / 3 AS "O" FROM {q}fc""",
+    )
+    cte(
+        f"{q}abba",
+        f"""SELECT m.*, a."F_abba", a."O_abba" FROM {q}mean m JOIN (SELECT guide_pair, avg("F") AS "F_abba", avg("O") AS "O_abba"
+           FROM {q}mean GROUP BY guide_pair) a USING (guide_pair)""",
+    )
+    cte(
+        f"{q}long",
+        f"""SELECT {IDS}, arity, 'F' AS sample, "F_abba" AS fc FROM {q}abba WHERE "F_abba" IS NOT NULL UNION ALL SELECT {IDS}, arity, 'O', "O_abba" FROM {q}abba WHERE "O_abba" IS NOT NULL""",
+    )
+    cte(
+        f"{q}pheno",
+        f"""SELECT sample, guide1 AS guide, avg(fc) AS phenotype, 1 AS position FROM {q}long WHERE arity <> 'Dual' AND gene2 = 'CTRL' GROUP BY ALL
+           UNION ALL SELECT sample, guide2, avg(fc), 2 FROM {q}long WHERE arity <> 'Dual' AND gene1 = 'CTRL' GROUP BY ALL""",
+    )
+    cte(
+        f"{q}rows",
+        f"""SELECT l.*, coalesce(a.phenotype, 0) AS pheno1, coalesce(b.phenotype, 0) AS pheno2 FROM {q}long l
+           LEFT JOIN {q}pheno a ON a.position = 1 AND l.sample = a.sample AND l.guide1 = a.guide
+           LEFT JOIN {q}pheno b ON b.position = 2 AND l.sample = b.sample AND l.guide2 = b.guide""",
+    )
+    cte(f"{q}fit_a", _quad_sql(f"{q}rows", "guide2", "pheno1", "pheno2"))
+    cte(f"{q}fit_b", _quad_sql(f"{q}rows", "guide1", "pheno2", "pheno1"))
+    cte(
+        f"{q}res",
+        f"""SELECT r.*, fc - (a.m0 * pheno1 ** 2 + a.m1 * pheno1 + pheno2) AS ra, fc - (b.m0 * pheno2 ** 2 + b.m1 * pheno2 + pheno1) AS rb
+           FROM {q}rows r JOIN {q}fit_a a ON r.sample = a.sample AND r.guide2 = a.guide JOIN {q}fit_b b ON r.sample = b.sample AND r.guide1 = b.guide""",
+    )
+    cte(
+        f"{q}norm",
+        f"""SELECT *, trunc(ra / coalesce(nullif(stddev_pop(CASE WHEN gene1 = 'CTRL' THEN ra END) OVER (PARTITION BY sample, guide2), 0), 1)) AS score_a,
+             rb / coalesce(nullif(stddev_pop(CASE WHEN gene2 = 'CTRL' THEN rb END) OVER (PARTITION BY sample, guide1), 0), 1) AS score_b FROM {q}res""",
+    )
+    cte(
+        f"{q}gi",
+        f"""SELECT n.*, (n.score_a + n.score_b + coalesce(m.score_a + m.score_b, 0)) / 4 AS gi FROM {q}norm n
+           LEFT JOIN {q}norm m ON n.sample = m.sample AND n.guide1 = m.guide2 AND n.guide2 = m.guide1""",
+    )
+    cte(
+        f"{q}pairs",
+        f"""SELECT sample, least(gene1, gene2) || '|' || greatest(gene1, gene2) AS gene_pair, avg(gi) AS sl_score,
+             stddev_samp(gi) / sqrt(count(gi)) AS standard_error FROM {q}gi
+           WHERE gene1 <> 'CTRL' AND gene2 <> 'CTRL' GROUP BY 1, 2""",
+    )
+
+
+_quadratic_ctes("q", "screen")
+_quadratic_ctes("h", "masked_screen")
 
 
 def _pheno(spark, d):
@@ -706,6 +720,11 @@ def quadratic_pairs(spark, d):
     return quad.quadratic_gi(_stored(spark, d), LAYOUT, threshold=0)
 
 
+@query("quadratic_pairs_filtered", "SELECT * FROM hpairs", ["sl_score", "standard_error"])
+def quadratic_pairs_filtered(spark, d):
+    return quad.quadratic_gi(_stored(spark, d), LAYOUT, threshold=44)
+
+
 @query(
     "matrix_lookup",
     """SELECT a.sample, a.guide1, a.guide2, (a.score_b + coalesce(b.score_b, 0)) / 2 AS score_b FROM qnorm a

@@ -439,17 +439,19 @@ def guide_medians(spark, d):
     return filters.guide_medians(_screen(spark, d), LATE)
 
 
-@query(
-    "low_guide_mask",
-    f"SELECT {IDS}, "
+cte(
+    "masked_screen",
+    f"SELECT {IDS}, t0, "
     + ", ".join(
         f"""CASE WHEN guide1 IN (SELECT guide FROM guide_median WHERE rep = '{c}' AND median_count < 44)
             OR guide2 IN (SELECT guide FROM guide_median WHERE rep = '{c}' AND median_count < 44) THEN NULL ELSE {c} END AS {c}"""
         for c in LATE
     )
     + " FROM screen",
-    LATE,
 )
+
+
+@query("low_guide_mask", f"SELECT {IDS}, {', '.join(LATE)} FROM masked_screen", LATE)
 def low_guide_mask(spark, d):
     return filters.mask_low_count_guides(_screen(spark, d), LATE, 44.0).select(*CONSTRUCT, *LATE)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -148,6 +149,11 @@ def guide_key(*columns: str, sep: str = ":") -> Column:
     return F.concat_ws(sep, *columns)
 
 
+def columns_like(df: DataFrame, pattern: str) -> list[str]:
+    """Column names that match a regex, for picking or dropping columns by name."""
+    return [c for c in df.columns if re.search(pattern, c)]
+
+
 def upper_ids(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.upper(c) for c in columns})
 

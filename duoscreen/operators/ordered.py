@@ -3,9 +3,9 @@
 The built-in exact ``percentile`` keeps all values of a group in one buffer, and a window ordered inside a
 group sorts the group on one task. Both are fine for groups of bounded size and wrong for a group that holds a
 third of a huge table. The functions here work on *cells*: a fixed, data-independent, order-preserving cut of
-the number line. Rows are first collapsed to ``(group, value, count)``, so hot groups are spread by value and
-ties cost one row. Counts per cell are then summed along the cells of a group; their number has a fixed upper
-bound. Only the rows of the cells that hold a wanted rank are ever sorted.
+the number line. Rows are counted per cell, with partial counts before the shuffle, and the counts are summed
+along the cells of a group, whose number has a fixed upper bound. Only the rows of the cells that hold a wanted
+rank are ever shuffled and sorted, equal values as one row. The input is scanned twice: pass a stored table.
 
 ``log2`` in the JVM is documented as semi-monotonic, and ``1 + x``, ``x * 2^k``, ``abs`` and ``floor`` are monotone
 in floating point, so a larger value never falls into a lower cell and the results are exact.
@@ -56,16 +56,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
     """
     keys = list(keys)
     probs = list(quantiles.values())
-    counted = (
+    rows = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(*keys, F.col(value).cast("double").alias("_v"))
         .withColumn("_cell", value_cell(F.col("_v")))
     )
     along = Window.partitionBy(*keys).orderBy("_cell")
     cells = (
-        counted.groupBy(*keys, "_cell")
-        .agg(F.sum("_n").alias("_n"))
+        rows.groupBy(*keys, "_cell")
+        .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_end", F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
         .withColumn("_start", F.col("_end") - F.col("_n"))
@@ -78,7 +77,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
     )
     inside = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
-        counted.join(F.broadcast(picked), [*keys, "_cell"])
+        rows.join(F.broadcast(picked), [*keys, "_cell"])
+        .groupBy(*keys, "_cell", "_v")
+        .agg(F.count(F.lit(1)).alias("_n"), *[F.any_value(c).alias(c) for c in ("_start", "_total", "_ranks")])
         .withColumn("_end", F.col("_start") + F.sum("_n").over(inside))
         .withColumn("_begin", F.col("_end") - F.col("_n"))
         .withColumn("_rank", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_begin")) & (r < F.col("_end")))))

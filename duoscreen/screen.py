@@ -29,6 +29,12 @@ class Layout:
     control: str = "CTRL"
     mid: dict[str, str] = field(default_factory=dict)
 
+    @classmethod
+    def by_token(cls, columns: list[str], tokens: list[str], t0: dict[str, str] | str, control: str = "CTRL") -> "Layout":
+        """Group late columns by the cell-line token that their name contains; early columns are left out."""
+        early = {t0} if isinstance(t0, str) else set(t0.values())
+        return cls({t: [c for c in columns if t in c and c not in early] for t in tokens}, t0, control)
+
     @property
     def late(self) -> list[str]:
         return [c for cols in self.samples.values() for c in cols]

@@ -70,3 +70,12 @@ def test_pack_and_unpack(spark):
     names = F.array(*[F.lit(n) for n in ("T0", "E1", "E2", "E3")])
     picked = packed.select_conditions(packed.unpack(F.col("p")), names, F.array(F.lit("E2"), F.lit("E3")))
     assert text.select(picked.alias("v")).first().v == [3.0]
+
+
+def test_columns_by_name(spark):
+    from duoscreen.screen import Layout
+
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)], "`A549.T2A` double, `A549.T2B` double, `HT29.T2A` double, `T0.A549` double")
+    layout = Layout.by_token(df.columns, ["A549", "HT29"], "T0.A549")
+    assert layout.samples == {"A549": ["A549.T2A", "A549.T2B"], "HT29": ["HT29.T2A"]}
+    assert labels.columns_like(df, "T2A$") == ["A549.T2A", "HT29.T2A"]

@@ -13,7 +13,7 @@ from duoscreen.operators.filters import drop_control_genes, drop_same_gene, keep
 from duoscreen.operators.reshape import widen
 from duoscreen.sources.readers import require_columns
 
-# Required columns of the three study tables.
+# The column names that the three study tables must have.
 SEQUENCE_COLUMNS = ["sgRNA_guide_name", "sgRNA_guide_seq", "sgRNA_target_name"]
 COUNT_COLUMNS = [
     "guide_1", "guide_2", "gene_1", "gene_2", "count_replicates", "cell_line_origin", "study_origin", "study_conditions",

@@ -413,7 +413,7 @@ def pack_unpack_counts(spark, d):
 
 @query(
     "low_count_guides",
-    """SELECT guide, list_sort(list(DISTINCT rep))::VARCHAR[] AS reps FROM (
+    """SELECT guide, array_to_string(list_sort(list(DISTINCT rep)), ';') AS reps FROM (
          SELECT position, guide, rep FROM ("""
     + " UNION ALL ".join(
         f"SELECT {p} AS position, guide{p} AS guide, '{c}' AS rep, {c} AS v FROM screen" for p in (1, 2) for c in LATE
@@ -421,7 +421,8 @@ def pack_unpack_counts(spark, d):
     + ") GROUP BY position, guide, rep HAVING median(v) < 44) GROUP BY guide",
 )
 def low_count_guides(spark, d):
-    return filters.low_count_guides(_screen(spark, d), LATE, 44.0)
+    low = filters.low_count_guides(_screen(spark, d), LATE, 44.0)
+    return low.withColumn("reps", F.array_join("reps", ";"))
 
 
 cte(
@@ -464,14 +465,15 @@ def expression_flags(spark, d):
 @query(
     "expression_join",
     f"""SELECT {IDS}, 'F' AS sample,
-         coalesce(e1.is_expressed, CASE WHEN gene1 <> 'CTRL' THEN TRUE END) AS gene1_expressed,
-         coalesce(e2.is_expressed, CASE WHEN gene2 <> 'CTRL' THEN TRUE END) AS gene2_expressed
+         coalesce(e1.is_expressed, CASE WHEN gene1 <> 'CTRL' THEN TRUE END)::VARCHAR AS gene1_expressed,
+         coalesce(e2.is_expressed, CASE WHEN gene2 <> 'CTRL' THEN TRUE END)::VARCHAR AS gene2_expressed
        FROM screen LEFT JOIN (SELECT * FROM expression WHERE sample = 'F') e1 ON gene1 = e1.gene
        LEFT JOIN (SELECT * FROM expression WHERE sample = 'F') e2 ON gene2 = e2.gene""",
 )
 def expression_join(spark, d):
     long = _screen(spark, d).select(*CONSTRUCT, F.lit("F").alias("sample"))
-    return normalize.attach_expression(long, expression(spark, d), CONTROL)
+    flags = normalize.attach_expression(long, expression(spark, d), CONTROL)
+    return flags.withColumns({c: F.col(c).cast("string") for c in ("gene1_expressed", "gene2_expressed")})
 
 
 @query(

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duoscreen.llm import decontam, language, mixing, simhash, suffix
+from duoscreen.llm import decontam, html_tree, language, licenses, mixing, quotation, simhash, suffix, topk, urls
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -25,11 +26,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_quotation_linking")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.threads(table(spark, sf_dir, "conversations"))
+
+
+TOPK_SQL = """
+WITH finite AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scores AS (
+    SELECT q.vec_id AS query_id, r.vec_id,
+        list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM finite q JOIN finite r ON q.vec_id % 50 = 0 AND q.vec_id != r.vec_id AND len(q.v) = len(r.v)
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scores QUALIFY rank <= 5
+"""
+
+
+@query("op2_topk_search", TOPK_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+#: The list that pages are judged by (fixed values): host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+URL_SQL = r"""
+WITH rules(r_host, r_path, verdict) AS (VALUES %s),
+parsed AS (
+    SELECT page_id, url,
+        coalesce(translate(regexp_extract(url, '(?s)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(url, '(?s)://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+)
+SELECT page_id, host, path,
+    (SELECT max_by(r_host || r_path, length(r_host || r_path)) FROM rules
+        WHERE (host = r_host OR suffix(host, '.' || r_host)) AND prefix(path, r_path)) AS rule,
+    coalesce((SELECT max_by(verdict, length(r_host || r_path)) FROM rules
+        WHERE (host = r_host OR suffix(host, '.' || r_host)) AND prefix(path, r_path)), 'allow') AS verdict
+FROM parsed
+""" % ", ".join(str(r) for r in URL_RULES)
+
+
+@query("op3_url_filters", URL_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op4_benchmark_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 MIX_SQL = r"""
 WITH rows AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -95,6 +158,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(table(spark, sf_dir, "documents"))
 
 
+@query("op8_html_extraction")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))

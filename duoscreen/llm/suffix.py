@@ -10,7 +10,8 @@ strings that name it, and one subtraction of prefix hashes gives the hash of the
    that a third of the corpus holds leaves its task once a batch.
 2. Sort by gram hash, stretch hash and place: all but the first of equal stretches are removed whole. Anchors with
    equal gram and different stretches may share a part of their strings only.
-3. Those are unrolled into single strings by prefix hashes, and a second sort by string hash settles each.
+3. The bytes that those cover meet in a second sort by gram, where prefix hashes compare the single strings. A gram
+   with very many of them sends on the hashes of its strings, which a third sort settles.
 
 Two positions count as equal only if two hashes agree: gram and stretch, or two polynomials over different tables,
 so a collision of one is verified by the other.
@@ -39,6 +40,8 @@ _STEPS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 #: Marks a removed stretch among anchors; an anchor stands for fewer strings.
 CUT = 255
+#: Contexts of one gram that are compared at once; of more, the strings are sorted apart.
+GROUP_ROWS = 1 << 12
 #: Stands for a null id: it sorts last.
 NO_ID = (1 << 63) - 1
 
@@ -250,31 +253,66 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     place = {"offset": F.expr("shiftright(loc, 32)"), "digest": F.expr("shiftright(loc, 8) & 16777215"), "n": F.expr("loc & 255")}
     cuts = found.withColumns(place).filter(f"n = {CUT}").select("doc", "digest", F.col("offset").alias("first"), (F.col("offset") + F.col("u")).alias("last"))
     lists = (
-        found.withColumns(place).filter(f"n != {CUT}").groupBy("doc", "digest").agg(F.collect_list(F.struct("offset", "n")).alias("runs"))
+        found.withColumns(place).filter(f"n != {CUT}").groupBy("doc", "digest").agg(F.collect_list(F.struct("g", "offset", "n")).alias("runs"))
     )
 
     def unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes that each anchor's strings cover."""
         for batch in batches:
-            hashes = []
             for part, texts in pieces(iter([batch]), "text"):
                 runs = part.column("runs")
-                counts = np.asarray(pa.compute.list_value_length(runs), dtype=np.int64)
+                text = np.repeat(np.arange(len(texts)), np.asarray(pa.compute.list_value_length(runs), dtype=np.int64))
                 flat = runs.flatten()
-                offset, n = np.asarray(flat.field(0)), np.asarray(flat.field(1))
-                text = np.repeat(np.arange(len(texts)), counts)
-                sizes = n + length
-                data = np.frombuffer(b"".join(texts[t][o : o + s] for t, o, s in zip(text.tolist(), offset.tolist(), sizes.tolist())), dtype=np.uint8)
-                run = np.repeat(np.arange(len(n)), n + 1)
-                step = np.arange(len(run)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
-                start = (np.cumsum(sizes) - sizes)[run] + step
-                one, two = (between(prefix_hashes(data, w), start, start + length, w) for w in (0, 1))
+                g, offset, n = (np.asarray(flat.field(i)).astype(np.int64) for i in range(3))
+                context = [texts[t][o : o + s] for t, o, s in zip(text.tolist(), offset.tolist(), (n + length).tolist())]
                 ids, digests = np.asarray(part.column("doc")), np.asarray(part.column("digest"))
-                hashes.append((one, two, ids[text[run]], packed(offset[run] + step, digests[text[run]], np.zeros(len(run)))))
-            if hashes:
-                one, two, doc, loc = (np.concatenate(x) for x in zip(*hashes))
-                cut, first = _settled((one, two), doc, loc, np.zeros(len(doc), np.int64), length)
-                yield _anchor_batch(one[first], two[first], doc[first], loc[first])
-                yield _cut_batch(cut)
+                columns = [pa.array(g), pa.array(ids[text]), pa.array(packed(offset, digests[text], n)), pa.array(context, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["g", "doc", "loc", "context"])
+
+    def strings(g: np.ndarray, doc: np.ndarray, loc: np.ndarray, context: list[bytes]) -> tuple[Rows, Rows]:
+        """Removed stretches among the strings of some anchors, and two hashes and the place of each other string."""
+        n = loc & 0xFF
+        data = np.frombuffer(b"".join(context), dtype=np.uint8)
+        run = np.repeat(np.arange(len(n)), n + 1)
+        step = np.arange(len(run)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
+        start = (np.cumsum(n + length) - (n + length))[run] + step
+        one, two = (between(prefix_hashes(data, w), start, start + length, w) for w in (0, 1))
+        own, place = doc[run], packed((loc >> 32)[run] + step, (loc >> 8 & 0xFFFFFF)[run], np.zeros(len(run), np.int64))
+        cuts, first = _settled((g[run].view(np.uint64), one, two), own, place, np.zeros(len(run), np.int64), length)
+        return cuts, (one[first], two[first], own[first], place[first])
+
+    def settle_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of contexts sorted by gram: removed stretches; of a gram with very many, the strings themselves."""
+
+        def done(rows: tuple, whole: bool) -> Iterator[pa.RecordBatch]:
+            cuts, rest = strings(*rows)
+            yield _cut_batch(cuts)
+            if not whole:
+                yield _anchor_batch(*rest)
+
+        held, large = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP_ROWS):
+                part = batch.slice(at, GROUP_ROWS)
+                rows = (*(np.asarray(part.column(c)) for c in ("g", "doc", "loc")), part.column("context").to_pylist())
+                if large is not None:
+                    same = int(np.searchsorted(rows[0], large, side="right"))
+                    if same:
+                        yield from done(tuple(x[:same] for x in rows), False)
+                    if same == part.num_rows:
+                        continue
+                    rows, large = tuple(x[same:] for x in rows), None
+                if held is not None:
+                    rows = (*(np.concatenate(x) for x in zip(held[:3], rows[:3])), held[3] + rows[3])
+                edge = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+                if edge:
+                    yield from done(tuple(x[:edge] for x in rows), True)
+                held = tuple(x[edge:] for x in rows)
+                if len(held[0]) > GROUP_ROWS:
+                    yield from done(held, False)
+                    held, large = None, held[0][-1]
+        if held is not None:
+            yield from done(held, True)
 
     def settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = None
@@ -293,9 +331,18 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc_cut, digest_cut, first, last)], ["doc", "digest", "first", "last"])
 
     texts = source.withColumnsRenamed({"__doc": "doc", "__digest": "digest"})
-    strings = lists.join(texts, ["doc", "digest"]).select("doc", "digest", "text", "runs").dropDuplicates(["doc", "digest"]).mapInArrow(unroll, _ANCHORS)
-    single = strings.repartition("g").sortWithinPartitions("g", "u", "doc", "loc").mapInArrow(settle_strings, "doc long, digest long, first long, last long")
-    return stage(cuts.unionByName(single), "cuts").groupBy("doc", "digest").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
+    contexts = lists.join(texts, ["doc", "digest"]).select("doc", "digest", "text", "runs").dropDuplicates(["doc", "digest"])
+    contexts = contexts.mapInArrow(unroll, "g long, doc long, loc long, context binary")
+    groups = stage(contexts.repartition("g").sortWithinPartitions("g").mapInArrow(settle_groups, _ANCHORS), "strings").withColumns(place)
+    parts = groups.filter(f"n = {CUT}").select("doc", "digest", F.col("offset").alias("first"), (F.col("offset") + F.col("u")).alias("last"))
+    single = (
+        groups.filter(f"n != {CUT}")
+        .select("g", "u", "doc", "loc")
+        .repartition("g")
+        .sortWithinPartitions("g", "u", "doc", "loc")
+        .mapInArrow(settle_strings, "doc long, digest long, first long, last long")
+    )
+    return cuts.unionByName(parts).unionByName(single).groupBy("doc", "digest").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
 
 
 def _with_cuts(docs: DataFrame, **params: int) -> DataFrame:

@@ -48,3 +48,41 @@ def near_classes(prints, radius=4):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {d: root(d) for d in ids}
+
+
+def best_windows(text, items, similarity=0.8):
+    """{item: (similarity, first word)} of the best window of each item (item_id, text), by counting shingles."""
+    from collections import Counter
+
+    def words(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+
+    def grams(w):
+        n = min(5, len(w))
+        return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if n else Counter()
+
+    own, out = words(text), {}
+    for item, item_text in items:
+        wanted = words(item_text)
+        size = min(len(wanted), len(own))
+        if not size or (len(wanted) < 5 and size < len(wanted)):
+            continue
+        counts = grams(wanted)
+        for i in range(len(own) - size + 1):
+            window = grams(own[i : i + size])
+            both = sum((counts & window).values())
+            found = both / (sum(counts.values()) + sum(window.values()) - both)
+            if found >= similarity and (item not in out or found > out[item][0]):
+                out[item] = (found, i)
+    return out
+
+
+def license_base(text):
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places = []
+    for phrase, label in phrases.items():
+        p = phrase.split()
+        places += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
+    at = [i for i, _ in places]
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))

@@ -40,8 +40,9 @@ _STEPS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 #: Marks a removed stretch among anchors; an anchor stands for fewer strings.
 CUT = 255
-#: Contexts of one gram that are compared at once; of more, the strings are sorted apart.
-GROUP_ROWS = 1 << 12
+#: Contexts that are read at a time, and of one gram that are compared at once; of more, the strings are sorted apart.
+READ_ROWS = 1 << 12
+GROUP_ROWS = 1 << 15
 #: Stands for a null id: it sorts last.
 NO_ID = (1 << 63) - 1
 
@@ -292,8 +293,8 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
         held, large = None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, GROUP_ROWS):
-                part = batch.slice(at, GROUP_ROWS)
+            for at in range(0, batch.num_rows, READ_ROWS):
+                part = batch.slice(at, READ_ROWS)
                 rows = (*(np.asarray(part.column(c)) for c in ("g", "doc", "loc")), part.column("context").to_pylist())
                 if large is not None:
                     same = int(np.searchsorted(rows[0], large, side="right"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from duoscreen.catalog.base import cte, query
 from duoscreen.catalog.screens import CONTROL, COUNTS, IDS, _screen, _stored
 from duoscreen.catalog.scores import p_sql
+from duoscreen.functions.labels import pair_key
 from duoscreen.operators import normalize, stats
 from duoscreen.plans import moderated_gi as mod, variational_gi as var
 from duoscreen.screen import CONSTRUCT
@@ -14,7 +15,7 @@ from duoscreen.session import stage
 from duoscreen.sources.lineitem_screen import ESSENTIALS, LAYOUT
 
 LATE = LAYOUT.late
-SWEEPS = 2
+SWEEPS = 20
 
 
 # moderated t
@@ -30,14 +31,38 @@ cte(
         f"SELECT {IDS}, '{s}' AS sample, ({' + '.join(c)}) / {len(c)} AS lfc FROM mnorm" for s, c in LAYOUT.samples.items()
     ),
 )
+cte(
+    "mside",
+    """SELECT sample, gene, avg(lfc) FILTER (pos = 1) AS p1, avg(lfc) FILTER (pos = 2) AS p2 FROM (
+         SELECT sample, gene1 AS gene, 1 AS pos, lfc FROM mlfc WHERE gene2 = 'CTRL' AND gene1 <> 'CTRL' UNION ALL
+         SELECT sample, gene2, 2, lfc FROM mlfc WHERE gene1 = 'CTRL' AND gene2 <> 'CTRL') GROUP BY ALL""",
+)
 cte(
     "mres",
-    """SELECT l.sample, guide1, guide2, least(l.gene1, l.gene2) || '_' || greatest(l.gene1, l.gene2) AS gene_pair, lfc, s1 + s2 AS expected,
-         lfc - (s1 + s2) AS residual FROM mlfc l
-       JOIN (SELECT sample, gene1, avg(lfc) AS s1 FROM mlfc WHERE gene2 = 'CTRL' AND gene1 <> 'CTRL' GROUP BY ALL) a
-         ON l.sample = a.sample AND l.gene1 = a.gene1
-       JOIN (SELECT sample, gene2, avg(lfc) AS s2 FROM mlfc WHERE gene1 = 'CTRL' AND gene2 <> 'CTRL' GROUP BY ALL) b
-         ON l.sample = b.sample AND l.gene2 = b.gene2
+    """SELECT l.sample, guide1, guide2, least(l.gene1, l.gene2) || '_' || greatest(l.gene1, l.gene2) AS gene_pair, lfc,
+         coalesce(a.p1, a.p2) + coalesce(b.p2, b.p1) AS expected, lfc - (coalesce(a.p1, a.p2) + coalesce(b.p2, b.p1)) AS residual FROM mlfc l
+       JOIN mside a ON l.sample = a.sample AND l.gene1 = a.gene JOIN mside b ON l.sample = b.sample AND l.gene2 = b.gene
+       WHERE l.gene1 <> 'CTRL' AND l.gene2 <> 'CTRL' AND l.gene1 <> l.gene2""",
+)
+cte(
+    "wlfc",
+    " UNION ALL ".join(
+        f"SELECT {IDS}, '{s}' AS sample, ({' + '.join(c)}) / {len(c)} AS lfc FROM mnorm JOIN (SELECT guide1, guide2 FROM screen "
+        f"WHERE t0 >= 80 AND t0 <= 400) USING (guide1, guide2)"
+        for s, c in LAYOUT.samples.items()
+    ),
+)
+cte(
+    "wside",
+    """SELECT sample, gene, avg(lfc) FILTER (pos = 1) AS p1, avg(lfc) FILTER (pos = 2) AS p2 FROM (
+         SELECT sample, gene1 AS gene, 1 AS pos, lfc FROM wlfc WHERE gene2 = 'CTRL' AND gene1 <> 'CTRL' UNION ALL
+         SELECT sample, gene2, 2, lfc FROM wlfc WHERE gene1 = 'CTRL' AND gene2 <> 'CTRL') GROUP BY ALL""",
+)
+cte(
+    "wres",
+    """SELECT l.sample, least(l.gene1, l.gene2) || '_' || greatest(l.gene1, l.gene2) AS gene_pair, lfc,
+         lfc - (coalesce(a.p1, a.p2) + coalesce(b.p2, b.p1)) AS residual FROM wlfc l
+       JOIN wside a ON l.sample = a.sample AND l.gene1 = a.gene JOIN wside b ON l.sample = b.sample AND l.gene2 = b.gene
        WHERE l.gene1 <> 'CTRL' AND l.gene2 <> 'CTRL' AND l.gene1 <> l.gene2""",
 )
 cte(
@@ -135,6 +160,35 @@ def moderated_pairs(spark, d):
     return df.select("sample", "gene_pair", "n", *_M, "call")
 
 
+@query(
+    "moderated_pairs_window",
+    """SELECT sample, gene_pair, count(*) AS n, avg(lfc) AS mean_observed, avg(residual) AS effect FROM wres GROUP BY ALL""",
+    ["mean_observed", "effect"],
+)
+def moderated_pairs_window(spark, d):
+    df = mod.moderated_gi(_screen(spark, d), LAYOUT, [CONTROL], min_reads=80.0, max_reads=400.0)
+    return df.select("sample", "gene_pair", "n", "mean_observed", "effect")
+
+
+@query(
+    "moderated_audit",
+    f"""SELECT {IDS}, l.sample, lfc FROM (
+          SELECT {IDS}, sample, lfc FROM mlfc UNION ALL
+          SELECT gene2, gene1, guide2, guide1, sample, lfc FROM mlfc WHERE gene1 <> 'CTRL' AND gene2 <> 'CTRL') l
+        LEFT JOIN mside a ON l.sample = a.sample AND l.gene1 = a.gene LEFT JOIN mside b ON l.sample = b.sample AND l.gene2 = b.gene
+        WHERE l.gene1 <> 'CTRL' AND l.gene2 <> 'CTRL' AND l.gene1 <> l.gene2 AND (a.p1 IS NULL OR b.p2 IS NULL)""",
+    ["lfc"],
+)
+def moderated_audit(spark, d):
+    """Doubles that lack a single effect at their own position; genes 10 and 11 never stand at position 2."""
+    long = _mlong(spark, d)
+    swap = {"gene1": "gene2", "gene2": "gene1", "guide1": "guide2", "guide2": "guide1"}
+    doubles = long.where((F.col("gene1") != CONTROL) & (F.col("gene2") != CONTROL))
+    both = stage(long.unionByName(doubles.select(*[F.col(swap.get(c, c)).alias(c) for c in doubles.columns])), "both")
+    lost = mod.unscored_constructs(both, CONTROL, ignore_orientation=False)
+    return lost.select(*CONSTRUCT, "sample", "lfc")
+
+
 @query(
     "moderated_hits",
     """SELECT sample, gene_pair, effect, fdr, CASE WHEN fdr < 0.9 AND abs(effect) > 0.05 THEN
@@ -172,14 +226,15 @@ cte(
 cte(
     "glfc",
     " UNION ALL ".join(
-        f"SELECT {IDS}, '{s}' AS sample, ({' + '.join(c)}) / {len(c)} AS d FROM gnorm" for s, c in LAYOUT.samples.items()
+        f"SELECT {IDS}, '{s}' AS sample, ({' + '.join(c)}) / {len(c)} AS d, list_var_samp([{', '.join(c)}]) / {len(c)} AS noise FROM gnorm"
+        for s, c in LAYOUT.samples.items()
     ),
 )
 cte(
     "gr_0",
-    """SELECT *, 1.0::DOUBLE AS tau, 1.0::DOUBLE AS xx, 1.0::DOUBLE AS xx2,
+    """SELECT *, 0.5 / rate AS tau FROM (SELECT *, 0.5 * avg(noise) OVER (PARTITION BY sample) AS rate, 1.0::DOUBLE AS xx, 1.0::DOUBLE AS xx2,
          CASE WHEN gene1 <> 'CTRL' AND gene2 <> 'CTRL' THEN least(gene1, gene2) || '_' || greatest(gene1, gene2) END AS pair
-       FROM glfc WHERE gene1 <> gene2""",
+       FROM glfc WHERE gene1 <> gene2)""",
 )
 cte(
     "gy_0",
@@ -231,13 +286,31 @@ for _k in range(SWEEPS):
               SELECT *, m / p AS nx FROM (SELECT *, 1 + sum(tau * s2) OVER (PARTITION BY {IDS}) AS p,
                 1 + sum(tau * s * (d - a * ya - b * yb)) OVER (PARTITION BY {IDS}) AS m FROM {_at(n, n, n, n, _k)})))""",
     )
-    cte(f"gr_{n}", f"SELECT {IDS}, sample, d, 1 / (0.5 + 0.5 * (err * err + spread)) AS tau, nx AS xx, nx2 AS xx2, pair FROM ge_{n}")
+    cte(f"gr_{n}", f"SELECT {IDS}, sample, d, rate, 1 / (rate + 0.5 * (err * err + spread)) AS tau, nx AS xx, nx2 AS xx2, pair FROM ge_{n}")
+
+def _cost(table: str, value: str, mean: int, sd: int) -> str:
+    return f"""SELECT -(-0.5 * ln({value}2 - {value} ** 2) + ({value}2 - {value} ** 2 + ({value} - {mean}) ** 2) / (2.0 * {sd} ** 2)) AS part FROM {table}"""
+
 
+for _k in range(1, SWEEPS + 1):
+    _xx = f"(SELECT max(xx) AS xx, max(xx2) AS xx2 FROM gr_{_k} WHERE pair IS NOT NULL GROUP BY {IDS})"
+    _parts = [_cost(_xx, "xx", 1, 1), *[_cost(f"g{t}_{_k}", v, m, s) for t, v, m, s in (("a", "x", 1, 1), ("b", "x", 1, 1), ("y", "y", 0, 10), ("s", "s", 0, 10))]]
+    cte(f"gbound_{_k}", f"SELECT sum(part) AS bound FROM (SELECT ln(tau) AS part FROM gr_{_k} UNION ALL {' UNION ALL '.join(_parts)})")
+
+_SWEEPS = range(1, SWEEPS + 1)
+cte("gbounds", " UNION ALL ".join(f"SELECT {k}::INT AS sweep, bound FROM gbound_{k}" for k in _SWEEPS))
+cte(
+    "gstop",
+    f"""SELECT coalesce(min(sweep), {SWEEPS}) AS stop FROM (SELECT sweep, bound, lag(bound) OVER (ORDER BY sweep) AS before FROM gbounds)
+        WHERE bound - before <= 1e-3 * abs(bound)""",
+)
+for _t in ("gs", "gy"):
+    cte(f"{_t}_end", " UNION ALL ".join(f"SELECT t.* FROM {_t}_{k} t WHERE (SELECT stop FROM gstop) = {k}" for k in _SWEEPS))
 cte(
     "geffect",
-    f"""SELECT p.pair, p.sample, s, a.y AS y_a, b.y AS y_b FROM gs_{SWEEPS} p
-        LEFT JOIN gy_{SWEEPS} a ON split_part(pair, '_', 1) = a.gene AND p.sample = a.sample
-        LEFT JOIN gy_{SWEEPS} b ON split_part(pair, '_', 2) = b.gene AND p.sample = b.sample""",
+    """SELECT p.pair, p.sample, s, a.y AS y_a, b.y AS y_b FROM gs_end p
+        LEFT JOIN gy_end a ON split_part(pair, '_', 1) = a.gene AND p.sample = a.sample
+        LEFT JOIN gy_end b ON split_part(pair, '_', 2) = b.gene AND p.sample = b.sample""",
 )
 
 
@@ -247,26 +320,38 @@ def _vlong(spark, d):
 
 @query("median_lfc", f"SELECT {IDS}, sample, d FROM glfc", ["d"])
 def median_lfc(spark, d):
-    return var.fold_changes(_stored(spark, d), LAYOUT)
+    return var.fold_changes(_stored(spark, d), LAYOUT).drop("noise")
 
 
 @query("variational_start", "SELECT pair, sample, s FROM gs_0", ["s"])
 def variational_start(spark, d):
-    return var.initialise(_vlong(spark, d), CONTROL).pairs.select("pair", "sample", "s")
+    pairs = var.initialise(_vlong(spark, d), CONTROL).pairs
+    return pairs.select(pair_key(F.col("gene_a"), F.col("gene_b")).alias("pair"), "sample", "s")
 
 
 @query("variational_effects", "SELECT pair, sample, s, y_a, y_b FROM geffect", ["s", "y_a", "y_b"])
 def variational_effects(spark, d):
-    return var.effects(var.infer(_vlong(spark, d), CONTROL, SWEEPS))
+    return var.effects(var.infer(_vlong(spark, d), CONTROL)).select("pair", "sample", "s", "y_a", "y_b")
 
 
 @query(
     "variational_convergence",
-    " UNION ALL ".join(f"SELECT {k}::INT AS sweep, sample, avg(abs(err)) AS mae FROM ge_{k} GROUP BY sample" for k in range(1, SWEEPS + 1)),
+    "SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT {k}::INT AS sweep, sample, avg(abs(err)) AS mae FROM ge_{k} GROUP BY sample" for k in _SWEEPS)
+    + ") WHERE sweep <= (SELECT stop FROM gstop)",
     ["mae"],
 )
 def variational_convergence(spark, d):
-    return var.convergence(var.infer(_vlong(spark, d), CONTROL, SWEEPS))
+    return var.convergence(var.infer(_vlong(spark, d), CONTROL))
+
+
+@query(
+    "variational_bound",
+    "SELECT sweep, bound FROM gbounds WHERE sweep <= (SELECT stop FROM gstop)",
+    ["bound"],
+)
+def variational_bound(spark, d):
+    return var.bounds(var.infer(_vlong(spark, d), CONTROL))
 
 
 @query(
@@ -274,12 +359,12 @@ def variational_convergence(spark, d):
     f"""SELECT pair, e.sample, abs(s) - greatest(abs(y_a), abs(y_b)) AS strong,
           CASE WHEN least(y_a, y_b) >= threshold THEN least(y_a, y_b) - (y_a + y_b + s) END AS sensitive_lethality,
           CASE WHEN least(y_a, y_b) < threshold THEN (y_a + y_b + s) - least(y_a, y_b) END AS sensitive_recovery
-        FROM geffect e JOIN (SELECT sample, median(y) AS threshold FROM gy_{SWEEPS} WHERE gene IN ('{"', '".join(ESSENTIALS)}') GROUP BY sample) t
+        FROM geffect e JOIN (SELECT sample, median(y) AS threshold FROM gy_end WHERE gene IN ('{"', '".join(ESSENTIALS)}') GROUP BY sample) t
           ON e.sample = t.sample""",
     ["strong", "sensitive_lethality", "sensitive_recovery"],
 )
 def variational_scores(spark, d):
-    model = var.infer(_vlong(spark, d), CONTROL, SWEEPS)
+    model = var.infer(_vlong(spark, d), CONTROL)
     return var.scores(var.effects(model), var.positive_control_threshold(model, ESSENTIALS))
 
 
@@ -290,4 +375,4 @@ def variational_scores(spark, d):
     ["strong", "sensitive_lethality", "sensitive_recovery"],
 )
 def variational_scores_unbounded(spark, d):
-    return var.scores(var.effects(var.infer(_vlong(spark, d), CONTROL, SWEEPS)))
+    return var.scores(var.effects(var.infer(_vlong(spark, d), CONTROL)))

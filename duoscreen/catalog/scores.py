@@ -9,7 +9,7 @@ from duoscreen.catalog.screens import CONTROL, IDS, _screen, _stored, essentials
 from duoscreen.operators import effects, filters, normalize, reshape, stats
 from duoscreen.operators.ordered import bh_fdr
 from duoscreen.plans import delta_lfc, quadratic_gi as quad, regression_gi as reg
-from duoscreen.screen import CONSTRUCT
+from duoscreen.screen import CONSTRUCT, Layout
 from duoscreen.session import stage
 from duoscreen.sources.lineitem_screen import LAYOUT, LINES
 
@@ -114,6 +114,43 @@ def unscored_pairs(spark, d):
     return delta_lfc.unscored(_lfc_stored(spark, d).where(~lost), LAYOUT)
 
 
+_kept_mean = ", ".join(f"({c} + 5) / (SELECT avg({c} + 5) FROM screen) * 500 AS {c}" for c in ["t0", *LATE])
+cte("kscaled", f"SELECT {IDS}, {_kept_mean} FROM screen")
+cte(
+    "klfc",
+    " UNION ALL ".join(
+        f"SELECT {IDS}, '{s}' AS sample, ({' + '.join(f'log2({c} / t0)' for c in cols)}) / {len(cols)} AS lfc FROM kscaled WHERE gene1 <> gene2"
+        for s, cols in LAYOUT.samples.items()
+    ),
+)
+cte(
+    "ksmf",
+    """SELECT a.sample, a.gene, (ea + coalesce(eb, ea)) / 2 AS smf FROM
+      (SELECT sample, gene1 AS gene, avg(lfc) AS ea FROM klfc WHERE gene2 = 'CTRL' GROUP BY ALL) a LEFT JOIN
+      (SELECT sample, gene2 AS gene, avg(lfc) AS eb FROM klfc WHERE gene1 = 'CTRL' GROUP BY ALL) b ON a.sample = b.sample AND a.gene = b.gene""",
+)
+cte(
+    "kdlfc",
+    """SELECT ga || '_' || gb AS gene_pair, p.sample, m - (a.smf + b.smf) AS dlfc
+       FROM (SELECT least(gene1, gene2) AS ga, greatest(gene1, gene2) AS gb, sample, median(lfc) AS m
+             FROM klfc WHERE gene1 <> 'CTRL' AND gene2 <> 'CTRL' GROUP BY ALL) p
+       JOIN ksmf a ON p.sample = a.sample AND ga = a.gene JOIN ksmf b ON p.sample = b.sample AND gb = b.gene""",
+)
+
+
+@query(
+    "zdlfc_excluded",
+    """SELECT gene_pair, d.sample, dlfc, (dlfc - mu) / sd AS zdlfc FROM kdlfc d JOIN (
+         SELECT sample, avg(dlfc) AS mu, stddev_samp(dlfc) AS sd FROM kdlfc JOIN (
+           SELECT sample, quantile_cont(dlfc, 0.025) AS lo, quantile_cont(dlfc, 0.975) AS hi FROM kdlfc GROUP BY sample)
+         USING (sample) WHERE dlfc > lo AND dlfc < hi GROUP BY sample) m ON d.sample = m.sample""",
+    ["dlfc", "zdlfc"],
+)
+def zdlfc_excluded(spark, d):
+    """Constructs of a gene with itself count for the column means only."""
+    return delta_lfc.zdlfc(_screen(spark, d), LAYOUT, keep=F.col("gene1") != F.col("gene2"))
+
+
 @query("hits", "SELECT * FROM zd WHERE zdlfc < -1.5", ["dlfc", "zdlfc"])
 def hits(spark, d):
     return filters.hits(zdlfc(spark, d), "zdlfc", -1.5)
@@ -525,7 +562,8 @@ def pair_fdr(spark, d):
 
 @query("regression_pairs", "SELECT * FROM rpairs", ["mean_observed", "mean_expected", "mean_gi", "p_val", "fdr"])
 def regression_pairs(spark, d):
-    return reg.regression_gi(_screen(spark, d), LAYOUT, essentials(spark, d), expression(spark, d), OPTIONS)
+    pairs = reg.regression_gi(_screen(spark, d), LAYOUT, essentials(spark, d), expression(spark, d), OPTIONS)
+    return pairs.drop("gene1", "gene2")
 
 
 @query(
@@ -575,14 +613,15 @@ cte(
     "observed_mode_gi",
     """SELECT d.rep, d.paralog_pair, avg(d.cs) AS mean_observed, avg(a.m + b.m) AS mean_expected,
          avg(d.cs - (intercept + slope * (a.m + b.m))) AS mean_gi
-       FROM vscore d JOIN vmean a ON d.rep = a.rep AND d.guide1 = a.g JOIN vmean b ON d.rep = b.rep AND d.guide2 = b.g
-       JOIN vfit f ON d.rep = f.rep WHERE target_class = 'DT' GROUP BY ALL""",
+       , 'double' AS broad_class FROM vscore d JOIN vmean a ON d.rep = a.rep AND d.guide1 = a.g JOIN vmean b ON d.rep = b.rep AND d.guide2 = b.g
+       JOIN vfit f ON d.rep = f.rep WHERE target_class = 'DT' GROUP BY ALL
+       UNION ALL SELECT v.rep, paralog_pair, avg(cs), avg(cs), avg(cs - (intercept + slope * cs)), 'single'
+       FROM vscore v JOIN vfit f ON v.rep = f.rep WHERE target_class IN ('ST', 'PC') AND cs IS NOT NULL GROUP BY ALL""",
     ["mean_observed", "mean_expected", "mean_gi"],
 )
 def observed_mode_gi(spark, d):
     pairs = reg.regression_gi(_screen(spark, d), LAYOUT, essentials(spark, d), expression(spark, d), OBSERVED)
-    double = pairs.where(F.col("broad_class") == "double")
-    return double.select("rep", "paralog_pair", "mean_observed", "mean_expected", "mean_gi")
+    return pairs.select("rep", "paralog_pair", "mean_observed", "mean_expected", "mean_gi", "broad_class")
 
 
 # quadratic-fit score
@@ -590,8 +629,8 @@ def observed_mode_gi(spark, d):
 def _fc_sql(source: str) -> str:
     """Depth-adjusted fold changes; a missing replicate stays out of both depth sums."""
     return ", ".join(
-        f"""log2(({c} + 10) / (t0 + 10) / (SELECT sum(t0 + 10) / sum({c} + 10) FROM {source} WHERE {c} IS NOT NULL)) AS {c}"""
-        for c in LATE
+        f"""log2(("{c}" + 10) / (t0 + 10) / (SELECT sum(t0 + 10) / sum("{c}" + 10) FROM {source} WHERE "{c}" IS NOT NULL)) AS "{c}\""""
+        for c in LINES
     )
 
 
@@ -613,13 +652,13 @@ def _quadratic_ctes(q: str, source: str) -> None:
     cte(
         f"{q}fc",
         f"SELECT {IDS}, arity, "
-        + ", ".join(f"({c} - (SELECT median({c}) FROM {q}raw WHERE arity = 'Control')) / 6.3 AS {c}" for c in LATE)
+        + ", ".join(f"""("{c}" - (SELECT median("{c}") FROM {q}raw WHERE arity = 'Control')) / 6.3 AS "{c}\"""" for c in LINES)
         + f" FROM {q}raw",
     )
     cte(
         f"{q}mean",
         f"""SELECT {IDS}, arity, CASE WHEN gene1 > gene2 THEN guide2 || '|' || guide1 ELSE guide1 || '|' || guide2 END AS guide_pair,
-            (f_a + f_n + f_r) / 3 AS "F", (o_a + o_n + o_r) / 3 AS "O" FROM {q}fc""",
+            "F", "O" FROM {q}fc""",
     )
     cte(
         f"{q}abba",
@@ -666,8 +705,26 @@ def _quadratic_ctes(q: str, source: str) -> None:
     )
 
 
-_quadratic_ctes("q", "screen")
-_quadratic_ctes("h", "masked_screen")
+cte(
+    "averaged_screen",
+    f"SELECT {IDS}, t0, " + ", ".join(f"""({' + '.join(f'coalesce({c}, 0)' for c in LAYOUT.samples[s])}) / 3 AS "{s}\"""" for s in LINES) + " FROM screen",
+)
+_low = " UNION ".join(
+    f"""SELECT '{s}' AS sample, guide{i} AS guide FROM averaged_screen GROUP BY guide{i} HAVING median("{s}") < 44""" for s in LINES for i in (1, 2)
+)
+cte("low_averaged", _low)
+cte(
+    "masked_averaged",
+    f"SELECT {IDS}, t0, "
+    + ", ".join(
+        f"""CASE WHEN guide1 NOT IN (SELECT guide FROM low_averaged WHERE sample = '{s}')
+            AND guide2 NOT IN (SELECT guide FROM low_averaged WHERE sample = '{s}') THEN "{s}" END AS "{s}\""""
+        for s in LINES
+    )
+    + " FROM averaged_screen",
+)
+_quadratic_ctes("q", "averaged_screen")
+_quadratic_ctes("h", "masked_averaged")
 
 
 def _pheno(spark, d):
@@ -677,19 +734,78 @@ def _pheno(spark, d):
 def _fitness(spark, d):
     from duoscreen.functions.labels import same_gene_is_dual, target_arity
 
-    df = _stored(spark, d).withColumn("arity", same_gene_is_dual(target_arity(CONTROL)))
-    return normalize.fitness_fold_change(df, LAYOUT, F.col("arity") == "Control")
+    df, layout = quad.one_change(_stored(spark, d), LAYOUT)
+    df = df.withColumn("arity", same_gene_is_dual(target_arity(CONTROL)))
+    df = normalize.fitness_fold_change(df, layout, F.col("arity") == "Control")
+    return df.select(*CONSTRUCT, "arity", *[F.col(cols[0]).alias(s) for s, cols in layout.samples.items()])
 
 
-@query("fitness_fc", f"SELECT {IDS}, arity, {', '.join(LATE)} FROM qfc", LATE)
+@query("fitness_fc", f"""SELECT {IDS}, arity, "F", "O" FROM qfc""", LINES)
 def fitness_fc(spark, d):
-    return _fitness(spark, d).select(*CONSTRUCT, "arity", *LATE)
+    return _fitness(spark, d)
+
+
+PAIRED = Layout(samples={"O": LAYOUT.samples["O"]}, t0={"O": LAYOUT.samples["F"]}, control=CONTROL)
+MANY = Layout(samples={"O": LAYOUT.samples["O"]}, t0={"O": LAYOUT.samples["F"]}, control=CONTROL, pairing="averaged")
+_PAIRS = list(zip(LAYOUT.samples["O"], LAYOUT.samples["F"]))
+cte(
+    "pairedraw",
+    f"SELECT {IDS}, gene1 = 'CTRL' AND gene2 = 'CTRL' AS control, "
+    + ", ".join(f"log2(({c} + 10) / ({e} + 10) / (SELECT sum({e} + 10) / sum({c} + 10) FROM screen)) AS {c}" for c, e in _PAIRS)
+    + " FROM screen",
+)
+
+
+@query(
+    "fitness_fc_paired",
+    f"SELECT {IDS}, " + ", ".join(f"({c} - (SELECT median({c}) FROM pairedraw WHERE control)) / 6.3 AS {c}" for c, _ in _PAIRS) + " FROM pairedraw",
+    [c for c, _ in _PAIRS],
+)
+def fitness_fc_paired(spark, d):
+    control = (F.col("gene1") == CONTROL) & (F.col("gene2") == CONTROL)
+    return normalize.fitness_fold_change(_stored(spark, d), PAIRED, control).select(*CONSTRUCT, *PAIRED.late)
+
+
+@query(
+    "natural_log_lfc_paired",
+    f"SELECT {IDS}, " + ", ".join(f"CASE WHEN {c} > 0 AND {e} > 0 THEN ln({c} / {e}) END AS {c}" for c, e in _PAIRS) + " FROM screen",
+    [c for c, _ in _PAIRS],
+)
+def natural_log_lfc_paired(spark, d):
+    return normalize.fold_changes(_screen(spark, d), PAIRED, None).select(*CONSTRUCT, *PAIRED.late)
+
+
+@query(
+    "rpm_mask_paired",
+    f"SELECT {IDS}, "
+    + ", ".join(f"CASE WHEN NOT ({e} * 1e6 / (SELECT sum({e}) FROM screen) < 150) THEN {x} END AS {x}" for c, e in _PAIRS for x in (c, e))
+    + " FROM screen",
+    [x for p in _PAIRS for x in p],
+)
+def rpm_mask_paired(spark, d):
+    df = filters.mask_low_pool(_screen(spark, d), PAIRED, 150.0)
+    return df.select(*CONSTRUCT, *PAIRED.late, *PAIRED.early)
+
+
+def _many_sql(one: str) -> str:
+    """Each late column minus the mean over the early ones; ``one`` is the value of column {c}."""
+    early = " + ".join(one.format(c=e) for _, e in _PAIRS)
+    return f"SELECT {IDS}, " + ", ".join(f"{one.format(c=c)} - ({early}) / 3 AS {c}" for c, _ in _PAIRS) + " FROM screen"
+
+
+@query("depth_lfc_many_early", _many_sql("log2({c} / (SELECT sum({c}) FROM screen) * 1e6 + 1)"), MANY.late)
+def depth_lfc_many_early(spark, d):
+    return normalize.depth_normalised_fold_change(_screen(spark, d), MANY).select(*CONSTRUCT, *MANY.late)
+
+
+@query("median_lfc_many_early", _many_sql("(log2({c} + 32) - (SELECT median(log2({c} + 32)) FROM screen))"), MANY.late)
+def median_lfc_many_early(spark, d):
+    return normalize.median_normalised_fold_change(_stored(spark, d), MANY).select(*CONSTRUCT, *MANY.late)
 
 
 @query("abba_average", """SELECT guide1, guide2, guide_pair, "F", "O", "F_abba", "O_abba" FROM qabba""", ["F", "O", "F_abba", "O_abba"])
 def abba_average(spark, d):
-    means = {s: normalize.row_mean_complete(c) for s, c in LAYOUT.samples.items()}
-    df = normalize.orientation_average(stage(_fitness(spark, d).withColumns(means), "fitness"), LINES)
+    df = normalize.orientation_average(stage(_fitness(spark, d), "fitness"), LINES)
     return df.select("guide1", "guide2", "guide_pair", "F", "O", "F_abba", "O_abba")
 
 
@@ -728,12 +844,12 @@ def quadratic_pairs_filtered(spark, d):
 @query(
     "matrix_lookup",
     """SELECT a.sample, a.guide1, a.guide2, (a.score_b + coalesce(b.score_b, 0)) / 2 AS score_b FROM qnorm a
-       LEFT JOIN qnorm b ON a.sample = b.sample AND a.guide1 = b.guide2 AND a.guide2 = b.guide1 WHERE a.sample = 'F'""",
+       LEFT JOIN qnorm b ON a.sample = b.sample AND a.guide1 = b.guide2 AND a.guide2 = b.guide1""",
     ["score_b"],
 )
 def matrix_lookup(spark, d):
     long = _pheno(spark, d)
     rows = stage(quad.attach_phenotypes(long, quad.guide_phenotypes(long, CONTROL)), "guide-phenotypes")
     scored = quad.in_control_units(stage(quad.query_residuals(rows), "residuals"), CONTROL)
-    one = stage(scored.where(F.col("sample") == "F").select("sample", "guide1", "guide2", "score_b"), "scored")
-    return reshape.matrix_lookup(one.drop("score_b"), one.drop("sample"), "guide1", "guide2", "score_b")
+    one = stage(scored.select("sample", "guide1", "guide2", "score_b"), "scored")
+    return reshape.matrix_lookup(one.drop("score_b"), one, "guide1", "guide2", "score_b", ["sample"])

@@ -394,12 +394,12 @@ def arity_split(spark, d):
 
 @query(
     "pack_unpack_counts",
-    f"""SELECT {IDS}, concat_ws(';', t0, f_a, f_n, f_r) AS count_replicates,
-         t0 AS c_t0, f_a AS c_f_a, f_n AS c_f_n, f_r AS c_f_r, t0 AS t0_sum, f_a + f_r AS tend_sum FROM screen""",
-    ["c_t0", "c_f_a", "c_f_n", "c_f_r", "t0_sum", "tend_sum"],
+    f"""SELECT {IDS}, concat_ws(';', {', '.join(COUNTS)}) AS count_replicates,
+         {', '.join(f'{c} AS c_{c}' for c in COUNTS)}, t0 AS t0_sum, f_a + f_r AS tend_sum FROM screen""",
+    [*[f"c_{c}" for c in COUNTS], "t0_sum", "tend_sum"],
 )
 def pack_unpack_counts(spark, d):
-    names = ["t0", "f_a", "f_n", "f_r"]
+    names = COUNTS
     df = _screen(spark, d).select(*CONSTRUCT, packed.pack(names).alias("count_replicates"))
     df = packed.unpack_columns(df, "count_replicates", [f"c_{n}" for n in names], 0.0)
     counts = packed.unpack(F.col("count_replicates"))
@@ -464,14 +464,14 @@ def expression_flags(spark, d):
 
 @query(
     "expression_join",
-    f"""SELECT {IDS}, 'F' AS sample,
+    f"""SELECT {IDS}, line.sample,
          coalesce(e1.is_expressed, CASE WHEN gene1 <> 'CTRL' THEN TRUE END)::VARCHAR AS gene1_expressed,
          coalesce(e2.is_expressed, CASE WHEN gene2 <> 'CTRL' THEN TRUE END)::VARCHAR AS gene2_expressed
-       FROM screen LEFT JOIN (SELECT * FROM expression WHERE sample = 'F') e1 ON gene1 = e1.gene
-       LEFT JOIN (SELECT * FROM expression WHERE sample = 'F') e2 ON gene2 = e2.gene""",
+       FROM screen, (VALUES ('F'), ('O')) line(sample) LEFT JOIN expression e1 ON gene1 = e1.gene AND line.sample = e1.sample
+       LEFT JOIN expression e2 ON gene2 = e2.gene AND line.sample = e2.sample""",
 )
 def expression_join(spark, d):
-    long = _screen(spark, d).select(*CONSTRUCT, F.lit("F").alias("sample"))
+    long = _screen(spark, d).select(*CONSTRUCT, F.explode(F.array(*map(F.lit, LINES))).alias("sample"))
     flags = normalize.attach_expression(long, expression(spark, d), CONTROL)
     return flags.withColumns({c: F.col(c).cast("string") for c in ("gene1_expressed", "gene2_expressed")})
 

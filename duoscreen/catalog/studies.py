@@ -9,7 +9,7 @@ from duoscreen.catalog.screens import CONTROL, IDS, _screen
 from duoscreen.operators import filters, reshape
 from duoscreen.plans import study
 from duoscreen.sources import readers
-from duoscreen.sources.lineitem_screen import LINES, REPLICATES
+from duoscreen.sources.lineitem_screen import LAYOUT, LINES, REPLICATES
 
 # Study tables derived from the screen and the order lines, ids in lower case.
 
@@ -144,12 +144,11 @@ def study_counts(spark, d):
 @query(
     "scored_gene_filter",
     """SELECT c.* FROM study_counts c WHERE target_type = 'Control' OR (
-         (gene_1 IN ('CTRL') OR EXISTS (SELECT 1 FROM study_scores s WHERE s.cell_line_origin = c.cell_line_origin AND s.SL_score < 0.0005 AND c.gene_1 IN (s.gene_1, s.gene_2)))
-         AND (gene_2 IN ('CTRL') OR EXISTS (SELECT 1 FROM study_scores s WHERE s.cell_line_origin = c.cell_line_origin AND s.SL_score < 0.0005 AND c.gene_2 IN (s.gene_1, s.gene_2))))""",
+         (gene_1 IN ('CTRL') OR EXISTS (SELECT 1 FROM study_scores s WHERE s.cell_line_origin = c.cell_line_origin AND c.gene_1 IN (s.gene_1, s.gene_2)))
+         AND (gene_2 IN ('CTRL') OR EXISTS (SELECT 1 FROM study_scores s WHERE s.cell_line_origin = c.cell_line_origin AND c.gene_2 IN (s.gene_1, s.gene_2))))""",
 )
 def scored_gene_filter(spark, d):
-    scores = study_scores(spark, d).where(F.col("SL_score") < 0.0005)
-    return filters.keep_scored_genes(study_counts(spark, d), scores, "cell_line_origin", ("gene_1", "gene_2"), ["CTRL"])
+    return filters.keep_scored_genes(study_counts(spark, d), study_scores(spark, d), "cell_line_origin", ("gene_1", "gene_2"), ["CTRL"])
 
 
 @query(
@@ -174,13 +173,12 @@ def study_sequences(spark, d):
 @query(
     "score_import",
     """SELECT upper(least(gene_1, gene_2)) || '_' || upper(greatest(gene_1, gene_2)) AS gene_pair,
-         max(-SL_score) FILTER (cell_line_origin = 'f') AS f, max(-SL_score) FILTER (cell_line_origin = 'o') AS o
-       FROM study_scores_in WHERE gene_1 < gene_2 GROUP BY gene_1, gene_2""",
+         avg(-SL_score) FILTER (cell_line_origin = 'f') AS f, avg(-SL_score) FILTER (cell_line_origin = 'o') AS o
+       FROM study_scores_in GROUP BY 1""",
     ["f", "o"],
 )
 def score_import(spark, d):
-    table = _scores_in(spark, d).where(F.col("gene_1") < F.col("gene_2"))
-    upper = table.withColumns({"gene_1": F.upper("gene_1"), "gene_2": F.upper("gene_2")})
+    upper = _scores_in(spark, d).withColumns({"gene_1": F.upper("gene_1"), "gene_2": F.upper("gene_2")})
     return study.import_scores(upper, "lines", ["f", "o"], "SL_score", ["SL_score"])
 
 
@@ -283,11 +281,11 @@ def every_second_row(spark, d):
 
 @query(
     "guide_annotation_join",
-    f"SELECT {IDS}, 'lib-' || guide1 || '-' || guide2 AS library_id FROM screen WHERE t0 >= 100",
+    f"SELECT {IDS}, 'lib-' || guide1 || '-' || guide2 AS library_id FROM screen",
 )
 def guide_annotation_join(spark, d):
     screen = _screen(spark, d).drop("gene1", "gene2")
-    annotation = _screen(spark, d).where(F.col("t0") >= 100).select(
+    annotation = _screen(spark, d).select(
         "gene1", "gene2", "guide1", "guide2", F.concat_ws("-", F.lit("lib"), "guide1", "guide2").alias("library_id")
     )
     return screen.join(annotation, ["guide1", "guide2"]).select("gene1", "gene2", "guide1", "guide2", "library_id")
@@ -295,13 +293,12 @@ def guide_annotation_join(spark, d):
 
 @query(
     "transposed_effects",
-    """SELECT 'f_a' AS rep, gene1, sum(f_a) AS reads FROM screen GROUP BY gene1 UNION ALL
-       SELECT 'o_a', gene1, sum(o_a) FROM screen GROUP BY gene1""",
+    " UNION ALL ".join(f"SELECT '{c}' AS rep, gene1, sum({c}) AS reads FROM screen GROUP BY gene1" for c in LAYOUT.late),
     ["reads"],
 )
 def transposed_effects(spark, d):
-    by_gene = _screen(spark, d).groupBy("gene1").agg(F.sum("f_a").alias("f_a"), F.sum("o_a").alias("o_a"))
-    return reshape.transpose(by_gene, "gene1", ["f_a", "o_a"], ("rep", "reads"))
+    by_gene = _screen(spark, d).groupBy("gene1").agg(*[F.sum(c).alias(c) for c in LAYOUT.late])
+    return reshape.transpose(by_gene, "gene1", LAYOUT.late, ("rep", "reads"))
 
 
 @query(

@@ -106,13 +106,25 @@ def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda s: s["h"])
 
 
+def ln_gamma_step(a: Column, b: Column) -> Column:
+    """ln Gamma(a + b) - ln Gamma(a).
+
+    For large a both terms are huge and nearly equal; there the difference of their Stirling series is taken, in which
+    the large parts cancel by hand.
+    """
+    s = a + b
+    large = (a - 0.5) * F.log1p(b / a) + b * F.log(s) - b - b / (12 * a * s) + (1 / F.pow(a, 3) - 1 / F.pow(s, 3)) / 360
+    return F.when(a > 1e4, large).otherwise(ln_gamma(s) - ln_gamma(a))
+
+
 def beta_inc(a: Column, b: Column, x: Column, y: Column | None = None) -> Column:
     """Regularised incomplete beta function I_x(a, b) for a, b >= 0.5; ``y`` is 1 - x where that is known better."""
     y = 1 - x if y is None else y
     a, b, x, y = (c.cast("double") for c in (a, b, x, y))
     log_x = F.when(x < 0.5, F.log(F.greatest(x, F.lit(_TINY)))).otherwise(F.log1p(-y))
     log_y = F.when(y < 0.5, F.log(F.greatest(y, F.lit(_TINY)))).otherwise(F.log1p(-x))
-    front = F.exp(ln_gamma(a + b) - ln_gamma(a) - ln_gamma(b) + a * log_x + b * log_y)
+    less, more = F.least(a, b), F.greatest(a, b)
+    front = F.exp(ln_gamma_step(more, less) - ln_gamma(less) + a * log_x + b * log_y)
     low = x < (a + 1) / (a + b + 2)
     fraction = _beta_fraction(
         F.when(low, a).otherwise(b), F.when(low, b).otherwise(a), F.when(low, x).otherwise(y)
@@ -124,8 +136,12 @@ def beta_inc(a: Column, b: Column, x: Column, y: Column | None = None) -> Column
 def t_two_sided_p(t: Column, df: Column) -> Column:
     """Two-sided tail probability of Student's t with fractional degrees of freedom.
 
-    NULL when t or df is NULL or df is not positive.
+    NULL when t or df is NULL or df is not positive. Beyond a million degrees of freedom, where the continued fraction
+    loses digits, t is replaced by the value with the same normal deviate at a million.
     """
-    square = t * t
+    cap = 1e6
+    deviate = (df - 0.5) * F.log1p(t * t / df)
+    square = F.when(df > cap, cap * F.expm1(deviate / (cap - 0.5))).otherwise(t * t)
+    df = F.when(df > cap, F.lit(cap)).otherwise(df)
     p = beta_inc(df / 2, F.lit(0.5), df / (df + square), square / (df + square))
     return F.when(t.isNotNull() & (df > 0), F.when(t == 0, F.lit(1.0)).otherwise(p))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duoscreen.functions.labels import pair_key
-from duoscreen.operators.ordered import HOT_ROWS, grouped_median
+from duoscreen.operators.ordered import grouped_median
 from duoscreen.screen import GENE1, GENE2
 
 
@@ -42,14 +42,14 @@ def gene_effects(long: DataFrame, control: str, value: str = "lfc", positions: s
     return both.withColumn("smf", F.try_divide(total, present))
 
 
-def pair_medians(long: DataFrame, control: str, value: str = "lfc", hot_rows: int = HOT_ROWS) -> DataFrame:
+def pair_medians(long: DataFrame, control: str, value: str = "lfc") -> DataFrame:
     """Median effect of each gene pair over both orientations."""
     pairs = (
         long.where((F.col(GENE1) != control) & (F.col(GENE2) != control))
         .withColumn("gene_a", F.least(GENE1, GENE2))
         .withColumn("gene_b", F.greatest(GENE1, GENE2))
     )
-    return grouped_median(pairs, ["gene_a", "gene_b", "sample"], value, "pair_median", hot_rows)
+    return grouped_median(pairs, ["gene_a", "gene_b", "sample"], value, "pair_median")
 
 
 def delta_effects(long: DataFrame, control: str, value: str = "lfc", positions: str = "left") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duoscreen.operators.ordered import HOT_ROWS, grouped_median
+from duoscreen.functions.rows import row_mean
+from duoscreen.operators.ordered import grouped_median
 from duoscreen.screen import GENE1, GENE2, GUIDE1, GUIDE2, Layout
 
 
@@ -31,12 +33,16 @@ def rpm(column: str, totals: str = "_totals") -> Column:
 
 
 def mask_low_pool(df: DataFrame, layout: Layout, threshold: float = 2.0) -> DataFrame:
-    """Null out the columns of a cell line where its early pool has fewer reads per million (F1)."""
+    """Null out late columns where their early pool has fewer reads per million (F1).
+
+    The pool of a late column is that of its cell line, of its own replicate, or the mean of the cell line's early
+    replicates, as the layout says.
+    """
     masked = {}
-    for sample, cols in layout.samples.items():
-        low = rpm(layout.t0_of(sample)) < threshold
-        for c in [*cols, *[layout.mid[c] for c in cols if c in layout.mid]]:
-            masked[c] = F.when(~low, F.col(c))
+    for c in layout.late:
+        low = row_mean([rpm(e) for e in layout.early_for(c)]) < threshold
+        for own in [c, layout.mid[c]] if c in layout.mid else [c]:
+            masked[own] = F.when(~low, F.col(own))
     for c in layout.early:
         masked[c] = F.when(~(rpm(c) < threshold), F.col(c))
     return with_totals(df, layout.early).withColumns(masked).drop("_totals")
@@ -74,10 +80,10 @@ def exclude(df: DataFrame, column: str, values: Sequence[str] = (), patterns: Se
     return df.where(~F.coalesce(hit, F.lit(False)))
 
 
-def guide_medians(df: DataFrame, columns: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def guide_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Median count of each guide at each position and replicate: ``(position, guide, rep, median_count)``.
 
-    Control guides sit in a large part of all constructs; the median switches method for such groups.
+    Control guides sit in a large part of all constructs; the exact median never holds a group in one task.
     """
     count_of = F.explode(F.array(*[F.struct(F.lit(c).alias("rep"), F.col(c).alias("count")) for c in columns]))
     placed = F.explode(
@@ -91,7 +97,7 @@ def guide_medians(df: DataFrame, columns: Sequence[str], hot_rows: int = HOT_ROW
         .select("_p.position", "_p.guide", count_of.alias("_c"))
         .select("position", "guide", "_c.rep", "_c.count")
     )
-    return grouped_median(long, ["position", "guide", "rep"], "count", "median_count", hot_rows)
+    return grouped_median(long, ["position", "guide", "rep"], "count", "median_count")
 
 
 def low_count_guides(df: DataFrame, columns: Sequence[str], threshold: float = 35.0) -> DataFrame:
@@ -158,13 +164,20 @@ def drop_control_pairs(df: DataFrame, column: str, token: str) -> DataFrame:
 def drop_control_genes(
     df: DataFrame, genes: Sequence[str], controls: Sequence[str], substring: bool = True
 ) -> DataFrame:
-    """Drop rows where a gene is part of a control name, or (``substring``) a control name is part of it."""
+    """Drop rows where a gene is part of a control name, or (``substring``) a control name is part of it.
+
+    The plan doesn't grow with the list: the first direction looks the gene up in one text of all control names, which
+    a gene name can't reach across, and the second is one pattern.
+    """
+    names = sorted(set(controls))
+    if not names:
+        return df
+    text, pattern = "\n".join(names), "|".join(map(re.escape, names))
     hit = F.lit(False)
-    for control in controls:
-        for gene in genes:
-            hit = hit | F.instr(F.lit(control), F.col(gene)).cast("boolean")
-            if substring:
-                hit = hit | F.col(gene).contains(control)
+    for gene in genes:
+        hit = hit | F.contains(F.lit(text), F.col(gene))
+        if substring:
+            hit = hit | F.col(gene).rlike(pattern)
     return df.where(~hit)
 
 

@@ -8,24 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duoscreen.functions.labels import gene_ordered_guides
+from duoscreen.functions.rows import row_mean, row_mean_complete  # noqa: F401
 from duoscreen.operators.filters import with_row, with_totals
 from duoscreen.operators.ordered import exact_quantiles
 from duoscreen.screen import CONSTRUCT, GENE1, GENE2, Layout
 
 
-def row_mean(columns: Sequence[str | Column]) -> Column:
-    """Mean of the present values of a row; NULL if there are none."""
-    values = [F.col(c) if isinstance(c, str) else c for c in columns]
-    total = sum((F.coalesce(v, F.lit(0.0)) for v in values), F.lit(0.0))
-    present = sum((v.isNotNull().cast("int") for v in values), F.lit(0))
-    return F.try_divide(total, present)
-
-
-def row_mean_complete(columns: Sequence[str]) -> Column:
-    """Mean of a row, NULL unless all values are present."""
-    return sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns)
-
-
 def library_sizes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Reads per sample, one row per sample."""
     return to_long(df.agg(*[F.sum(c).alias(c) for c in columns]), [], columns, "sample", "reads")
@@ -49,8 +37,8 @@ def log_ratio(late: Column, early: Column, base: float | None = 2.0) -> Column:
 
 
 def fold_changes(df: DataFrame, layout: Layout, base: float | None = 2.0) -> DataFrame:
-    """Replace every late count by its log fold change against the cell line's early column."""
-    return df.withColumns({c: log_ratio(F.col(c), F.col(layout.t0_for(c)), base) for c in layout.late})
+    """Replace every late count by its log fold change against its early column or their mean."""
+    return df.withColumns({c: log_ratio(F.col(c), row_mean(layout.early_for(c)), base) for c in layout.late})
 
 
 def sample_means(df: DataFrame, layout: Layout) -> DataFrame:
@@ -66,10 +54,10 @@ def fitness_fold_change(
     A missing late or early count leaves the replicate missing and out of the depth sums. Control medians of all
     replicates come from one exact pass over the control constructs.
     """
-    late, early = layout.late, {c: layout.t0_for(c) for c in layout.late}
-    present = {c: F.col(c).isNotNull() & F.col(early[c]).isNotNull() for c in late}
+    late, early = layout.late, {c: row_mean(layout.early_for(c)) for c in layout.late}
+    present = {c: F.col(c).isNotNull() & early[c].isNotNull() for c in late}
     sums = df.agg(
-        *[F.sum(F.when(present[c], F.col(early[c]) + pseudo)).alias(f"s_{c}") for c in late],
+        *[F.sum(F.when(present[c], early[c] + pseudo)).alias(f"s_{c}") for c in late],
         *[F.sum(F.when(present[c], F.col(c) + pseudo)).alias(f"e_{c}") for c in late],
     )
     raw = (
@@ -78,7 +66,7 @@ def fitness_fold_change(
             {
                 c: F.log2(
                     (F.col(c) + pseudo)
-                    / (F.col(early[c]) + pseudo)
+                    / (early[c] + pseudo)
                     / F.try_divide(F.col(f"_sums.s_{c}"), F.col(f"_sums.e_{c}"))
                 )
                 for c in late
@@ -115,8 +103,11 @@ def log_counts(column: str, scale: float = 1e6, pseudo: float = 1.0) -> Column:
 
 
 def depth_normalised_fold_change(df: DataFrame, layout: Layout, scale: float = 1e6, pseudo: float = 1.0) -> DataFrame:
-    """Depth-scaled log2 counts of each late replicate minus those of its early column."""
-    changes = {c: log_counts(c, scale, pseudo) - log_counts(layout.t0_for(c), scale, pseudo) for c in layout.late}
+    """Depth-scaled log2 counts of each late replicate minus those of its early column or their mean."""
+    changes = {
+        c: log_counts(c, scale, pseudo) - row_mean([log_counts(e, scale, pseudo) for e in layout.early_for(c)])
+        for c in layout.late
+    }
     return with_totals(df, [*layout.late, *layout.early]).withColumns(changes).drop("_totals")
 
 
@@ -129,7 +120,7 @@ def median_normalised_fold_change(df: DataFrame, layout: Layout, constant: float
     def centred(c: str) -> Column:
         return F.col(c) - F.col(f"_centre.{c}")
 
-    changes = {c: centred(c) - centred(layout.t0_for(c)) for c in layout.late}
+    changes = {c: centred(c) - row_mean([centred(e) for e in layout.early_for(c)]) for c in layout.late}
     return with_row(logged, replicate_row(medians, columns, "m"), "_centre").withColumns(changes).drop("_centre")
 
 

@@ -4,13 +4,16 @@ The built-in exact ``percentile`` keeps all values of a group in one buffer, and
 group sorts the group on one task. Both are fine for groups of bounded size and wrong for a group that holds a
 third of a huge table. The functions here work on *cells*: a fixed, data-independent, order-preserving cut of
 the number line. Rows are counted per cell, with partial counts before the shuffle, and the counts are summed
-along the cells of a group, whose number has a fixed upper bound. Only the rows of the cells that hold a wanted
-rank are ever shuffled and sorted, equal values as one row. The input is scanned twice: pass a stored table.
+along the cells of a group, whose number has a fixed upper bound. Equal values of a group are one row from the first shuffle
+on, and only the rows of the cells that hold a wanted rank are sorted.
 
 ``log2`` in the JVM is documented as semi-monotonic, and ``1 + x``, ``x * 2^k``, ``abs`` and ``floor`` are monotone
 in floating point, so a larger value never falls into a lower cell and the results are exact.
 
-Grouping keys must not be NULL; NULL values are skipped.
+A group whose values lie close together may fill one cell: the cells that hold a wanted rank are cut once more, evenly
+between their smallest and largest value. There is one way for groups of all sizes and for any number of groups.
+
+NULL keys form groups like any other key; NULL and NaN values are skipped.
 """
 
 from __future__ import annotations
@@ -20,12 +23,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups above this many rows leave the one-buffer percentile. It also bounds the broadcast of hot keys: a
-# table of N rows has at most N / HOT_ROWS of them.
-HOT_ROWS = 1_000_000
-
 _CELLS_PER_OCTAVE = 2**14
 _NEAR_ZERO = 2.0**20
+_CUTS_PER_CELL = 2**12
 
 
 def value_cell(value: Column) -> Column:
@@ -48,45 +48,69 @@ def _target_ranks(probs: Sequence[float], total: Column) -> list[tuple[Column, C
     return out
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner equi join in which NULL keys match each other; the keys of ``left`` stay."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(other, same).drop(*[f"_r_{k}" for k in keys])
+
+
+def _holding(cells: DataFrame, part: Sequence[str], cell: str, ranks: Column, before: Column) -> DataFrame:
+    """The cells of each part that hold one of the ranks: ``_start`` rows lie before a cell, ``_ranks`` are in it."""
+    along = Window.partitionBy(*part).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        cells.withColumn("_end", before + F.sum("_n").over(along))
+        .withColumn("_start", F.col("_end") - F.col("_n"))
+        .withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_start")) & (r < F.col("_end"))))
+        .where(F.size("_ranks") > 0)
+    )
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles per group, for few groups of any size (samples, replicates, classes).
+    """Exact interpolated quantiles per group, for any number of groups of any size.
 
-    One row per group with one column per entry of ``quantiles`` and the group size ``n``. The number of groups
-    must be bounded by the screen's layout: the picked cells are broadcast.
+    One row per group with one column per entry of ``quantiles`` and the group size ``n``.
     """
     keys = list(keys)
     probs = list(quantiles.values())
-    rows = (
-        df.where(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias("_v"))
+    number = F.col(value).cast("double")
+    counted = (
+        df.where(number.isNotNull() & ~F.isnan(number))
+        .select(*keys, number.alias("_v"))
+        .groupBy(*keys, "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_cell", value_cell(F.col("_v")))
     )
-    along = Window.partitionBy(*keys).orderBy("_cell")
     cells = (
-        rows.groupBy(*keys, "_cell")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_end", F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        counted.groupBy(*keys, "_cell")
+        .agg(F.sum("_n").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
         .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
     )
     ranks = F.array_distinct(F.array(*[r for t in _target_ranks(probs, F.col("_total")) for r in t[:2]]))
-    picked = (
-        cells.withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_start")) & (r < F.col("_end"))))
-        .where(F.size("_ranks") > 0)
-        .select(*keys, "_cell", "_start", "_total", "_ranks")
+    picked = _holding(cells, keys, "_cell", ranks, F.lit(0))
+    share = F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low"))
+    inside = join_null_safe(
+        counted, picked.select(*keys, "_cell", "_start", "_total", "_ranks", "_low", "_high"), [*keys, "_cell"]
+    ).withColumn("_cut", F.coalesce(F.floor(share * F.lit(float(_CUTS_PER_CELL))), F.lit(0)).cast("long"))
+    cuts = inside.groupBy(*keys, "_cell", "_cut").agg(
+        F.sum("_n").alias("_n"), *[F.any_value(c).alias(c) for c in ("_start", "_total", "_ranks")]
     )
-    inside = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cut_picked = _holding(cuts.withColumnRenamed("_start", "_before"), [*keys, "_cell"], "_cut", F.col("_ranks"), F.col("_before"))
+    within = join_null_safe(
+        inside.select(*keys, "_cell", "_cut", "_v", "_n"),
+        cut_picked.select(*keys, "_cell", "_cut", "_start", "_total", "_ranks"),
+        [*keys, "_cell", "_cut"],
+    )
+    last = Window.partitionBy(*keys, "_cell", "_cut").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
-        rows.join(F.broadcast(picked), [*keys, "_cell"])
-        .groupBy(*keys, "_cell", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"), *[F.any_value(c).alias(c) for c in ("_start", "_total", "_ranks")])
-        .withColumn("_end", F.col("_start") + F.sum("_n").over(inside))
+        within.withColumn("_end", F.col("_start") + F.sum("_n").over(last))
         .withColumn("_begin", F.col("_end") - F.col("_n"))
         .withColumn("_rank", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_begin")) & (r < F.col("_end")))))
     )
-    total = F.col("_total")
     aggs = [F.max("_total").alias("n")]
-    for name, (low, high, _) in zip(quantiles, _target_ranks(probs, total)):
+    for name, (low, high, _) in zip(quantiles, _target_ranks(probs, F.col("_total"))):
         aggs.append(F.max(F.when(F.col("_rank") == low, F.col("_v"))).alias(f"_low_{name}"))
         aggs.append(F.max(F.when(F.col("_rank") == high, F.col("_v"))).alias(f"_high_{name}"))
     found = hits.groupBy(*keys).agg(*aggs)
@@ -97,33 +121,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
     return found.select(*keys, *out, "n")
 
 
-def grouped_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Exact quantiles for any number of groups (pairs, guides), of which a few may be very large.
-
-    Groups of at most ``hot_rows`` rows use the built-in percentile. Larger ones go through the cell method. With
-    no large group, adaptive execution sees the empty key list and drops that branch.
-    """
-    keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value))
-    hot = (
-        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
-    )
-    cold = (
-        rows.join(F.broadcast(hot), keys, "left_anti")
-        .groupBy(*keys)
-        .agg(
-            *[F.percentile(value, F.lit(float(p))).alias(name) for name, p in quantiles.items()],
-            F.count(F.lit(1)).alias("n"),
-        )
-    )
-    large = exact_quantiles(rows.join(F.broadcast(hot), keys, "left_semi"), keys, value, quantiles)
-    return cold.unionByName(large)
-
-
-def grouped_median(df: DataFrame, keys: Sequence[str], value: str, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return grouped_quantiles(df, keys, value, {name: 0.5}, hot_rows).drop("n")
+def grouped_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    return exact_quantiles(df, keys, value, {name: 0.5}).drop("n")
 
 
 def bh_fdr(df: DataFrame, keys: Sequence[str], p: str, name: str = "fdr") -> DataFrame:

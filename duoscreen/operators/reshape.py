@@ -57,10 +57,16 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return df.groupBy(*keys).agg(F.min(ranked).alias("_first")).select(*keys, *[f"_first.{c}" for c in rest])
 
 
-def matrix_lookup(pairs: DataFrame, scores: DataFrame, a: str, b: str, value: str) -> DataFrame:
-    """Mean of a sparse matrix and its transpose at ``(a, b)``; an absent cell counts as zero."""
-    direct = scores.select(a, b, F.col(value).alias("_ab"))
-    mirrored = swap_keys(scores.select(a, b, F.col(value).alias("_ba")), a, b)
-    both = pairs.join(direct, [a, b], "left").join(mirrored, [a, b], "left")
+def matrix_lookup(
+    pairs: DataFrame, scores: DataFrame, a: str, b: str, value: str, groups: Sequence[str] = ()
+) -> DataFrame:
+    """Mean of a sparse matrix and its transpose at ``(a, b)``; an absent cell counts as zero.
+
+    groups: columns that tell several matrices in one table apart.
+    """
+    keys = [*groups, a, b]
+    direct = scores.select(*keys, F.col(value).alias("_ab"))
+    mirrored = swap_keys(scores.select(*keys, F.col(value).alias("_ba")), a, b)
+    both = pairs.join(direct, keys, "left").join(mirrored, keys, "left")
     mean = (F.coalesce("_ab", F.lit(0.0)) + F.coalesce("_ba", F.lit(0.0))) / 2
     return both.withColumn(value, mean).drop("_ab", "_ba")

@@ -37,16 +37,39 @@ def pair_residuals(
     long: DataFrame, control: str, filter_genes: Sequence[str] = (), ignore_orientation: bool = True
 ) -> DataFrame:
     """Observed, expected and residual fold change of every double construct (G6, ``return_residuals``)."""
+    residuals = all_residuals(long, control, filter_genes, ignore_orientation)
+    return residuals.where(F.col("residual").isNotNull())
+
+
+def unscored_constructs(
+    long: DataFrame, control: str, filter_genes: Sequence[str] = (), ignore_orientation: bool = True
+) -> DataFrame:
+    """Double constructs without a residual because a gene has no single construct (audit)."""
+    residuals = all_residuals(long, control, filter_genes, ignore_orientation)
+    return residuals.where(F.col("residual").isNull()).select(*CONSTRUCT, "sample", "gene_pair", "lfc")
+
+
+def all_residuals(
+    long: DataFrame, control: str, filter_genes: Sequence[str] = (), ignore_orientation: bool = True
+) -> DataFrame:
+    """All double constructs; residual and expected are NULL where a single effect is missing.
+
+    With ``ignore_orientation`` a gene that has no single construct at its own position takes its mean at the other.
+    """
     parts = split_by_arity(long, control)
     single = parts["single"]
     first = single.where(F.col(GENE2) == control).groupBy("sample", GENE1).agg(F.avg("lfc").alias("single1"))
     second = single.where(F.col(GENE1) == control).groupBy("sample", GENE2).agg(F.avg("lfc").alias("single2"))
     combn = drop_listed_genes(parts["combn"], filter_genes) if filter_genes else parts["combn"]
     key = pair_key(F.col(GENE1), F.col(GENE2)) if ignore_orientation else F.concat_ws("_", GENE1, GENE2)
+    joined = combn.join(first, ["sample", GENE1], "left").join(second, ["sample", GENE2], "left")
+    if ignore_orientation:
+        for gene, own, other in ((GENE1, "single1", second), (GENE2, "single2", first)):
+            names = {GENE1: gene, GENE2: gene, "single1": "_other", "single2": "_other"}
+            joined = joined.join(other.withColumnsRenamed(names), ["sample", gene], "left")
+            joined = joined.withColumn(own, F.coalesce(own, "_other")).drop("_other")
     return (
-        combn.join(first, ["sample", GENE1])
-        .join(second, ["sample", GENE2])
-        .withColumn("gene_pair", key)
+        joined.withColumn("gene_pair", key)
         .withColumn("expected", F.col("single1") + F.col("single2"))
         .withColumn("residual", F.col("lfc") - F.col("expected"))
         .drop("single1", "single2")
@@ -81,7 +104,13 @@ def call_hits(
 
 
 def moderated_gi(
-    screen: DataFrame, layout: Layout, filter_genes: Sequence[str] = (), ignore_orientation: bool = True
+    screen: DataFrame,
+    layout: Layout,
+    filter_genes: Sequence[str] = (),
+    ignore_orientation: bool = True,
+    min_reads: float = 0.0,
+    max_reads: float = float("inf"),
 ) -> DataFrame:
-    long = stage(screen_fold_changes(screen, layout), "fold-changes")
+    """Scores and calls of all pairs of constructs whose early reads lie in the window."""
+    long = stage(screen_fold_changes(screen, layout, min_reads, max_reads), "fold-changes")
     return call_hits(score_pairs(pair_residuals(long, layout.control, filter_genes, ignore_orientation)))

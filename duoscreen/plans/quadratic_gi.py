@@ -2,17 +2,20 @@
 
 The guide-by-guide score matrix is never built. Every fit is a set of sums per query guide, the residuals stay on
 their constructs, and the matrix mean with its transpose is a sum over the two rows of a guide pair.
-Guide pairs must be unique per cell line.
+A guide pair may be repeated: every row takes part in the fits, and the last row's scores stand for the pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duoscreen.functions.labels import pair_key, same_gene_is_dual, target_arity
 from duoscreen.operators.filters import mask_low_count_guides
 from duoscreen.operators.normalize import (
+    average_sides,
     fitness_fold_change,
     orientation_average,
     row_mean_complete,
@@ -23,11 +26,33 @@ from duoscreen.screen import CONSTRUCT, GENE1, GENE2, GUIDE1, GUIDE2, Layout
 from duoscreen.session import stage
 
 
+def one_change(screen: DataFrame, layout: Layout) -> tuple[DataFrame, Layout]:
+    """Counts with zero for missing ones, and per cell line as many late as early columns.
+
+    A cell line with equal numbers keeps its replicates, compared pair by pair. Otherwise the counts of each side are
+    averaged first, so that the cell line has one fold change.
+    """
+    df = screen.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in [*layout.late, *layout.early]})
+    samples, t0 = {}, {}
+    for sample, late in layout.samples.items():
+        early = layout.early_of(sample)
+        if len(early) == len(late):
+            samples[sample], t0[sample] = list(late), early
+        else:
+            names = (f"{sample}_t0", f"{sample}_tend")
+            df = average_sides(df, early, late, names)
+            samples[sample], t0[sample] = [names[1]], [names[0]]
+    return df, Layout(samples, t0, layout.control)
+
+
 def construct_phenotypes(
     screen: DataFrame, layout: Layout, threshold: float = 35.0, pseudo: float = 10.0
 ) -> DataFrame:
     """Phenotype of each construct by cell line, averaged over orientations: ``(construct, arity, sample, fc)``."""
-    df = screen if threshold <= 0 else stage(mask_low_count_guides(screen, layout.late, threshold), "masked-screen")
+    df, layout = one_change(screen, layout)
+    df = stage(df.select(*CONSTRUCT, *layout.late, *layout.early), "counts")
+    if threshold > 0:
+        df = stage(mask_low_count_guides(df, layout.late, threshold), "masked-screen")
     df = df.withColumn("arity", same_gene_is_dual(target_arity(layout.control)))
     df = fitness_fold_change(df, layout, F.col("arity") == "Control", pseudo)
     means = {s: row_mean_complete(cols) for s, cols in layout.samples.items()}
@@ -101,19 +126,23 @@ def toward_zero(value):
     return F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("double")
 
 
-def construct_gi(long: DataFrame, control: str, truncate_first: bool = True) -> DataFrame:
+def construct_gi(long: DataFrame, control: str, truncate_first: bool = True, order: Sequence[str] = ()) -> DataFrame:
     """Score of every construct: residuals of both fits, averaged over the guide pair's two orientations.
 
     A construct present in one orientation only keeps half of its weight. ``truncate_first`` cuts the residuals of
-    the first fit to whole numbers.
+    the first fit to whole numbers. Of rows that repeat a guide pair, the last by ``order`` (columns of ``long``; by
+    default the genes and the fold change) gives all of them its scores.
     """
     df = stage(attach_phenotypes(long, guide_phenotypes(long, control)), "guide-phenotypes")
     df = in_control_units(stage(query_residuals(df), "residuals"), control)
     if truncate_first:
         df = df.withColumn("score_a", toward_zero(F.col("score_a")))
+    key = Window.partitionBy("sample", GUIDE1, GUIDE2)
+    last = F.row_number().over(key.orderBy(*[F.col(c).desc() for c in order or [GENE1, GENE2, "fc", "pheno1", "pheno2"]]))
+    df = df.withColumn("_own", F.when(last == 1, F.col("score_a") + F.col("score_b")).otherwise(0.0))
     unordered = Window.partitionBy("sample", F.least(GUIDE1, GUIDE2), F.greatest(GUIDE1, GUIDE2))
     share = F.when(F.col(GUIDE1) == F.col(GUIDE2), 2.0).otherwise(4.0)
-    return df.withColumn("gi", F.sum(F.col("score_a") + F.col("score_b")).over(unordered) / share)
+    return df.withColumn("gi", F.sum("_own").over(unordered) / share).drop("_own")
 
 
 def gene_pair_gi(constructs: DataFrame, control: str) -> DataFrame:

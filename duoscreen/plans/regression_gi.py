@@ -271,41 +271,48 @@ def single_gi(singles: DataFrame, fit: DataFrame) -> DataFrame:
 
 
 def single_pool(singles_gi: DataFrame) -> DataFrame:
-    """Moments of all single residuals of a replicate: the reference sample of the Welch test."""
-    pooled = singles_gi.groupBy("rep").agg(
-        F.sum("n_pairs").alias("pool_n"), F.sum("sum_gi").alias("_s"), F.sum("sum_gi2").alias("_q")
-    )
-    mean = F.col("_s") / F.col("pool_n")
-    spread = F.greatest(F.col("_q") - F.col("_s") * mean, F.lit(0.0))
-    return pooled.select(
-        "rep", "pool_n", mean.alias("pool_mean"), F.try_divide(spread, F.col("pool_n") - 1).alias("pool_var")
+    """Moments of all single residuals of a replicate: the reference sample of the Welch test.
+
+    Squares are taken about the mean: those within a guide's matches plus those of the guides' means.
+    """
+    totals = singles_gi.groupBy("rep").agg(F.sum("n_pairs").alias("pool_n"), F.sum("sum_gi").alias("_s"))
+    totals = totals.withColumn("pool_mean", F.col("_s") / F.col("pool_n")).drop("_s")
+    own = F.greatest(F.col("sum_gi2") - F.col("sum_gi") * F.col("mean_gi"), F.lit(0.0))
+    apart = F.col("n_pairs") * F.pow(F.col("mean_gi") - F.col("pool_mean"), 2)
+    return (
+        singles_gi.join(F.broadcast(totals), "rep")
+        .groupBy("rep", "pool_n", "pool_mean")
+        .agg(F.sum(own + apart).alias("_m2"))
+        .select("rep", "pool_n", "pool_mean", F.try_divide(F.col("_m2"), F.col("pool_n") - 1).alias("pool_var"))
     )
 
 
 def pair_tests(doubles_gi: DataFrame, singles_gi: DataFrame) -> DataFrame:
     """Welch t, p-value and FDR of each pair's residuals against the single residuals."""
-    pairs = moments(doubles_gi, ["rep", PAIR], "gi_score", "pair")
+    pairs = moments(doubles_gi, ["rep", GENE1, GENE2, PAIR], "gi_score", "pair")
     tested = pairs.join(F.broadcast(single_pool(singles_gi)), "rep", "left").withColumns(welch("pool", "pair"))
     return bh_fdr(stage(with_t_p(tested), "pair-tests"), ["rep"], "p_val", "fdr")
 
 
 def pair_scores(doubles_gi: DataFrame, singles_gi: DataFrame) -> DataFrame:
-    """Mean observed, expected and residual per replicate and pair, doubles with test results."""
+    """Mean observed, expected and residual per replicate and pair, doubles with genes and test results."""
     doubles = (
-        doubles_gi.groupBy("rep", PAIR)
+        doubles_gi.groupBy("rep", GENE1, GENE2, PAIR)
         .agg(
             F.avg("observed_score").alias("mean_observed"),
             F.avg("expected_score").alias("mean_expected"),
             F.avg("gi_score").alias("mean_gi"),
         )
         .withColumn("broad_class", F.lit("double"))
-        .join(pair_tests(doubles_gi, singles_gi).select("rep", PAIR, "p_val", "fdr"), ["rep", PAIR], "left")
+        .join(pair_tests(doubles_gi, singles_gi).select("rep", GENE1, GENE2, "p_val", "fdr"), ["rep", GENE1, GENE2], "left")
     )
     n = F.sum("n_pairs")
     singles = singles_gi.groupBy("rep", PAIR).agg(
         (F.sum("sum_o") / n).alias("mean_observed"),
         (F.sum("sum_e") / n).alias("mean_expected"),
         (F.sum("sum_gi") / n).alias("mean_gi"),
+        F.lit(None).cast("string").alias(GENE1),
+        F.lit(None).cast("string").alias(GENE2),
         F.lit("single").alias("broad_class"),
         F.lit(None).cast("double").alias("p_val"),
         F.lit(None).cast("double").alias("fdr"),
@@ -336,6 +343,6 @@ def regression_gi(
 def wide_pairs(pairs: DataFrame, layout: Layout) -> DataFrame:
     """One row per pair: score, FDR and p-value of every cell line, alphabetical key."""
     doubles = pairs.where((F.col("broad_class") == "double") & F.col("rep").isin(list(layout.samples)))
-    wide = widen(doubles, [PAIR], "rep", list(layout.samples), {"gi": "mean_gi", "fdr": "fdr", "p_val": "p_val"})
-    genes = F.split(PAIR, "_", 2)
-    return wide.withColumn(PAIR, pair_key(F.get(genes, F.lit(0)), F.get(genes, F.lit(1))))
+    values = {"gi": "mean_gi", "fdr": "fdr", "p_val": "p_val"}
+    wide = widen(doubles, [GENE1, GENE2], "rep", list(layout.samples), values)
+    return wide.withColumn(PAIR, pair_key(F.col(GENE1), F.col(GENE2))).drop(GENE1, GENE2)

@@ -136,7 +136,11 @@ def prepare_study(
 def import_scores(
     table: DataFrame, study, lines: Sequence[str], score: str, flip: Sequence[str] = ()
 ) -> DataFrame:
-    """One column per cell line from a table of precomputed scores, in this engine's sign and key."""
+    """One column per cell line from a table of precomputed scores, in this engine's sign and key.
+
+    A pair that a table holds several times in a cell line, in one orientation or both, gets the mean of its scores.
+    """
     one = flip_sign(table, flip).where(F.col("study_origin") == study)
     keyed = one.withColumn("gene_pair", pair_key(F.col("gene_1"), F.col("gene_2")))
-    return widen(keyed, ["gene_pair"], "cell_line_origin", lines, {"": score})
+    single = keyed.groupBy("gene_pair", "cell_line_origin").agg(F.avg(score).alias(score))
+    return widen(single, ["gene_pair"], "cell_line_origin", lines, {"": score})

@@ -7,14 +7,16 @@ against. For construct c with guides i and j of genes g and h in cell line l
 
 with Gaussian priors on x1, x2, xx, y, s and a Gamma prior on tau. Control genes have y = 0, pairs with a control
 s = 0. One sweep updates x1, x2, y, s, then xx and tau; each update is a sum over rows, grouped by guide, by gene
-or by pair. Parameter tables are written when they change. The row table is rewritten once per sweep, which also
-cuts the lineage.
+or by pair. Constructs of two genes and constructs with a control are two tables, so no row takes part in a join on
+something that it doesn't have. Rows carry the moments of their parameters, and an update refreshes only those that it
+changed. Each sweep writes its tables and removes those of the sweep before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,11 +25,15 @@ from duoscreen.functions.labels import pair_key
 from duoscreen.operators.normalize import median_normalised_fold_change, row_mean, to_long
 from duoscreen.operators.ordered import exact_quantiles, grouped_median
 from duoscreen.screen import CONSTRUCT, GENE1, GENE2, GUIDE1, GUIDE2, Layout
-from duoscreen.session import stage
+from duoscreen.session import discard, stage
+
+PAIR = ["gene_a", "gene_b", "sample"]
 
 
 @dataclass(frozen=True)
 class Priors:
+    """rate: of the noise prior; None takes ``shape`` times the variance of a replicate mean in the cell line."""
+
     mean_x: float = 1.0
     sd_x: float = 1.0
     mean_xx: float = 1.0
@@ -37,149 +43,187 @@ class Priors:
     mean_s: float = 0.0
     sd_s: float = 10.0
     shape: float = 0.5
-    rate: float = 0.5
+    rate: float | None = None
 
 
 @dataclass
 class Model:
-    rows: DataFrame  # construct by cell line, with d, tau, xx, xx2
+    doubles: DataFrame  # constructs of two genes by cell line, with the moments of all their parameters
+    singles: DataFrame  # constructs with a control: position, gene, guide and their moments
     first: DataFrame  # x1, by guide at position 1
     second: DataFrame  # x2, by guide at position 2
     genes: DataFrame  # y, by gene and cell line
     pairs: DataFrame  # s, by pair and cell line
     errors: list[DataFrame]  # mean absolute error per cell line, one table per sweep
+    bounds: list[DataFrame]  # evidence bound up to a constant, one row per sweep
 
 
 def fold_changes(screen: DataFrame, layout: Layout, constant: float = 32.0) -> DataFrame:
-    """Median-normalised fold change by construct and cell line."""
+    """Median-normalised fold change by construct and cell line, and the variance of that replicate mean."""
     df = median_normalised_fold_change(screen, layout, constant)
-    means = df.select(*CONSTRUCT, *[row_mean(cols).alias(s) for s, cols in layout.samples.items()])
-    return to_long(means, CONSTRUCT, list(layout.samples), "sample", "d").where(F.col("d").isNotNull())
+
+    def both(cols: Sequence[str]) -> Column:
+        mean = row_mean(cols)
+        n = sum((F.col(c).isNotNull().cast("int") for c in cols), F.lit(0))
+        squares = sum((F.coalesce(F.pow(F.col(c) - mean, 2), F.lit(0.0)) for c in cols), F.lit(0.0))
+        return F.struct(mean.alias("d"), F.when(n > 1, squares / (n - 1) / n).alias("noise"))
+
+    means = df.select(*CONSTRUCT, *[both(cols).alias(s) for s, cols in layout.samples.items()])
+    long = to_long(means, CONSTRUCT, list(layout.samples), "sample", "m")
+    return long.select(*CONSTRUCT, "sample", "m.d", "m.noise").where(F.col("d").isNotNull())
 
 
 def initialise(long: DataFrame, control: str, priors: Priors = Priors()) -> Model:
-    """Starting values: x = xx = 1, y the median of a gene's control constructs, s the median pair remainder."""
+    """Starting values: x = xx = 1, y the median of a gene's control constructs, s the median pair remainder.
+
+    long: construct, sample, d and, unless ``priors`` has a rate, noise. Noise of lines without replicates is 1.
+    """
     c1, c2 = F.col(GENE1) == control, F.col(GENE2) == control
     rows = long.where((F.col(GENE1) != F.col(GENE2)) & ~(c1 & c2))
-    rows = stage(
-        rows.withColumns(
-            {
-                "pair": F.when(~c1 & ~c2, pair_key(F.col(GENE1), F.col(GENE2))),
-                "tau": F.lit(priors.shape / priors.rate),
-                "xx": F.lit(1.0),
-                "xx2": F.lit(1.0),
-            }
-        ),
-        "rows",
+    if priors.rate is None:
+        spread = rows.groupBy("sample").agg((priors.shape * F.coalesce(F.avg("noise"), F.lit(1.0))).alias("rate"))
+        rows = rows.join(F.broadcast(spread), "sample")
+    else:
+        rows = rows.withColumn("rate", F.lit(priors.rate))
+    one = {c: F.lit(1.0) for c in ("x", "x2")}
+    rows = stage(rows.select(*CONSTRUCT, "sample", "d", "rate").withColumn("tau", priors.shape / F.col("rate")), "rows")
+    alone = rows.where(c1 | c2).select(
+        "sample", "d", "rate", "tau", *CONSTRUCT, F.when(c1, 2).otherwise(1).alias("position"),
+        F.when(c1, F.col(GENE2)).otherwise(F.col(GENE1)).alias("gene"), F.when(c1, F.col(GUIDE2)).otherwise(F.col(GUIDE1)).alias("guide"),
     )
-    alone = rows.where(F.col("pair").isNull()).withColumn("gene", F.when(c1, F.col(GENE2)).otherwise(F.col(GENE1)))
     known = grouped_median(alone, ["gene", "sample"], "d", "y")
     every = rows.select(F.explode(F.array(GENE1, GENE2)).alias("gene"), "sample").distinct().where(F.col("gene") != control)
     genes = every.join(known, ["gene", "sample"], "left").withColumn("y", F.coalesce("y", F.lit(priors.mean_y)))
     genes = stage(genes.withColumn("y2", F.col("y") * F.col("y")), "genes")
-    doubles = rows.where(F.col("pair").isNotNull())
-    a = genes.select(F.col("gene").alias(GENE1), "sample", F.col("y").alias("ya"))
-    b = genes.select(F.col("gene").alias(GENE2), "sample", F.col("y").alias("yb"))
-    left = doubles.join(a, [GENE1, "sample"]).join(b, [GENE2, "sample"])
-    left = left.withColumn("rest", F.col("d") - F.col("ya") - F.col("yb"))
-    pairs = grouped_median(left, ["pair", "sample"], "rest", "s").withColumn("s2", F.col("s") * F.col("s"))
-    one = [F.lit(1.0).alias("x"), F.lit(1.0).alias("x2")]
-    first = rows.where(~c1).select(F.col(GUIDE1).alias("guide")).distinct().select("guide", *one)
-    second = rows.where(~c2).select(F.col(GUIDE2).alias("guide")).distinct().select("guide", *one)
-    return Model(rows, stage(first, "x1"), stage(second, "x2"), genes, stage(pairs, "pairs"), [])
-
-
-def _attach(model: Model) -> DataFrame:
-    """Rows with the current moments of all their parameters; absent ones (controls) are zero.
-
-    The parameter tables are by guide, gene and pair, far smaller than the rows; their real size decides the join.
-    """
-    df = model.rows
+    two = rows.where(~c1 & ~c2).withColumns({"gene_a": F.least(GENE1, GENE2), "gene_b": F.greatest(GENE1, GENE2)})
+    two = _with_genes(two, genes).withColumns({k: F.lit(1.0) for k in ("a", "a2", "b", "b2", "xx", "xx2")})
+    left = two.withColumn("rest", F.col("d") - F.col("ya") - F.col("yb"))
+    pairs = stage(grouped_median(left, PAIR, "rest", "s").withColumn("s2", F.col("s") * F.col("s")), "pairs")
+    singles = alone.join(genes, ["gene", "sample"], "left").withColumns(one)
+    sides = [
+        stage(rows.where(~c).select(F.col(g).alias("guide")).distinct().withColumns(one), "x") for c, g in ((c1, GUIDE1), (c2, GUIDE2))
+    ]
+    return Model(stage(two.join(pairs, PAIR), "doubles"), stage(singles, "singles"), *sides, genes, pairs, [], [])
+
+
+def _with_genes(doubles: DataFrame, genes: DataFrame) -> DataFrame:
+    for gene, y in ((GENE1, "ya"), (GENE2, "yb")):
+        side = genes.select(F.col("gene").alias(gene), "sample", F.col("y").alias(y), F.col("y2").alias(f"{y}2"))
+        doubles = doubles.drop(y, f"{y}2").join(side, [gene, "sample"])
+    return doubles
+
+
+def _with_guides(doubles: DataFrame, guides: DataFrame, key: str, name: str) -> DataFrame:
+    side = guides.select(F.col("guide").alias(key), F.col("x").alias(name), F.col("x2").alias(f"{name}2"))
+    return doubles.drop(name, f"{name}2").join(side, key)
+
+
+def _posterior(parts: DataFrame, keys: Sequence[str], mean: float, sd: float, names: tuple[str, str]) -> DataFrame:
+    """Gaussian update from weights ``w`` and weighted remainders ``r``: mean and second moment."""
+    sums = parts.groupBy(*keys).agg(F.sum("w").alias("w"), F.sum("r").alias("r"))
+    precision = F.lit(1.0 / sd**2) + F.col("w")
+    value = (F.lit(mean / sd**2) + F.col("r")) / precision
+    return sums.select(*keys, value.alias(names[0]), (value * value + F.lit(1.0) / precision).alias(names[1]))
 
-    def side(table: DataFrame, keys: dict[str, str], values: dict[str, str]) -> DataFrame:
-        return table.select(*[F.col(k).alias(v) for k, v in keys.items()], *[F.col(k).alias(v) for k, v in values.items()])
 
-    df = df.join(side(model.first, {"guide": GUIDE1}, {"x": "a", "x2": "a2"}), GUIDE1, "left")
-    df = df.join(side(model.second, {"guide": GUIDE2}, {"x": "b", "x2": "b2"}), GUIDE2, "left")
-    df = df.join(side(model.genes, {"gene": GENE1, "sample": "sample"}, {"y": "ya", "y2": "ya2"}), [GENE1, "sample"], "left")
-    df = df.join(side(model.genes, {"gene": GENE2, "sample": "sample"}, {"y": "yb", "y2": "yb2"}), [GENE2, "sample"], "left")
-    df = df.join(model.pairs, ["pair", "sample"], "left")
-    filled = ["a", "a2", "b", "b2", "ya", "ya2", "yb", "yb2", "s", "s2"]
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in filled})
+def evidence_bound(
+    doubles: DataFrame, singles: DataFrame, first: DataFrame, second: DataFrame, genes: DataFrame, pairs: DataFrame, priors: Priors
+) -> DataFrame:
+    """What the updates raise, up to a constant: one row, right after the noise was updated.
 
+    With the noise at its optimum a row adds the log of its precision; each Gaussian parameter takes its divergence
+    from the prior. xx has one value for all cell lines of a construct.
+    """
 
-def _posterior(sums: DataFrame, keys: Sequence[str], mean: float, sd: float, names: tuple[str, str]) -> DataFrame:
-    """Gaussian update from a summed weight ``_w`` and weighted remainder ``_r``: mean and second moment."""
-    precision = F.lit(1.0 / sd**2) + F.col("_w")
-    value = (F.lit(mean / sd**2) + F.col("_r")) / precision
-    return sums.select(*keys, value.alias(names[0]), (value * value + F.lit(1.0) / precision).alias(names[1]))
+    def noise(df: DataFrame) -> DataFrame:
+        return df.select(((priors.shape + 0.5) * F.log("tau")).alias("part"))
 
+    def prior(df: DataFrame, value: str, mean: float, sd: float) -> DataFrame:
+        m = F.col(value)
+        v = F.col(f"{value}2") - m * m
+        cost = F.lit(-0.5) * F.log(v) + (v + (m - mean) * (m - mean)) / (2 * sd**2)
+        return df.select((-cost).alias("part"))
 
-def _sums(df: DataFrame, keys: Sequence[str], weight: Column, remainder: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(F.sum(weight).alias("_w"), F.sum(remainder).alias("_r"))
+    xx = doubles.groupBy(*CONSTRUCT).agg(F.max("xx").alias("xx"), F.max("xx2").alias("xx2"))
+    parts = [
+        noise(doubles), noise(singles), prior(xx, "xx", priors.mean_xx, priors.sd_xx),
+        prior(first, "x", priors.mean_x, priors.sd_x), prior(second, "x", priors.mean_x, priors.sd_x),
+        prior(genes, "y", priors.mean_y, priors.sd_y), prior(pairs, "s", priors.mean_s, priors.sd_s),
+    ]
+    return reduce(DataFrame.unionByName, parts).agg(F.sum("part").alias("bound"))
 
 
-def sweep(model: Model, control: str, priors: Priors = Priors()) -> Model:
+def sweep(model: Model, priors: Priors = Priors()) -> Model:
     """One round of updates."""
     d, tau = F.col("d"), F.col("tau")
     one, two, both = F.col("a") * F.col("ya"), F.col("b") * F.col("yb"), F.col("xx") * F.col("s")
-
-    df = _attach(model).where(F.col(GENE1) != control)
-    sums = _sums(df, [GUIDE1], tau * F.col("ya2"), tau * F.col("ya") * (d - two - both))
-    first = _posterior(sums.withColumnRenamed(GUIDE1, "guide"), ["guide"], priors.mean_x, priors.sd_x, ("x", "x2"))
-    model = Model(model.rows, stage(first, "x1"), model.second, model.genes, model.pairs, model.errors)
-
-    df = _attach(model).where(F.col(GENE2) != control)
-    sums = _sums(df, [GUIDE2], tau * F.col("yb2"), tau * F.col("yb") * (d - one - both))
-    second = _posterior(sums.withColumnRenamed(GUIDE2, "guide"), ["guide"], priors.mean_x, priors.sd_x, ("x", "x2"))
-    model = Model(model.rows, model.first, stage(second, "x2"), model.genes, model.pairs, model.errors)
-
-    parts = F.array(
-        F.struct(
-            F.col(GENE1).alias("gene"),
-            (tau * F.col("a2")).alias("w"),
-            (tau * F.col("a") * (d - two - both)).alias("r"),
-        ),
-        F.struct(
-            F.col(GENE2).alias("gene"),
-            (tau * F.col("b2")).alias("w"),
-            (tau * F.col("b") * (d - one - both)).alias("r"),
-        ),
+    doubles, singles = model.doubles, model.singles
+
+    def guides(position: int, key: str, y: str, other: Column) -> DataFrame:
+        own = doubles.select(F.col(key).alias("guide"), (tau * F.col(f"{y}2")).alias("w"), (tau * F.col(y) * (d - other - both)).alias("r"))
+        alone = singles.where(F.col("position") == position).select("guide", (tau * F.col("y2")).alias("w"), (tau * F.col("y") * d).alias("r"))
+        return stage(_posterior(own.unionByName(alone), ["guide"], priors.mean_x, priors.sd_x, ("x", "x2")), "x")
+
+    first = guides(1, GUIDE1, "ya", two)
+    doubles = _with_guides(doubles, first, GUIDE1, "a")
+    second = guides(2, GUIDE2, "yb", one)
+    doubles = _with_guides(doubles, second, GUIDE2, "b")
+    numbered = first.withColumn("position", F.lit(1)).unionByName(second.withColumn("position", F.lit(2)))
+    singles = singles.drop("x", "x2").join(numbered, ["position", "guide"])
+
+    sides = F.array(
+        F.struct(F.col(GENE1).alias("gene"), (tau * F.col("a2")).alias("w"), (tau * F.col("a") * (d - two - both)).alias("r")),
+        F.struct(F.col(GENE2).alias("gene"), (tau * F.col("b2")).alias("w"), (tau * F.col("b") * (d - one - both)).alias("r")),
     )
-    df = _attach(model).select("sample", F.explode(parts).alias("p")).where(F.col("p.gene") != control)
-    sums = _sums(df.select("sample", "p.*"), ["gene", "sample"], F.col("w"), F.col("r"))
-    genes = _posterior(sums, ["gene", "sample"], priors.mean_y, priors.sd_y, ("y", "y2"))
-    model = Model(model.rows, model.first, model.second, stage(genes, "genes"), model.pairs, model.errors)
+    parts = doubles.select("sample", F.explode(sides).alias("p")).select("sample", "p.*")
+    parts = parts.unionByName(singles.select("sample", "gene", (tau * F.col("x2")).alias("w"), (tau * F.col("x") * d).alias("r")))
+    genes = stage(_posterior(parts, ["gene", "sample"], priors.mean_y, priors.sd_y, ("y", "y2")), "genes")
+    doubles = _with_genes(doubles, genes)
+    singles = singles.drop("y", "y2").join(genes, ["gene", "sample"])
 
-    df = _attach(model).where(F.col("pair").isNotNull())
-    sums = _sums(df, ["pair", "sample"], tau * F.col("xx2"), tau * F.col("xx") * (d - one - two))
-    pairs = _posterior(sums, ["pair", "sample"], priors.mean_s, priors.sd_s, ("s", "s2"))
-    model = Model(model.rows, model.first, model.second, model.genes, stage(pairs, "pairs"), model.errors)
+    parts = doubles.select(*PAIR, (tau * F.col("xx2")).alias("w"), (tau * F.col("xx") * (d - one - two)).alias("r"))
+    pairs = stage(_posterior(parts, PAIR, priors.mean_s, priors.sd_s, ("s", "s2")), "pairs")
+    doubles = doubles.drop("s", "s2").join(pairs, PAIR)
 
     # A construct has one row per cell line, so this window is over a handful of rows.
     lines = Window.partitionBy(*CONSTRUCT)
-    df = _attach(model)
     precision = F.lit(1.0 / priors.sd_xx**2) + F.sum(tau * F.col("s2")).over(lines)
     remainder = F.lit(priors.mean_xx / priors.sd_xx**2) + F.sum(tau * F.col("s") * (d - one - two)).over(lines)
-    df = df.withColumn("_p", precision).withColumn("_m", remainder / F.col("_p"))
-    df = df.withColumns({"xx": F.col("_m"), "xx2": F.col("_m") * F.col("_m") + F.lit(1.0) / F.col("_p")})
+    doubles = doubles.withColumn("_p", precision).withColumn("_m", remainder / F.col("_p"))
+    doubles = doubles.withColumns({"xx": F.col("_m"), "xx2": F.col("_m") * F.col("_m") + F.lit(1.0) / F.col("_p")}).drop("_p", "_m")
+
+    def noise(df: DataFrame, fitted: Column, spread: Column) -> DataFrame:
+        df = df.withColumn("error", d - fitted)
+        square = F.col("error") * F.col("error") + spread
+        return df.withColumn("tau", F.lit(priors.shape + 0.5) / (F.col("rate") + 0.5 * square))
+
     spread = (
         F.col("a2") * F.col("ya2") - one * one + F.col("b2") * F.col("yb2") - two * two + F.col("xx2") * F.col("s2") - both * both
     )
-    df = df.withColumn("error", d - one - two - both)
-    df = df.withColumn(
-        "tau", F.lit(priors.shape + 0.5) / (F.lit(priors.rate) + 0.5 * (F.col("error") * F.col("error") + spread))
-    )
-    rows = stage(df.select(*CONSTRUCT, "sample", "d", "pair", "tau", "xx", "xx2", "error"), "rows")
-    errors = stage(rows.groupBy("sample").agg(F.avg(F.abs("error")).alias("mae")), "errors")
-    return Model(rows.drop("error"), model.first, model.second, model.genes, model.pairs, [*model.errors, errors])
+    alone = F.col("x") * F.col("y")
+    doubles = stage(noise(doubles, one + two + both, spread), "doubles")
+    singles = stage(noise(singles, alone, F.col("x2") * F.col("y2") - alone * alone), "singles")
+    rest = doubles.select("sample", "error").unionByName(singles.select("sample", "error"))
+    errors = stage(rest.groupBy("sample").agg(F.avg(F.abs("error")).alias("mae")), "errors")
+    bound = stage(evidence_bound(doubles, singles, first, second, genes, pairs, priors), "bound")
+    for old in (model.doubles, model.singles, model.first, model.second, model.genes, model.pairs):
+        discard(old)
+    return Model(doubles, singles, first, second, genes, pairs, [*model.errors, errors], [*model.bounds, bound])
 
 
-def infer(long: DataFrame, control: str, sweeps: int = 20, priors: Priors = Priors()) -> Model:
-    """Fit the model with a fixed number of sweeps."""
+def infer(long: DataFrame, control: str, sweeps: int = 20, priors: Priors = Priors(), tolerance: float = 1e-3) -> Model:
+    """Fit the model until a sweep raises the evidence bound by at most ``tolerance`` of it, or for ``sweeps`` sweeps.
+
+    The driver reads one number per sweep.
+    """
     model = initialise(long, control, priors)
+    before = None
     for _ in range(sweeps):
-        model = sweep(model, control, priors)
+        model = sweep(model, priors)
+        now = model.bounds[-1].first()["bound"]
+        if before is not None and now is not None and now - before <= tolerance * abs(now):
+            break
+        before = now
     return model
 
 
@@ -192,14 +236,19 @@ def convergence(model: Model) -> DataFrame:
     return out
 
 
+def bounds(model: Model) -> DataFrame:
+    """Evidence bound after each sweep, up to a constant: ``(sweep, bound)``."""
+    numbered = [b.select(F.lit(i).alias("sweep"), "bound") for i, b in enumerate(model.bounds, start=1)]
+    return reduce(DataFrame.unionByName, numbered)
+
+
 def effects(model: Model) -> DataFrame:
-    """Fitted effects per pair and cell line: ``(pair, sample, s, y_a, y_b)``."""
-    genes = F.split("pair", "_", 2)
-    df = model.pairs.withColumn("gene_a", F.get(genes, F.lit(0))).withColumn("gene_b", F.get(genes, F.lit(1)))
+    """Fitted effects per pair and cell line: ``(gene_a, gene_b, pair, sample, s, y_a, y_b)``."""
+    df = model.pairs
     for gene, name in (("gene_a", "y_a"), ("gene_b", "y_b")):
         side = model.genes.select(F.col("gene").alias(gene), "sample", F.col("y").alias(name))
         df = df.join(side, [gene, "sample"], "left")
-    return df.select("pair", "sample", "s", "y_a", "y_b")
+    return df.select("gene_a", "gene_b", pair_key(F.col("gene_a"), F.col("gene_b")).alias("pair"), "sample", "s", "y_a", "y_b")
 
 
 def positive_control_threshold(model: Model, genes: Sequence[str]) -> DataFrame:

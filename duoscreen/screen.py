@@ -19,20 +19,31 @@ class Layout:
     """Which columns of a screen table hold which sample.
 
     samples: cell line -> its late replicate columns.
-    t0:      cell line -> its early column, or one column for all lines.
+    t0:      cell line -> its early column or columns, or the same for all lines.
+    pairing: with several early columns, ``paired`` compares late replicate i with early replicate i, and ``averaged``
+             compares each late replicate with the mean of the cell line's early ones.
     mid:     late replicate column -> mid time point column of the same replicate (optional).
     control: token that stands for a control gene.
     """
 
     samples: dict[str, list[str]]
-    t0: dict[str, str] | str
+    t0: dict[str, str | list[str]] | str | list[str]
     control: str = "CTRL"
     mid: dict[str, str] = field(default_factory=dict)
+    pairing: str = "paired"
+
+    def __post_init__(self) -> None:
+        if self.pairing not in ("paired", "averaged"):
+            raise ValueError(f"pairing is paired or averaged, not {self.pairing}")
+        for sample, cols in self.samples.items():
+            n = len(self.early_of(sample))
+            if self.pairing == "paired" and n not in (1, len(cols)):
+                raise ValueError(f"{sample} has {len(cols)} late and {n} early replicates, which can't be paired")
 
     @classmethod
-    def by_token(cls, columns: list[str], tokens: list[str], t0: dict[str, str] | str, control: str = "CTRL") -> "Layout":
+    def by_token(cls, columns: list[str], tokens: list[str], t0, control: str = "CTRL") -> "Layout":
         """Group late columns by the cell-line token that their name contains; early columns are left out."""
-        early = {t0} if isinstance(t0, str) else set(t0.values())
+        early = {c for x in (t0.values() if isinstance(t0, dict) else [t0]) for c in ([x] if isinstance(x, str) else x)}
         return cls({t: [c for c in columns if t in c and c not in early] for t in tokens}, t0, control)
 
     @property
@@ -41,13 +52,19 @@ class Layout:
 
     @property
     def early(self) -> list[str]:
-        return sorted({self.t0_of(s) for s in self.samples})
+        return sorted({c for s in self.samples for c in self.early_of(s)})
 
-    def t0_of(self, sample: str) -> str:
-        return self.t0 if isinstance(self.t0, str) else self.t0[sample]
+    def early_of(self, sample: str) -> list[str]:
+        own = self.t0[sample] if isinstance(self.t0, dict) else self.t0
+        return [own] if isinstance(own, str) else list(own)
 
     def sample_of(self, column: str) -> str:
         return next(s for s, cols in self.samples.items() if column in cols)
 
-    def t0_for(self, column: str) -> str:
-        return self.t0_of(self.sample_of(column))
+    def early_for(self, column: str) -> list[str]:
+        """The early columns that a late column is compared with."""
+        sample = self.sample_of(column)
+        early = self.early_of(sample)
+        if len(early) == 1 or self.pairing == "averaged":
+            return early
+        return [early[self.samples[sample].index(column)]]

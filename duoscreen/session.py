@@ -4,22 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read: the session's ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a temporary folder of its own. A cluster session
+    Only a single-machine session (``local``, ``local[n]``) without that setting gets a temporary folder of its own. A cluster session
     without it is an error, because a folder on one machine does not outlive that machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
     global _local_dir
     if _local_dir is None:
@@ -35,4 +38,15 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/duoscreen/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a frame that ``stage`` returned and nothing will read again; any other frame is left alone."""
+    path = _paths.pop(df, None)
+    if path is not None:
+        context = df.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)

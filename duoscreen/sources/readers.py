@@ -20,12 +20,18 @@ def screen_schema(ids: Sequence[str], counts: Sequence[str]) -> T.StructType:
 def read_counts(
     spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = "\t", header: bool = True
 ) -> DataFrame:
-    """Delimited or parquet screen counts (S1). Give a schema for delimited files: no inference pass is made."""
+    """Delimited or parquet screen counts (S1). Give a schema for delimited files: no inference pass is made.
+
+    ``NA`` in a count column is NULL; in a string column it stays a name.
+    """
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
     reader = spark.read.option("sep", sep).option("header", header).option("nullValue", _NEVER)
     reader = reader.option("emptyValue", "").option("nanValue", "NA")
-    return (reader.schema(schema) if schema is not None else reader).csv(path)
+    if schema is None:
+        return reader.csv(path)
+    counts = [f.name for f in schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return reader.schema(schema).csv(path).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in counts})
 
 
 def read_gene_list(spark: SparkSession, path: str, column: str, sep: str = "\t") -> DataFrame:

@@ -1,3 +1,5 @@
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,9 +39,33 @@ def test_low_guides(spark):
 def test_guide_medians_of_hot_guides(spark):
     rows = [("hot", f"b{i % 7}", float(i % 50)) for i in range(300)] + [("cold", "b0", 3.0)]
     df = spark.createDataFrame(rows, "guide1 string, guide2 string, r1 double")
-    plain = {tuple(r) for r in filters.guide_medians(df, ["r1"]).collect()}
-    split = {tuple(r) for r in filters.guide_medians(df, ["r1"], hot_rows=20).collect()}
-    assert plain == split
+    got = {(r.position, r.guide): r.median_count for r in filters.guide_medians(df, ["r1"]).collect()}
+    want = {(1, "hot"): 24.5, (1, "cold"): 3.0}
+    for k in range(7):
+        counts = [float(i % 50) for i in range(300) if i % 7 == k] + ([3.0] if k == 0 else [])
+        want[2, f"b{k}"] = statistics.median(counts)
+    assert got == want
+
+
+def test_control_lists(spark):
+    df = spark.createDataFrame([("A", "B"), ("CTRL.1", "B"), ("B", "TRL"), ("xSAFEx", "B"), ("A.B", "Z"), ("A_B", "Z")], "g1 string, g2 string")
+    many = ["CTRL", "SAFE", "A.B", *[f"N{i}" for i in range(3000)]]
+    both = {tuple(r) for r in filters.drop_control_genes(df, ["g1", "g2"], many).collect()}
+    assert both == {("A_B", "Z")}
+    part = {tuple(r) for r in filters.drop_control_genes(df, ["g1", "g2"], ["CTRL", "SAFE"], substring=False).collect()}
+    assert part == {("CTRL.1", "B"), ("xSAFEx", "B"), ("A.B", "Z"), ("A_B", "Z")}
+
+
+def test_early_pools_by_replicate(spark):
+    df = spark.createDataFrame([(1.0, 50.0, 5.0, 6.0), (99.0, 50.0, 7.0, 8.0)], "e1 double, e2 double, r1 double, r2 double")
+    paired = Layout({"L": ["r1", "r2"]}, {"L": ["e1", "e2"]})
+    rows = filters.mask_low_pool(df, paired, 100_000.0).orderBy("e2", "r2").collect()
+    assert sorted((r.r1, r.r2) for r in rows if r.r1 is None) == [(None, 6.0)]
+    averaged = Layout({"L": ["r1", "r2"]}, {"L": ["e1", "e2"]}, pairing="averaged")
+    kept = filters.mask_low_pool(df, averaged, 300_000.0).collect()
+    assert sorted((r.r1 is None, r.r2 is None) for r in kept) == [(False, False), (True, True)]
+    with pytest.raises(ValueError):
+        Layout({"L": ["r1", "r2", "r3"]}, {"L": ["e1", "e2"]})
 
 
 def test_audit_complements_filter(spark):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duoscreen.operators.ordered import bh_fdr, exact_quantiles, grouped_quantiles, probability_cell, value_cell
+from duoscreen.operators.ordered import bh_fdr, exact_quantiles, probability_cell, value_cell
 
 QUANTILES = {"low": 0.025, "mid": 0.5, "high": 0.975}
 
@@ -19,8 +19,7 @@ def sample_values(kind, n, rng):
     return [float(rng.randint(0, 500)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("method", ["cells", "mixed"])
-def test_quantiles_match_numpy(spark, method):
+def test_quantiles_match_numpy(spark):
     rng = random.Random(1)
     groups = {
         (k, i): sample_values(k, n, rng)
@@ -29,10 +28,7 @@ def test_quantiles_match_numpy(spark, method):
     }
     rows = [(k, i, v) for (k, i), vs in groups.items() for v in vs] + [("normal", 0, None)]
     df = spark.createDataFrame(rows, "k string, i int, v double")
-    if method == "cells":
-        out = exact_quantiles(df, ["k", "i"], "v", QUANTILES)
-    else:
-        out = grouped_quantiles(df, ["k", "i"], "v", QUANTILES, hot_rows=5)
+    out = exact_quantiles(df, ["k", "i"], "v", QUANTILES)
     got = {(r.k, r.i): r for r in out.collect()}
     assert set(got) == set(groups)
     for key, values in groups.items():
@@ -42,6 +38,23 @@ def test_quantiles_match_numpy(spark, method):
             assert got[key][name] == pytest.approx(want, rel=1e-12, abs=1e-12)
 
 
+def test_quantiles_with_nan_null_keys_and_a_crowded_cell(spark):
+    rng = random.Random(9)
+    groups = {
+        "a": [5.0 + rng.random() * 1e-9 for _ in range(3000)],
+        None: [1.0, 2.0, 3.0, -1.0],
+        "b": [float("inf"), float("-inf"), 0.0, -0.0, 7.0],
+    }
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", float("nan")), (None, float("nan")), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", {"low": 0.1, "mid": 0.5}).collect()}
+    assert set(got) == set(groups)
+    for key, values in groups.items():
+        assert got[key].n == len(values)
+        assert got[key].mid == np.median(values)
+    assert got["a"].low == pytest.approx(np.percentile(groups["a"], 10), rel=1e-15)
+
+
 def test_cells_keep_order(spark):
     rng = random.Random(2)
     values = sorted(sample_values("heavy", 2000, rng) + [0.0, -0.0, 1e300, -1e300, 5e-324])

@@ -1,10 +1,7 @@
 """Registered queries against their SQL twins on the smallest tables.
 
-``DUOSCREEN_ALL=1`` runs every query; the default is a choice that covers each score.
 """
 
-import os
-
 import pytest
 from conftest import SMALL
 
@@ -12,13 +9,7 @@ import __spark_entry__ as contract
 from duoscreen.catalog import QUERIES
 from duoscreen.catalog.check import compare, connect
 
-CHOICE = [
-    "screen_counts", "rpm_mask", "zero_mask", "target_class", "canonical_pair", "pack_unpack_counts", "low_guide_mask",
-    "rep_correlation", "construct_ids", "smf", "dlfc", "zdlfc", "position_correlation", "crispr_scores", "other_control",
-    "regression_pairs", "quadratic_pairs", "moderated_pairs", "variational_scores", "study_counts", "study_scores",
-    "score_import", "alias_lookup",
-]
-NAMES = list(QUERIES) if os.environ.get("DUOSCREEN_ALL") else CHOICE
+NAMES = list(QUERIES)
 
 
 @pytest.fixture(scope="module")

@@ -13,6 +13,7 @@ from duoscreen.operators.normalize import control_scaled
 from duoscreen.operators.stats import gaussian_kde, histogram, moderated_t, quadratic_fit, trimmed_z
 from duoscreen.plans import delta_lfc, moderated_gi, quadratic_gi, regression_gi, variational_gi
 from duoscreen.screen import Layout
+from duoscreen.session import stage
 
 LAYOUT = Layout(samples={"L": ["r1", "r2"]}, t0="t0")
 
@@ -39,11 +40,13 @@ def test_trimmed_z_of_its_own_output_is_identity(spark):
 
 def test_pair_median_of_hot_pair(spark, constructs):
     long = delta_lfc.sample_fold_changes(constructs, LAYOUT)
-    plain = {tuple(r) for r in pair_medians(long, "CTRL").collect()}
-    split = {tuple(r) for r in pair_medians(long, "CTRL", hot_rows=5).collect()}
-    assert {p[:3] for p in plain} == {s[:3] for s in split}
-    for p, s in zip(sorted(plain), sorted(split)):
-        assert p[3] == pytest.approx(s[3], abs=1e-12)
+    values = {}
+    for r in long.where("gene1 != 'CTRL' AND gene2 != 'CTRL'").collect():
+        values.setdefault((min(r.gene1, r.gene2), max(r.gene1, r.gene2), r.sample), []).append(r.lfc)
+    got = {(r.gene_a, r.gene_b, r.sample): r.pair_median for r in pair_medians(long, "CTRL").collect()}
+    assert set(got) == set(values)
+    for key, own in values.items():
+        assert got[key] == pytest.approx(np.median(own), abs=1e-12)
 
 
 def test_control_scaling_sets_class_medians(spark):
@@ -227,7 +230,7 @@ def test_variational_model_recovers_effects(spark):
                 true = effect[g] + effect[h] + extra.get((g, h), extra.get((h, g), 0.0))
                 rows.append((g, h, f"{g}{i}", f"{h}{j}", "L", float(true + rng.normal(0, 0.05))))
     long = spark.createDataFrame(rows, "gene1 string, gene2 string, guide1 string, guide2 string, sample string, d double")
-    model = variational_gi.infer(long, "CTRL", 4, variational_gi.Priors(rate=0.005))
+    model = variational_gi.infer(long, "CTRL", 4, variational_gi.Priors(rate=0.005), tolerance=0.0)
     mae = [r.mae for r in variational_gi.convergence(model).orderBy("sweep").collect()]
     assert len(mae) == 4 and mae[-1] < 0.04 and mae[-1] <= mae[0]
     pairs = variational_gi.effects(model)
@@ -243,6 +246,62 @@ def test_variational_model_recovers_effects(spark):
         assert r.sensitive_lethality == pytest.approx(min(r.y_a, r.y_b) - (r.y_a + r.y_b + r.s))
 
 
+def test_variational_bound_rises_with_defaults_and_old_tables_go(spark, tmp_path, monkeypatch):
+    from duoscreen.catalog.screens import LAYOUT as SCREEN, _stored
+
+    monkeypatch.setattr("duoscreen.session.shared_dir", lambda _: str(tmp_path))
+    long = stage(variational_gi.fold_changes(_stored(spark, "/root/testdata/sf0.01"), SCREEN), "long")
+    model = variational_gi.infer(long, "CTRL")
+    found = [r.bound for r in variational_gi.bounds(model).orderBy("sweep").collect()]
+    assert len(found) > 2 and found == sorted(found) and found[-1] - found[-2] <= 1e-3 * abs(found[-1])
+    kept = [p.name.split("-")[0] for p in (tmp_path / "duoscreen").iterdir()]
+    assert kept.count("doubles") == 1 and kept.count("genes") == 1 and kept.count("bound") == len(found)
+
+
+def test_gene_names_with_underscores(spark):
+    rng = np.random.default_rng(11)
+    genes = ["CTRL", "HLA_A", "HLA", "A_B", "B"]
+    rows = [(g, h, f"{g}{i}", f"{h}{j}", "L", float(rng.normal())) for g in genes for h in genes if g != h for i in range(2) for j in range(2)]
+    long = spark.createDataFrame(rows, "gene1 string, gene2 string, guide1 string, guide2 string, sample string, d double")
+    fitted = variational_gi.effects(variational_gi.infer(long, "CTRL", 1, variational_gi.Priors(rate=0.1)))
+    assert fitted.count() == 6 and fitted.where("y_a IS NULL OR y_b IS NULL OR s IS NULL").count() == 0
+
+
+def test_quadratic_score_averages_counts_before_the_fold_change(spark):
+    rows = [("CTRL", "CTRL", "c1", "c2", 100.0, 100.0, 100.0, 100.0), ("A", "B", "a1", "b1", 100.0, 1.0, 10.0, 400.0), ("B", "A", "b1", "a1", 100.0, None, 10.0, 400.0)]
+    df = spark.createDataFrame(rows, "gene1 string, gene2 string, guide1 string, guide2 string, t0 double, r1 double, r2 double, r3 double")
+    layout = Layout(samples={"L": ["r1", "r2", "r3"]}, t0="t0")
+    got = {(r.gene1, r.gene2): r.fc for r in quadratic_gi.construct_phenotypes(df, layout, threshold=0).collect()}
+    one, two = (1 + 10 + 400) / 3, (0 + 10 + 400) / 3
+    change = [(math.log2((late + 10) / 110) - math.log2((100 + 10) / 110)) / 6.3 for late in (one, two)]
+    assert got["A", "B"] == pytest.approx(sum(change) / 2, abs=1e-12) and got["A", "B"] > 0
+
+
+def test_repeated_guide_pair_counts_once(spark, constructs):
+    long = quadratic_gi.construct_phenotypes(constructs, LAYOUT, threshold=0)
+    again = long.unionByName(long.where("guide1 = 'A.0' AND guide2 = 'B.0'"))
+    own = {(r.guide1, r.guide2): r for r in quadratic_gi.construct_gi(again, "CTRL", False).collect()}
+    pair = own["A.0", "B.0"]
+    back = own["B.0", "A.0"]
+    assert pair.gi == pytest.approx((pair.score_a + pair.score_b + back.score_a + back.score_b) / 4)
+
+
+def test_moderated_residuals_and_audit(spark):
+    rows = [("A", "CTRL", 1.0), ("CTRL", "B", 2.0), ("A", "B", 5.0), ("B", "A", 6.0), ("A", "C", 7.0)]
+    long = spark.createDataFrame([(g, h, g + "1", h + "1", "L", v) for g, h, v in rows], "gene1 string, gene2 string, guide1 string, guide2 string, sample string, lfc double")
+    got = {(r.gene1, r.gene2): r.residual for r in moderated_gi.pair_residuals(long, "CTRL").collect()}
+    assert got == {("A", "B"): 2.0, ("B", "A"): 3.0}
+    assert [(r.gene1, r.gene2) for r in moderated_gi.unscored_constructs(long, "CTRL").collect()] == [("A", "C")]
+    ordered = {(r.gene1, r.gene2) for r in moderated_gi.pair_residuals(long, "CTRL", ignore_orientation=False).collect()}
+    assert ordered == {("A", "B")}
+
+
+def test_excluded_constructs_count_for_the_mean(spark, constructs):
+    every = {tuple(r)[:5]: r.lfc for r in delta_lfc.sample_fold_changes(constructs, LAYOUT).collect()}
+    kept = {tuple(r)[:5]: r.lfc for r in delta_lfc.sample_fold_changes(constructs, LAYOUT, keep=F.col("gene1") != "C").collect()}
+    assert kept == {k: v for k, v in every.items() if k[0] != "C"} and len(kept) < len(every)
+
+
 def test_density_integrates_to_one(spark):
     rng = np.random.default_rng(6)
     df = spark.createDataFrame([("L", float(v)) for v in rng.normal(size=300)], "sample string, v double")

@@ -14,6 +14,15 @@ def test_literal_na_stays_a_gene(spark, tmp_path):
     schema = readers.screen_schema(["id", "g1", "g2"], ["t0", "r1"])
     rows = readers.read_counts(spark, str(path), schema).orderBy("id").collect()
     assert (rows[0].g2, rows[0].t0, rows[1].g1) == ("NA", 5.0, "None")
+    assert (rows[0].r1, rows[1].r1) == (7.0, None)
+    assert readers.read_counts(spark, str(path), schema).agg(F.avg("r1")).first()[0] == 7.0
+
+
+def test_scores_in_both_orientations_are_averaged(spark):
+    rows = [("A", "B", "f", 1.0, "s"), ("B", "A", "f", 3.0, "s"), ("A", "C", "f", 5.0, "s"), ("A", "C", "o", 9.0, "t")]
+    table = spark.createDataFrame(rows, "gene_1 string, gene_2 string, cell_line_origin string, x double, study_origin string")
+    got = {r.gene_pair: (r.f, r.o) for r in study.import_scores(table, "s", ["f", "o"], "x").collect()}
+    assert got == {"A_B": (2.0, None), "A_C": (5.0, None)}
 
 
 def test_gene_lists(spark, tmp_path):

@@ -29,6 +29,14 @@ def test_t_probability_against_quadrature(spark):
         assert p == pytest.approx(1 - 2 * scale * area, abs=1e-10)
 
 
+def test_t_probability_with_very_many_degrees(spark):
+    cases = [(t, d) for t in (0.3, 1.96, 5.0) for d in (1e9, 1e11, 1e13)]
+    df = spark.createDataFrame([(i, t, d) for i, (t, d) in enumerate(cases)], "i int, t double, d double")
+    got = [r.p for r in df.select("i", t_two_sided_p(F.col("t"), F.col("d")).alias("p")).orderBy("i").collect()]
+    for p, (t, _) in zip(got, cases):
+        assert p == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-7)
+
+
 def test_missing_inputs_give_null(spark):
     df = spark.createDataFrame([(None, 2.0), (1.0, None), (1.0, 0.0)], "t double, d double")
     assert [r[0] for r in df.select(t_two_sided_p(F.col("t"), F.col("d"))).collect()] == [None, None, None]

@@ -54,8 +54,8 @@ class Model:
     second: DataFrame  # x2, by guide at position 2
     genes: DataFrame  # y, by gene and cell line
     pairs: DataFrame  # s, by pair and cell line
-    errors: list[DataFrame]  # mean absolute error per cell line, one table per sweep
-    bounds: list[DataFrame]  # evidence bound up to a constant, one row per sweep
+    errors: list[dict[str, float]]  # mean absolute error per cell line, after each sweep
+    bounds: list[float]  # evidence bound up to a constant, after each sweep
 
 
 def fold_changes(screen: DataFrame, layout: Layout, constant: float = 32.0) -> DataFrame:
@@ -150,7 +150,7 @@ def evidence_bound(
         prior(first, "x", priors.mean_x, priors.sd_x), prior(second, "x", priors.mean_x, priors.sd_x),
         prior(genes, "y", priors.mean_y, priors.sd_y), prior(pairs, "s", priors.mean_s, priors.sd_s),
     ]
-    return reduce(DataFrame.unionByName, parts).agg(F.sum("part").alias("bound"))
+    return reduce(DataFrame.unionByName, parts).agg(F.sum("part").alias("value"))
 
 
 def sweep(model: Model, priors: Priors = Priors()) -> Model:
@@ -204,23 +204,26 @@ def sweep(model: Model, priors: Priors = Priors()) -> Model:
     doubles = stage(noise(doubles, one + two + both, spread), "doubles")
     singles = stage(noise(singles, alone, F.col("x2") * F.col("y2") - alone * alone), "singles")
     rest = doubles.select("sample", "error").unionByName(singles.select("sample", "error"))
-    errors = stage(rest.groupBy("sample").agg(F.avg(F.abs("error")).alias("mae")), "errors")
-    bound = stage(evidence_bound(doubles, singles, first, second, genes, pairs, priors), "bound")
+    errors = rest.groupBy("sample").agg(F.avg(F.abs("error")).alias("value"))
+    bound = evidence_bound(doubles, singles, first, second, genes, pairs, priors)
+    numbers = errors.unionByName(bound.select(F.lit(None).cast("string").alias("sample"), "value")).collect()
+    mae = {r["sample"]: r["value"] for r in numbers if r["sample"] is not None}
+    evidence = next(r["value"] for r in numbers if r["sample"] is None)
     for old in (model.doubles, model.singles, model.first, model.second, model.genes, model.pairs):
         discard(old)
-    return Model(doubles, singles, first, second, genes, pairs, [*model.errors, errors], [*model.bounds, bound])
+    return Model(doubles, singles, first, second, genes, pairs, [*model.errors, mae], [*model.bounds, evidence])
 
 
 def infer(long: DataFrame, control: str, sweeps: int = 20, priors: Priors = Priors(), tolerance: float = 1e-3) -> Model:
     """Fit the model until a sweep raises the evidence bound by at most ``tolerance`` of it, or for ``sweeps`` sweeps.
 
-    The driver reads one number per sweep.
+    The driver reads the bound and one error per cell line after each sweep.
     """
     model = initialise(long, control, priors)
     before = None
     for _ in range(sweeps):
         model = sweep(model, priors)
-        now = model.bounds[-1].first()["bound"]
+        now = model.bounds[-1]
         if before is not None and now is not None and now - before <= tolerance * abs(now):
             break
         before = now
@@ -229,17 +232,13 @@ def infer(long: DataFrame, control: str, sweeps: int = 20, priors: Priors = Prio
 
 def convergence(model: Model) -> DataFrame:
     """Mean absolute error per cell line after each sweep."""
-    out = None
-    for i, errors in enumerate(model.errors, start=1):
-        numbered = errors.select(F.lit(i).alias("sweep"), "sample", "mae")
-        out = numbered if out is None else out.unionByName(numbered)
-    return out
+    rows = [(i, s, e) for i, by_line in enumerate(model.errors, start=1) for s, e in by_line.items()]
+    return model.genes.sparkSession.createDataFrame(rows, "sweep int, sample string, mae double")
 
 
 def bounds(model: Model) -> DataFrame:
     """Evidence bound after each sweep, up to a constant: ``(sweep, bound)``."""
-    numbered = [b.select(F.lit(i).alias("sweep"), "bound") for i, b in enumerate(model.bounds, start=1)]
-    return reduce(DataFrame.unionByName, numbered)
+    return model.genes.sparkSession.createDataFrame(list(enumerate(model.bounds, start=1)), "sweep int, bound double")
 
 
 def effects(model: Model) -> DataFrame:

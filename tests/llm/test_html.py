@@ -37,6 +37,15 @@ def test_style_tree_finds_repeated_branches(spark):
         assert r.text == (own if r.page_id < 6 else f"Same words on all pages\n{own}\nCall us")
 
 
+def test_style_tree_judges_containers_inside_main(spark):
+    def page(i):
+        return f"<main><h1>Title {i}</h1><p>Text {i}</p><div class=z9>Read our other posts</div><div class=z8>Box {i}</div><p>Same line</p></main><div>out {i}</div>"
+
+    rows = [(i, f"http://one.example/{i}", page(i), "") for i in range(5)]
+    for r in html_tree.extract(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert r.text == f"Title {r.page_id}\nText {r.page_id}\nBox {r.page_id}\nSame line"
+
+
 def test_broken_and_long_markup(spark):
     odd = ["<p>a<p", "<<<>>> x </div></div> y", '<a title="b>c</a> d', "<script>never closed", "<p>" * 5000 + "deep" + "</div>" * 50, "<div>" * 3000 + "z", "&#x110000; &bogus; &amp", "<p>" + "w " * 200000]
     got = extracted(spark, [(i, "http://h/", h, "") for i, h in enumerate(odd)])

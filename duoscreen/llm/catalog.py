@@ -26,7 +26,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_quotation_linking")
+QUOTE_SQL = r"""
+WITH RECURSIVE messages AS MATERIALIZED (
+    SELECT *, row_number() OVER () AS msg FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+), raws AS (
+    SELECT conv_id, turn, msg, unnest(string_split_regex(coalesce(text, ''), '\r\n|\r|\n')) AS raw,
+        generate_subscripts(string_split_regex(coalesce(text, ''), '\r\n|\r|\n'), 1) AS line
+    FROM messages
+), lines AS (
+    SELECT conv_id, turn, msg, line, regexp_replace(raw, '^((?:[ \t]*>)+)[ \t]?', '') AS content,
+        length(regexp_replace(regexp_extract(raw, '^((?:[ \t]*>)+)[ \t]?', 1), '[^>]', '', 'g')) AS level
+    FROM raws
+), marked AS (
+    SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY msg ORDER BY line) THEN 0 ELSE 1 END AS fresh FROM lines
+), numbered AS (
+    SELECT *, sum(fresh) OVER (PARTITION BY msg ORDER BY line) AS run FROM marked
+), passages AS MATERIALIZED (
+    SELECT conv_id, turn, msg, run, level, string_agg(content, chr(10) ORDER BY line) AS content FROM numbered GROUP BY ALL
+), parts AS (
+    SELECT *, list_concat([content], string_split(content, chr(10)), string_split_regex(content, '\n[ \t]*\n')) AS texts FROM passages
+), keys AS MATERIALIZED (
+    SELECT DISTINCT conv_id, turn, msg, run, level, part, part = trim(regexp_replace(lower(content), '\s+', ' ', 'g')) AS whole FROM (
+        SELECT *, trim(regexp_replace(lower(unnest(texts)), '\s+', ' ', 'g')) AS part FROM parts)
+    WHERE part <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), originals AS (
+    SELECT conv_id, part, min(turn) AS original FROM keys WHERE level = 0 GROUP BY ALL
+), votes AS (
+    SELECT k.conv_id, k.turn, msg, run, level, original, count(*) AS n, max(whole::INT) AS whole
+    FROM keys k JOIN originals o ON k.conv_id = o.conv_id AND k.part = o.part AND original < k.turn WHERE level > 0 GROUP BY ALL
+), links AS MATERIALIZED (
+    SELECT conv_id, turn, msg, run, level, arg_max(original, (whole, n, original)) AS original FROM votes GROUP BY ALL
+), by_message AS MATERIALIZED (
+    SELECT conv_id, turn, msg, count(*) AS n_linked, arg_max(original, (-level, original)) AS parent FROM links GROUP BY ALL
+), parents AS MATERIALIZED (
+    SELECT conv_id, turn, max(parent) AS parent FROM by_message GROUP BY ALL
+), chain AS (
+    SELECT conv_id, turn, parent AS root, 1 AS depth FROM parents
+    UNION ALL SELECT c.conv_id, c.turn, p.parent, depth + 1 FROM chain c JOIN parents p ON c.conv_id = p.conv_id AND c.root = p.turn
+), roots AS (
+    SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM chain GROUP BY ALL
+), own AS (
+    SELECT msg, coalesce(string_agg(content, chr(10) ORDER BY run) FILTER (level = 0), '') AS text,
+        count(*) FILTER (level > 0) AS n_quotes, max(level) AS max_level
+    FROM passages GROUP BY msg
+)
+SELECT m.conv_id, m.turn, m.role, regexp_replace(o.text, '^\s+|\s+\z', '', 'g') AS text, n_quotes, coalesce(n_linked, 0) AS n_linked, max_level,
+    parent AS parent_turn, coalesce(root, m.turn) AS root_turn, coalesce(depth, 0)::BIGINT AS depth
+FROM messages m JOIN own o USING (msg) LEFT JOIN by_message b ON m.msg = b.msg LEFT JOIN roots r ON m.conv_id = r.conv_id AND m.turn = r.turn
+"""
+
+
+@query("op1_quotation_linking", QUOTE_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.threads(table(spark, sf_dir, "conversations"))
 
@@ -88,7 +138,44 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op5_license_scan")
+_GRAMS = ", ".join(
+    f"({', '.join('NULL' if v is None else repr(v) if isinstance(v, str) else str(v) for v in row)})"
+    for row in licenses.template_rows(licenses.PHRASES, licenses.NOTICES)
+)
+LICENSE_SQL = rf"""
+WITH words AS (
+    SELECT doc_id, unnest(w) AS d0, generate_subscripts(w, 1) - 1 AS pos FROM (
+        SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)
+), grams AS (
+    SELECT *, lead(d0) OVER near AS d1, lead(d0, 2) OVER near AS d2 FROM words WINDOW near AS (PARTITION BY doc_id ORDER BY pos)
+), known(w1, w2, w3, template, label, phrase, place, grams) AS (VALUES {_GRAMS}),
+votes AS (
+    SELECT doc_id, template, label, phrase, grams, pos - place AS diagonal, bit_or(1::BIGINT << place) AS mask
+    FROM grams JOIN known ON d0 = w1 AND d1 = w2 AND (w3 IS NULL OR d2 = w3) GROUP BY ALL
+), apart AS (
+    SELECT *, CASE WHEN NOT phrase AND diagonal - lag(diagonal) OVER near <= {licenses.DRIFT} THEN 0 ELSE 1 END AS apart
+    FROM votes WINDOW near AS (PARTITION BY doc_id, template ORDER BY diagonal)
+), copies AS (
+    SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS copy FROM apart
+), spans AS (
+    SELECT doc_id, label, phrase, min(diagonal) AS start, bit_count(bit_or(mask)) / grams AS share
+    FROM copies GROUP BY doc_id, template, label, phrase, grams, copy
+), found AS (
+    SELECT doc_id, count(*) FILTER (phrase AND share = 1) AS n_base, min(start) FILTER (phrase AND share = 1) AS first_word,
+        max(start) FILTER (phrase AND share = 1) AS last_word,
+        array_to_string(list_sort(list(DISTINCT label) FILTER (phrase AND share = 1)), ',') AS base_labels,
+        array_to_string(list_sort(list(DISTINCT label) FILTER (share >= CASE WHEN phrase THEN 1 ELSE {licenses.COVERAGE} END)), ',') AS labels,
+        max(share) AS score
+    FROM spans GROUP BY doc_id
+), counted AS (SELECT doc_id, count(*) AS n_words FROM words GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+    coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM documents LEFT JOIN counted USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+@query("op5_license_scan", LICENSE_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 

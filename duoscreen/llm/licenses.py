@@ -44,8 +44,8 @@ COVERAGE = 0.7
 MAX_WORDS = 62
 
 
-def templates(spark: SparkSession, phrases: dict[str, str], notices: list[tuple[str, str]]) -> DataFrame:
-    """One row for each gram of each template: pair hash, words, template, place and number of grams."""
+def template_rows(phrases: dict[str, str], notices: list[tuple[str, str]]) -> list[tuple]:
+    """Words, template, label, whether a phrase, place and number of grams of each gram of each template."""
     rows = []
     entries = [(label, text.split(), 2) for text, label in phrases.items()] + [(label, text.split(), 3) for label, text in notices]
     for number, (label, words, k) in enumerate(entries):
@@ -53,8 +53,13 @@ def templates(spark: SparkSession, phrases: dict[str, str], notices: list[tuple[
             raise ValueError(f"a template has {k} to {MAX_WORDS} words: {' '.join(words)}")
         for i in range(len(words) - k + 1):
             rows.append((words[i], words[i + 1], words[i + 2] if k == 3 else None, number, label, k == 2, i, len(words) - k + 1))
+    return rows
+
+
+def templates(spark: SparkSession, phrases: dict[str, str], notices: list[tuple[str, str]]) -> DataFrame:
+    """One row for each gram of each template, with the hash of its first two words."""
     schema = "w1 string, w2 string, w3 string, template int, label string, phrase boolean, place int, grams int"
-    return spark.createDataFrame(rows, schema).withColumn("pair", F.xxhash64("w1", "w2"))
+    return spark.createDataFrame(template_rows(phrases, notices), schema).withColumn("pair", F.xxhash64("w1", "w2"))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str]] = NOTICES, coverage: float = COVERAGE) -> DataFrame:

@@ -38,6 +38,10 @@ def test_quotes_link_to_the_earliest_message(spark):
     assert by[2, 1].text == "" and by[None, 1].parent_turn is None
     order = [(r.root_turn, r.turn) for r in got if r.conv_id == 1]
     assert order == sorted(order)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert {tuple(r) for r in got} == set(con.execute(catalog.QUOTE_SQL).fetchall())
 
 
 def test_long_reply_chains(spark):

@@ -26,6 +26,30 @@ HEADLINE = [
 ]
 
 
+def trial(spark: SparkSession, constructs: int = 6_000_000) -> dict[str, float]:
+    """Seconds of the scores over made-up constructs, one gene pair holding a third of them; not part of the total."""
+    from pyspark.sql import functions as F
+
+    from duoscreen.plans import delta_lfc, moderated_gi, quadratic_gi
+    from duoscreen.session import stage
+    from duoscreen.sources.lineitem_screen import LAYOUT
+
+    def gene(column: str, n: int):
+        number = F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.pmod(F.xxhash64("id", F.lit(column)), F.lit(n)))
+        return F.when(number == 0, F.lit(LAYOUT.control)).otherwise(F.concat(F.lit("G"), number.cast("string")))
+
+    rows = spark.range(constructs).withColumns({"gene1": gene("a", 400), "gene2": gene("b", 300)})
+    rows = rows.withColumns({f"guide{i}": F.concat_ws(".", f"gene{i}", (F.shiftright("id", 3 * i) % 40).cast("string")) for i in (1, 2)})
+    counts = {c: (F.pmod(F.xxhash64("id", F.lit(c)), F.lit(900)) + 20).cast("double") for c in [*LAYOUT.late, "t0"]}
+    screen = stage(rows.withColumns(counts).drop("id"), "trial")
+    times = {}
+    for name, score in (("zdlfc", delta_lfc.zdlfc), ("quadratic", quadratic_gi.quadratic_gi), ("moderated", moderated_gi.moderated_gi)):
+        start = time.perf_counter()
+        score(screen, LAYOUT).write.format("noop").mode("overwrite").save()
+        times[name] = round(time.perf_counter() - start, 3)
+    return times
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -56,6 +80,7 @@ def main() -> None:
                 "queries": times,
                 "sf": os.path.basename(sf_dir.rstrip("/")),
             }
+            | ({"trial": trial(spark)} if os.environ.get("BENCH_TRIAL") else {})
         ),
         flush=True,
     )

@@ -2,9 +2,9 @@
 
 The DOMs of a host's pages are merged into one tree whose nodes are tag paths. A node's importance combines two
 entropies over the pages that have it: of its presentation (which child tags it holds) and of its content (texts
-that stand on many of the pages are noise, texts of one page are content). A page loses the branches that the tree
-finds unimportant, next to those whose tags and names say what they are. Where a page marks its main element, what
-lies outside goes too, and the tree judges the containers inside it; elsewhere it judges every branch.
+that stand on many of the pages are noise, texts of one page are content). The tree judges every branch of every
+page, and a page loses those that it finds unimportant. Marks come on top: branches whose tags and names say that
+they are noise go too and, where a page marks its main element, what lies outside.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "xmp"}
 _NOISE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "header", "head", "fieldset"}
 _MAIN = {"article", "main"}
-_CONTAINERS = {"div", "section", "table", "figure", "details", "ul", "ol", "dl"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q",
@@ -55,12 +54,11 @@ _MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|a
 
 @dataclass
 class Block:
-    """A run of text: its tag path, whether marked as noise, as main, in a container inside main, and the text."""
+    """A run of text: its tag path, whether marked as noise, as main, and the text."""
 
     path: str
     noise: bool
     main: bool
-    inner: bool
     text: str
 
 
@@ -68,8 +66,8 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
     """The blocks of a page in order, and each element's path with the tags of its children."""
     out: list[Block] = []
     styles: list[tuple[str, str]] = []
-    # tag, path, noise, main, inner, children
-    stack: list[tuple[str, str, bool, bool, bool, list[str]]] = [("", "", False, False, False, [])]
+    # tag, path, noise, main, children
+    stack: list[tuple[str, str, bool, bool, list[str]]] = [("", "", False, False, [])]
     text: list[str] = []
 
     def flush() -> None:
@@ -77,13 +75,13 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             words = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if words:
-                _, path, noise, main, inner, _ = stack[-1]
-                out.append(Block(path, noise, main, inner, words))
+                _, path, noise, main, _ = stack[-1]
+                out.append(Block(path, noise, main, words))
 
     def close(depth: int) -> None:
         flush()
         while len(stack) > depth:
-            _, path, _, _, _, children = stack.pop()
+            _, path, _, _, children = stack.pop()
             styles.append((path, " ".join(children)))
 
     def depth_of(tags: set[str], stop: set[str]) -> int:
@@ -131,29 +129,26 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         if stack[-1][0] == "p" or (tag == "body" and stack[-1][0] == "head"):
             close(len(stack) - 1)
         flush()
-        _, path, noise, main, inner, children = stack[-1]
+        _, path, noise, main, children = stack[-1]
         names = " ".join(a or b or c for _, a, b, c in _NAMES.findall(token[3]))
         step = f"{tag}.{' '.join(sorted(names.lower().split()))}" if names else tag
         children.append(step)
         marked = tag in _MAIN or (bool(names) and _MAIN_NAME.search(names) is not None and tag not in ("body", "html"))
         bad = (tag in _NOISE and not (tag == "header" and main)) or (tag not in _MAIN | {"body", "html"} and bool(names) and _NOISE_NAME.search(names) is not None)
-        inner = inner or (main and tag in _CONTAINERS and not marked)
-        stack.append((tag, f"{path}/{step}", noise or bad, main or (marked and not bad and not noise), inner, []))
+        stack.append((tag, f"{path}/{step}", noise or bad, main or (marked and not bad and not noise), []))
     close(1)
     return out, styles
 
 
-def kept(found: list[Block]) -> list[tuple[Block, bool]]:
-    """The blocks that marks leave over, and whether the tree judges them."""
+def kept(found: list[Block]) -> list[Block]:
+    """The blocks that marks leave over."""
     rest = [b for b in found if not b.noise]
-    if any(b.main for b in rest):
-        return [(b, b.inner) for b in rest if b.main]
-    return [(b, True) for b in rest]
+    return [b for b in rest if b.main] or rest
 
 
 def main_text(found: list[Block], low: set[int]) -> str:
     """The blocks that neither marks nor the tree remove, one line each."""
-    return "\n".join(b.text for b, judged in kept(found) if not (judged and _hash(b.path) in low))
+    return "\n".join(b.text for b in kept(found) if _hash(b.path) not in low)
 
 
 def _hash(text: str) -> int:
@@ -161,17 +156,22 @@ def _hash(text: str) -> int:
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """host, page, path, kind (0 presentation, 1 content), feature of every node of every page, and whether it is judged."""
-    schema = "host string, page long, path long, kind int, feature long, judged boolean"
+    """host, page, path, kind (0 presentation, 1 content), feature of every node of every page.
+
+    branch is set on one row of each path of a page that has text of its own.
+    """
+    schema = "host string, page long, path long, kind int, feature long, branch boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "html"):
-            rows = set()
-            for host, page, text in zip(part.column("host").to_pylist(), part.column("page").to_pylist(), texts):
-                found, styles = blocks(text.decode("utf-8", "replace"))
-                judged = {b.path for b, own in kept(found) if own}
-                rows.update((host, page, _hash(p), 0, _hash(s), False) for p, s in styles)
-                rows.update((host, page, _hash(b.path), 1, _hash(b.text), b.path in judged) for b in found)
+            rows = []
+            for host, page, source in zip(part.column("host").to_pylist(), part.column("page").to_pylist(), texts):
+                found, styles = blocks(source.decode("utf-8", "replace"))
+                seen = set()
+                rows.extend((host, page, _hash(p), 0, _hash(s), False) for p, s in set(styles))
+                for path, text in dict.fromkeys((b.path, b.text) for b in found):
+                    rows.append((host, page, _hash(path), 1, _hash(text), path not in seen))
+                    seen.add(path)
             if rows:
                 names = [x.split()[0] for x in schema.split(", ")]
                 types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
@@ -211,8 +211,8 @@ def extract(pages: DataFrame, least: float = IMPORTANCE, n_pages: int = PAGES) -
     base = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).withColumn("page", F.xxhash64("url", "html"))
     nodes = stage(style_nodes(base.select(host_of(F.col("url")).alias("host"), "page", "html")), "style_nodes")
     low = importance(nodes).filter((F.col("n_pages") >= n_pages) & (F.col("importance") < least)).select("host", "path")
-    judged = nodes.filter("judged").select("host", "path", "page").distinct()
-    cut = stage(judged.join(low, ["host", "path"]).groupBy("page").agg(F.collect_set("path").alias("low")), "low_branches")
+    branches = nodes.filter("branch").select("host", "path", "page")
+    cut = stage(branches.join(low, ["host", "path"]).groupBy("page").agg(F.collect_set("path").alias("low")), "low_branches")
     schema = "page_id long, url string, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,6 +46,15 @@ def test_style_tree_judges_containers_inside_main(spark):
         assert r.text == f"Title {r.page_id}\nText {r.page_id}\nBox {r.page_id}\nSame line"
 
 
+def test_style_tree_judges_every_branch_of_main(spark):
+    def page(i):
+        return f"<nav>Home</nav><article><h1>Title {i}</h1><p>Text {i}<blockquote>Read our other posts</blockquote><p>More {i}</article><p>out {i}"
+
+    rows = [(i, f"http://one.example/{i}", page(i), "") for i in range(5)]
+    for r in html_tree.extract(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert r.text == f"Title {r.page_id}\nText {r.page_id}\nMore {r.page_id}"
+
+
 def test_broken_and_long_markup(spark):
     odd = ["<p>a<p", "<<<>>> x </div></div> y", '<a title="b>c</a> d', "<script>never closed", "<p>" * 5000 + "deep" + "</div>" * 50, "<div>" * 3000 + "z", "&#x110000; &bogus; &amp", "<p>" + "w " * 200000]
     got = extracted(spark, [(i, "http://h/", h, "") for i, h in enumerate(odd)])

@@ -185,7 +185,7 @@ def importance(nodes: DataFrame, presentation: float = PRESENTATION) -> DataFram
 
     Presentation: entropy of the styles over the node's pages. Content: each text's pages have an entropy of
     log(pages with it) / log(pages); one less their mean is the importance. Both are 1 on a single page. Copies of
-    a page count once.
+    a page count once: ``page`` names the html, whatever its URL.
     """
     single = nodes.groupBy("host", "path", "kind", "feature", "page").agg(F.lit(1).alias("one"))
     counts = single.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("c"))
@@ -205,14 +205,14 @@ def importance(nodes: DataFrame, presentation: float = PRESENTATION) -> DataFram
 def extract(pages: DataFrame, least: float = IMPORTANCE, n_pages: int = PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
-    Null html is empty and gives an empty text. Pages without a host share one tree. Repeated rows give a row each;
-    an empty table gives an empty result; other columns are ignored.
+    Null html is empty and gives an empty text. Equal html on a host is one page of its tree; pages without a
+    host share one tree. Repeated rows give a row each; an empty table gives an empty result; other columns are ignored.
     """
-    base = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).withColumn("page", F.xxhash64("url", "html"))
-    nodes = stage(style_nodes(base.select(host_of(F.col("url")).alias("host"), "page", "html")), "style_nodes")
+    base = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).withColumns({"host": host_of(F.col("url")), "page": F.xxhash64("html")})
+    nodes = stage(style_nodes(base.select("host", "page", "html")), "style_nodes")
     low = importance(nodes).filter((F.col("n_pages") >= n_pages) & (F.col("importance") < least)).select("host", "path")
     branches = nodes.filter("branch").select("host", "path", "page")
-    cut = stage(branches.join(low, ["host", "path"]).groupBy("page").agg(F.collect_set("path").alias("low")), "low_branches")
+    cut = stage(branches.join(low, ["host", "path"]).groupBy("host", "page").agg(F.collect_set("path").alias("low")), "low_branches")
     schema = "page_id long, url string, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,5 +222,5 @@ def extract(pages: DataFrame, least: float = IMPORTANCE, n_pages: int = PAGES) -
             columns = [part.column("page_id"), part.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-    joined = base.withColumn("page_id", F.col("page_id").cast("long")).join(cut, "page", "left")
+    joined = base.withColumn("page_id", F.col("page_id").cast("long")).join(cut, ["host", "page"], "left")
     return joined.select("page_id", "url", "html", "low").mapInArrow(run, schema)

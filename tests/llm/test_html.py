@@ -55,6 +55,18 @@ def test_style_tree_judges_every_branch_of_main(spark):
         assert r.text == f"Title {r.page_id}\nText {r.page_id}\nMore {r.page_id}"
 
 
+def test_copies_under_many_urls_are_one_page(spark):
+    def page(i):
+        return f"<div class=q1>Same words</div><div class=q2><p>Text {i}</p><ul><li>Point {i}</ul></div>"
+
+    rows = [(i, f"http://one.example/{i}", page(0), "") for i in range(8)]
+    assert {r.text for r in extracted(spark, rows).values()} == {"Same words\nText 0\nPoint 0"}
+    rows += [(20 + i, f"http://one.example/{20 + i}", page(20 + i), "") for i in range(2)] + [(30, "http://two.example/", page(0), "")]
+    for r in extracted(spark, rows).values():
+        n = r.page_id if 20 <= r.page_id < 30 else 0
+        assert r.text == ("Same words\n" if r.page_id == 30 else "") + f"Text {n}\nPoint {n}"
+
+
 def test_broken_and_long_markup(spark):
     odd = ["<p>a<p", "<<<>>> x </div></div> y", '<a title="b>c</a> d', "<script>never closed", "<p>" * 5000 + "deep" + "</div>" * 50, "<div>" * 3000 + "z", "&#x110000; &bogus; &amp", "<p>" + "w " * 200000]
     got = extracted(spark, [(i, "http://h/", h, "") for i, h in enumerate(odd)])

@@ -19,12 +19,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duoscreen.llm.common import components, pieces, stage
 
 _ONE = np.uint64(1)
+#: Stands for a null id: it sorts last.
+NO_ID = (1 << 63) - 1
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
@@ -46,15 +48,17 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every row of ``docs`` (doc_id, text)."""
+def fingerprints(docs: DataFrame, words: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fingerprint (as a signed long) and the long columns ``keys`` of every row of ``docs`` (doc_id, text)."""
+    names = ["doc_id", "fp", *keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "text"):
             prints = np.fromiter((fingerprint(t, words) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints.view(np.int64)), *(part.column(k) for k in keys)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keys)
+    return own.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def block_masks(parts: int, keep: int) -> list[int]:
@@ -187,6 +191,15 @@ def near_links(prints: DataFrame, radius: int = 4, parts: int = 7, n_pivots: int
     return found.filter("choice < 0").select("a", "b").unionByName(rest)
 
 
+def _classes(prints: DataFrame, radius: int, **index: int) -> DataFrame:
+    """fp, component (a fingerprint of it) and component_id (its smallest doc_id) of each fingerprint of ``prints``."""
+    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    groups = components(near_links(nodes, radius, **index)).withColumnRenamed("node", "fp")
+    named = nodes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return stage(named.join(least, "component").select("fp", "component", "component_id"), "classes")
+
+
 def near_components(docs: DataFrame, words: int = 4, radius: int = 4, **index: int) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row of ``docs`` (doc_id, text).
 
@@ -195,30 +208,26 @@ def near_components(docs: DataFrame, words: int = 4, radius: int = 4, **index: i
     member has an id. An empty table gives an empty result; other columns are ignored.
     """
     prints = stage(fingerprints(docs, words), "prints")
-    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    groups = components(near_links(nodes, radius, **index)).withColumnRenamed("node", "fp")
-    named = nodes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = stage(named.join(least, "component").select("fp", "component_id"), "classes")
-    return prints.join(by_print, "fp").select(
+    return prints.join(_classes(prints, radius, **index), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with all columns of ``docs``.
+    """One row of each component, the first by doc_id (nulls last) and two hashes of the text, with all columns of ``docs``.
 
-    Rows that share an id are one document: it stays if any of them names a component, once. Rows without an id
-    can't be named by the class table; of those with equal texts one stays.
+    Rows are judged by their own text, also those that share an id and those without one. Of rows with equal id and
+    text, which are one document, one stays.
     """
-    own = Window.partitionBy("doc_id", "__salt").orderBy("__text")
-    classes = near_components(docs, words, radius)
-    gone = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("doc_id = component_id")).alias("stays"))
-    return (
-        docs.join(gone.filter("not stays").select("doc_id"), "doc_id", "left_anti")
-        .withColumn("__text", F.xxhash64("text"))
-        .withColumn("__salt", F.when(F.col("doc_id").isNull(), F.col("__text")))
-        .withColumn("__row", F.row_number().over(own))
-        .filter("__row = 1")
-        .drop("__text", "__salt", "__row")
+    keys = ("__id", "__one", "__two")
+    own = docs.withColumns(
+        {
+            "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
+            "__one": F.xxhash64("text"),
+            "__two": F.xxhash64(F.lit(1), "text"),
+        }
     )
+    prints = stage(fingerprints(own, words, keys), "prints")
+    rows = prints.join(_classes(prints, radius).select("fp", "component"), "fp")
+    first = rows.groupBy("component").agg(F.min(F.struct(*keys)).alias("first")).select("first.*")
+    return own.dropDuplicates(list(keys)).join(first, list(keys), "left_semi").select(*docs.columns)

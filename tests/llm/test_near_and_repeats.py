@@ -61,6 +61,18 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 1
 
 
+def test_near_dedup_keeps_a_row_of_each_group_whatever_the_ids(spark):
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(300)) for _ in range(9)]
+    near = [t + "\n" for t in texts]
+    rows = [(5, t) for t in texts[:4]] + [(7 + i, t) for i, t in enumerate(near[:4])]
+    rows += [(None, texts[0]), (None, near[4]), (None, texts[4]), (None, texts[4]), (None, texts[5]), (3, near[5]), (3, None), (None, "")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [3, 3, 5, 5, 5, 5]
+    assert {r.text for r in got if r.doc_id == 5} == set(texts[:4]) and {r.text for r in got if r.doc_id == 3} == {near[5], None}
+    assert [r.text in (texts[4], near[4]) for r in got if r.doc_id is None] == [True]
+
+
 def test_odd_radius_is_refused(spark):
     with pytest.raises(ValueError):
         simhash.near_links(spark.createDataFrame([], "fp long"), radius=3)

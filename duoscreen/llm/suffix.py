@@ -113,9 +113,9 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     return grams[place[new]], stretch, low, high - low
 
 
-def packed(offset: np.ndarray, digest: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Offset, 24 bits of the text's digest and a small number in one long that sorts by offset."""
-    return offset.astype(np.int64) << 32 | digest.astype(np.int64) << 8 | n.astype(np.int64)
+def packed(offset: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Offset and a number below 256 in one long that sorts by offset."""
+    return offset.astype(np.int64) << 8 | n.astype(np.int64)
 
 
 def later(keys: Rows, doc: np.ndarray, loc: np.ndarray, lead: tuple | None) -> tuple[np.ndarray, np.ndarray, tuple]:
@@ -135,20 +135,20 @@ def later(keys: Rows, doc: np.ndarray, loc: np.ndarray, lead: tuple | None) -> t
     return new, (doc != lead_doc) | (loc != lead_loc), (tuple(k[-1] for k in keys), lead_doc[-1], lead_loc[-1])
 
 
-def merged(doc: np.ndarray, digest: np.ndarray, first: np.ndarray, last: np.ndarray) -> Rows:
+def merged(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> Rows:
     """Stretches joined where they touch."""
     if not len(doc):
-        return doc, digest, first, last
-    order = np.lexsort((first, digest, doc))
-    doc, digest, first, last = doc[order], digest[order], first[order], last[order]
+        return doc, first, last
+    order = np.lexsort((first, doc))
+    doc, first, last = doc[order], first[order], last[order]
     fresh = np.ones(len(doc), dtype=bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])
+    fresh[1:] = doc[1:] != doc[:-1]
     text = np.cumsum(fresh)
     span = int(last.max()) + 1
     reach = np.maximum.accumulate(last + text * span) - text * span
     fresh[1:] |= first[1:] > reach[:-1]
     begin = np.flatnonzero(fresh)
-    return doc[begin], digest[begin], first[begin], np.maximum.reduceat(last, begin)
+    return doc[begin], first[begin], np.maximum.reduceat(last, begin)
 
 
 def _settled(keys: Rows, doc: np.ndarray, loc: np.ndarray, n: np.ndarray, length: int) -> tuple[Rows, np.ndarray]:
@@ -156,8 +156,8 @@ def _settled(keys: Rows, doc: np.ndarray, loc: np.ndarray, n: np.ndarray, length
     order = np.lexsort((loc, doc, *reversed(keys)))
     keys, doc, loc, n = tuple(k[order] for k in keys), doc[order], loc[order], n[order]
     new, late, _ = later(keys, doc, loc, None)
-    first = loc[late] >> 32
-    return merged(doc[late], loc[late] >> 8 & 0xFFFFFF, first, first + n[late] + length), order[new]
+    first = loc[late] >> 8
+    return merged(doc[late], first, first + n[late] + length), order[new]
 
 
 _ANCHORS = "g long, u long, doc long, loc long"
@@ -168,8 +168,8 @@ def _anchor_batch(g, u, doc, loc) -> pa.RecordBatch:
 
 
 def _cut_batch(cuts: Rows) -> pa.RecordBatch:
-    doc, digest, first, last = cuts
-    return _anchor_batch(mix64((doc ^ first).view(np.uint64)), last - first, doc, packed(first, digest, np.full(len(doc), CUT)))
+    doc, first, last = cuts
+    return _anchor_batch(mix64((doc ^ first).view(np.uint64)), last - first, doc, packed(first, np.full(len(doc), CUT)))
 
 
 def _laid_out(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -188,18 +188,22 @@ def _laid_out(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int,
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__digest": F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFF))})
+    """``docs`` with what names a text: its id and the 128 bits of its digest."""
+    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__digest": F.md5("text")})
 
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc, digest and the removed stretches (first, last) of each text of ``docs`` (doc_id, text) that has any."""
+    """__id, __digest and the removed stretches (__cuts) of each text of ``docs`` (doc_id, text) that has any."""
     source = _identified(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    source = source.select("__doc", "__digest", "text")
+    source = source.select("__id", "__digest", "text")
+    # each distinct text of an id gets a number of its own, in the order of ids
+    names = source.select("__id", "__digest").distinct().orderBy("__id", "__digest")
+    names = stage(names.withColumn("doc", F.monotonically_increasing_id()), "texts")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(batch: pa.RecordBatch) -> Iterator[Rows]:
             for part, texts in pieces(iter([batch]), "text"):
-                ids, digests = np.asarray(part.column("__doc")), np.asarray(part.column("__digest"))
+                ids = np.asarray(part.column("doc"))
                 for group in _laid_out(texts, length):
                     data = np.frombuffer(b"".join(texts[i][a:b] for i, a, b in group), dtype=np.uint8)
                     which, begin, end = (np.array(x) for x in zip(*group))
@@ -209,10 +213,10 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                     own = np.searchsorted(ends, low, side="right")
                     text = which[own]
                     offset = low - (ends - sizes)[own] + begin[own]
-                    yield g, u, ids[text], packed(offset, digests[text], n), n
+                    yield g, u, ids[text], packed(offset, n), n
 
         for batch in batches:
-            found = list(rows(batch))
+            found = [x for x in rows(batch) if len(x[0])]
             if found:
                 g, u, doc, loc, n = (np.concatenate(x) for x in zip(*found))
                 cuts, first = _settled((g, u), doc, loc, n, length)
@@ -231,8 +235,8 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             if not len(g):
                 continue
             new, late, lead = later((g, u), doc, loc, lead)
-            first = loc[late] >> 32
-            yield _cut_batch(merged(doc[late], loc[late] >> 8 & 0xFFFFFF, first, first + (loc[late] & 0xFF) + length))
+            first = loc[late] >> 8
+            yield _cut_batch(merged(doc[late], first, first + (loc[late] & 0xFF) + length))
             g, doc, loc = g[new], doc[new], loc[new]
             if held is not None:
                 g, doc, loc = (np.concatenate([[x], y]) for x, y in zip(held, (g, doc, loc)))
@@ -249,12 +253,13 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             yield _anchor_batch(g[emit], np.zeros(emit.sum(), np.int64), doc[emit], loc[emit])
             held, shown = (g[-1], doc[-1], loc[-1]), bool(many[-1])
 
-    found = source.mapInArrow(find, _ANCHORS).repartition("g").sortWithinPartitions("g", "u", "doc", "loc").mapInArrow(settle, _ANCHORS)
+    texts = source.join(names, ["__id", "__digest"]).select("doc", "text")
+    found = texts.mapInArrow(find, _ANCHORS).repartition("g").sortWithinPartitions("g", "u", "doc", "loc").mapInArrow(settle, _ANCHORS)
     found = stage(found, "anchors")
-    place = {"offset": F.expr("shiftright(loc, 32)"), "digest": F.expr("shiftright(loc, 8) & 16777215"), "n": F.expr("loc & 255")}
-    cuts = found.withColumns(place).filter(f"n = {CUT}").select("doc", "digest", F.col("offset").alias("first"), (F.col("offset") + F.col("u")).alias("last"))
+    place = {"offset": F.expr("shiftright(loc, 8)"), "n": F.expr("loc & 255")}
+    cuts = found.withColumns(place).filter(f"n = {CUT}").select("doc", F.col("offset").alias("first"), (F.col("offset") + F.col("u")).alias("last"))
     lists = (
-        found.withColumns(place).filter(f"n != {CUT}").groupBy("doc", "digest").agg(F.collect_list(F.struct("g", "offset", "n")).alias("runs"))
+        found.withColumns(place).filter(f"n != {CUT}").groupBy("doc").agg(F.collect_list(F.struct("g", "offset", "n")).alias("runs"))
     )
 
     def unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,8 +271,8 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                 flat = runs.flatten()
                 g, offset, n = (np.asarray(flat.field(i)).astype(np.int64) for i in range(3))
                 context = [texts[t][o : o + s] for t, o, s in zip(text.tolist(), offset.tolist(), (n + length).tolist())]
-                ids, digests = np.asarray(part.column("doc")), np.asarray(part.column("digest"))
-                columns = [pa.array(g), pa.array(ids[text]), pa.array(packed(offset, digests[text], n)), pa.array(context, pa.binary())]
+                ids = np.asarray(part.column("doc"))
+                columns = [pa.array(g), pa.array(ids[text]), pa.array(packed(offset, n)), pa.array(context, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["g", "doc", "loc", "context"])
 
     def strings(g: np.ndarray, doc: np.ndarray, loc: np.ndarray, context: list[bytes]) -> tuple[Rows, Rows]:
@@ -278,7 +283,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         step = np.arange(len(run)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
         start = (np.cumsum(n + length) - (n + length))[run] + step
         one, two = (between(prefix_hashes(data, w), start, start + length, w) for w in (0, 1))
-        own, place = doc[run], packed((loc >> 32)[run] + step, (loc >> 8 & 0xFFFFFF)[run], np.zeros(len(run), np.int64))
+        own, place = doc[run], packed((loc >> 8)[run] + step, np.zeros(len(run), np.int64))
         cuts, first = _settled((g[run].view(np.uint64), one, two), own, place, np.zeros(len(run), np.int64), length)
         return cuts, (one[first], two[first], own[first], place[first])
 
@@ -320,36 +325,35 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         for batch in batches:
             g, u, doc, loc = (np.asarray(batch.column(c)) for c in ("g", "u", "doc", "loc"))
             cut = (loc & 0xFF) == CUT
-            first, last = loc[cut] >> 32, (loc[cut] >> 32) + u[cut]
-            doc_cut, digest_cut = doc[cut], loc[cut] >> 8 & 0xFFFFFF
+            first, last = loc[cut] >> 8, (loc[cut] >> 8) + u[cut]
+            doc_cut = doc[cut]
             g, u, doc, loc = g[~cut], u[~cut], doc[~cut], loc[~cut]
             if len(g):
                 _, late, lead = later((g, u), doc, loc, lead)
-                at = loc[late] >> 32
-                doc_cut, digest_cut = np.concatenate([doc_cut, doc[late]]), np.concatenate([digest_cut, loc[late] >> 8 & 0xFFFFFF])
+                at = loc[late] >> 8
+                doc_cut = np.concatenate([doc_cut, doc[late]])
                 first, last = np.concatenate([first, at]), np.concatenate([last, at + length])
-            doc_cut, digest_cut, first, last = merged(doc_cut, digest_cut, first, last)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc_cut, digest_cut, first, last)], ["doc", "digest", "first", "last"])
+            doc_cut, first, last = merged(doc_cut, first, last)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc_cut, first, last)], ["doc", "first", "last"])
 
-    texts = source.withColumnsRenamed({"__doc": "doc", "__digest": "digest"})
-    contexts = lists.join(texts, ["doc", "digest"]).select("doc", "digest", "text", "runs").dropDuplicates(["doc", "digest"])
-    contexts = contexts.mapInArrow(unroll, "g long, doc long, loc long, context binary")
+    named = lists.join(names, "doc").join(source, ["__id", "__digest"]).dropDuplicates(["__id", "__digest"])
+    contexts = named.select("doc", "text", "runs").mapInArrow(unroll, "g long, doc long, loc long, context binary")
     groups = stage(contexts.repartition("g").sortWithinPartitions("g").mapInArrow(settle_groups, _ANCHORS), "strings").withColumns(place)
-    parts = groups.filter(f"n = {CUT}").select("doc", "digest", F.col("offset").alias("first"), (F.col("offset") + F.col("u")).alias("last"))
+    parts = groups.filter(f"n = {CUT}").select("doc", F.col("offset").alias("first"), (F.col("offset") + F.col("u")).alias("last"))
     single = (
         groups.filter(f"n != {CUT}")
         .select("g", "u", "doc", "loc")
         .repartition("g")
         .sortWithinPartitions("g", "u", "doc", "loc")
-        .mapInArrow(settle_strings, "doc long, digest long, first long, last long")
+        .mapInArrow(settle_strings, "doc long, first long, last long")
     )
-    return cuts.unionByName(parts).unionByName(single).groupBy("doc", "digest").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
+    every = cuts.unionByName(parts).unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("__cuts"))
+    return every.join(names, "doc").select("__id", "__digest", "__cuts")
 
 
 def _with_cuts(docs: DataFrame, **params: int) -> DataFrame:
-    cuts = removed(docs, **params).select(F.col("doc").alias("__doc"), F.col("digest").alias("__digest"), F.col("cuts").alias("__cuts"))
     filled = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return _identified(filled).join(cuts, ["__doc", "__digest"], "left")
+    return _identified(filled).join(removed(docs, **params), ["__id", "__digest"], "left")
 
 
 def _spans(cuts: list[dict] | None) -> list[tuple[int, int]]:
@@ -375,7 +379,7 @@ def report(docs: DataFrame, **params: int) -> DataFrame:
 
     Strings of ``length`` bytes (100) are removed where they also start earlier: in a smaller id or earlier in the
     same text. A null text is empty. Null ids come last. Rows that repeat id and text are one document and get its
-    result each; of rows with equal id and different texts, equal offsets are ordered by a digest of the text.
+    result each; different texts with an equal id, or with none, come in the order of their digests (128 bits).
     Other columns are ignored.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -4,6 +4,7 @@ import random
 
 import brute
 import pytest
+import xxhash
 from conftest import SMALL
 from pyspark.sql import functions as F
 
@@ -99,6 +100,21 @@ def test_repeated_rows_are_one_document(spark):
     assert len(got) == 2 and got[0] == got[1]
 
 
+def test_texts_without_ids_stay_apart(spark):
+    rng = random.Random(6)
+    passage, one, two = ("".join(rng.choices("abcdefghij", k=n)) for n in (150, 300, 500))
+    bits = {}
+    for i in range(20000):
+        text = f"({passage}){i:08d}{one}"
+        bits[xxhash.xxh64_intdigest(text.encode(), 42) & 0xFFFFFF] = text
+    pairs = ((bits.get(xxhash.xxh64_intdigest(t.encode(), 42) & 0xFFFFFF), t) for t in (f"{i:08d}{two}" for i in range(20000)))
+    a, b = next((x, y) for x, y in pairs if x)
+    for doc in (None, 8):
+        rows = [(1, f"<{passage}>"), (doc, a), (doc, b)]
+        got = suffix.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.n_bytes, r.n_removed, r.n_spans) for r in got) == [(152, 0, 0), (len(a), 150, 1), (len(b), 0, 0)]
+
+
 def test_texts_without_repeats(spark):
     kept = {r.doc_id: r for r in suffix.without_repeats(spark.createDataFrame(odd_rows(), SCHEMA)).collect()}
     whole = brute.repeats([r[:2] for r in odd_rows()])

@@ -16,8 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duoscreen.llm.common import pieces, shared, word_grams, word_hashes, word_starts
@@ -162,9 +161,14 @@ class Index:
                     yield t, *match
 
 
+def _lowered(text: str) -> Column:
+    """A text column in lower case, the same for items and documents; a final sigma, which depends on what follows, is a sigma."""
+    return F.replace(F.lower(F.col(text).cast("string")), F.lit("ς"), F.lit("σ"))
+
+
 def _indexes(benchmark: DataFrame, radius: int, block_words: int) -> Iterator[Index]:
     """The benchmark in blocks of about ``block_words`` words at most."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.lower(F.col("text").cast("string")).alias("text")).filter("text is not null")
+    items = benchmark.select(F.col("item_id").cast("long"), _lowered("text").alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
     n = -(-total // block_words)
     for i in range(n):
@@ -172,12 +176,6 @@ def _indexes(benchmark: DataFrame, radius: int, block_words: int) -> Iterator[In
         yield Index([(r.item_id, r.text.encode()) for r in own.orderBy("item_id", "text").collect()], radius)
 
 
-def _lowered(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    low = pc.utf8_lower(batch.column("text"))
-    at = batch.schema.get_field_index("text")
-    return pieces(iter([batch.set_column(at, batch.schema.field(at), low)]), "text")
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity, bits: the best window of each item in each text that has one.
 
@@ -188,22 +186,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, first_word long, n_words long, similarity double, bits int"
-    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    base = docs.select(F.col("doc_id").cast("long"), _lowered("text").alias("text"))
 
     def found(index: Index) -> DataFrame:
         sent = shared(spark, index)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own_index = sent()
-            for batch in batches:
-                for part, texts in _lowered(batch):
-                    rows = list(own_index.scan(texts, similarity))
-                    if rows:
-                        own, item, first, n, like, bits = zip(*rows)
-                        yield pa.RecordBatch.from_arrays(
-                            [part.column("doc_id").take(pa.array(own)), pa.array(item, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(like, pa.float64()), pa.array(bits, pa.int32())],
-                            [x.split()[0] for x in schema.split(", ")],
-                        )
+            for part, texts in pieces(batches, "text"):
+                rows = list(own_index.scan(texts, similarity))
+                if rows:
+                    own, item, first, n, like, bits = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id").take(pa.array(own)), pa.array(item, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(like, pa.float64()), pa.array(bits, pa.int32())],
+                        [x.split()[0] for x in schema.split(", ")],
+                    )
 
         return base.mapInArrow(run, schema)
 
@@ -222,12 +219,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
             own_index = sent()
             for batch in batches:
                 keep, at = np.ones(batch.num_rows, dtype=bool), 0
-                for part, texts in _lowered(batch):
+                for part, texts in pieces(iter([batch]), "__low"):
                     for t, *_ in own_index.scan(texts, similarity):
                         keep[at + t] = False
                     at += part.num_rows
                 yield batch.select(names).filter(pa.array(keep))
 
-        return left.mapInArrow(run, schema)
+        return left.withColumn("__low", _lowered("text")).mapInArrow(run, schema)
 
     return reduce(without, _indexes(benchmark, radius, block_words), docs)

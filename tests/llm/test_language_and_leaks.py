@@ -71,6 +71,17 @@ def test_leaks_match_brute_force(spark, block_words):
     assert found == want and len(got) == len(found)
 
 
+def test_letters_whose_lower_case_is_longer_or_depends_on_place(spark):
+    turkish = " ".join(f"İSTANBUL{i} İyi gün{i}" for i in range(8))
+    greek = " ".join(f"ΛΟΓΟΣ ΟΔΟΣ{'ΑΒΓΔΕΖΗΘ'[i]} ΦΩΣ" for i in range(8))
+    items = spark.createDataFrame([(1, turkish), (2, greek)], "item_id long, text string")
+    rows = [(1, f"Before {turkish} after"), (2, f"{greek}.Α"), (3, greek.lower()), (4, "clean words of no item")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontam.leaks(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id, r.similarity, r.bits) for r in got) == [(1, 1, 1.0, 0), (2, 2, 1.0, 0), (3, 2, 1.0, 0)]
+    assert [tuple(r) for r in decontam.clean(docs, items).collect()] == [rows[3]]
+
+
 def test_clean_keeps_whole_rows(spark):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     text = items.first().text

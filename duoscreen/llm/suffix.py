@@ -108,7 +108,8 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     place = (least[starts] & _LOW).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     low, high = starts[new], starts[np.concatenate([new[1:], [len(starts)]]) - 1]
-    stretch = between(prefix, low, high + length)
+    # over the other polynomial, so that gram and stretch verify each other
+    stretch = between(prefix_hashes(data, 1), low, high + length, 1)
     stretch = mix64(stretch ^ ((place[new] - low) << 8 | (high - low)).astype(np.uint64))
     return grams[place[new]], stretch, low, high - low
 

@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 import xxhash
 from conftest import SMALL
@@ -100,6 +101,14 @@ def test_repeated_rows_are_one_document(spark):
     assert len(got) == 2 and got[0] == got[1]
 
 
+def test_stretches_are_hashed_by_the_other_polynomial(monkeypatch):
+    tables = suffix._TABLES.copy()
+    tables[0] = 0
+    monkeypatch.setattr(suffix, "_TABLES", tables)
+    found = [suffix.anchors(np.frombuffer(t * 50, np.uint8), np.full(100, 100)) for t in (b"ab", b"cd")]
+    assert found[0][0] == found[1][0] and found[0][1] != found[1][1]
+
+
 def test_texts_without_ids_stay_apart(spark):
     rng = random.Random(6)
     passage, one, two = ("".join(rng.choices("abcdefghij", k=n)) for n in (150, 300, 500))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscreen.llm import decontam, html_tree, language, licenses, mixing, quotation, simhash, suffix, topk, urls
+from duoscreen.llm import decontam, html_tree, language, licenses, mixing, quality, quotation, simhash, suffix, topk, urls
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -260,6 +260,54 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
 
+def _broken(rule: quality.Rule) -> str:
+    value, whole = (rule.measure, "1") if rule.of is None else (f"100 * {rule.measure}", rule.of)
+    low = [] if rule.low is None else [f"{value} < {rule.low} * {whole}"]
+    high = [] if rule.high is None else [f"{value} > {rule.high} * {whole}"]
+    return f"({' OR '.join(low + high)})"
+
+
+_FAILED = ", ".join(f"CASE WHEN {_broken(r)} THEN '{r.name}' END" for r in quality.RULES)
+QUALITY_SQL = rf"""
+WITH rows AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS lines
+    FROM documents
+), words AS (
+    SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM rows
+), near AS (
+    SELECT *, lead(word) OVER o AS second, lead(word, 2) OVER o AS third FROM words WINDOW o AS (PARTITION BY r ORDER BY i)
+), found AS (
+    SELECT r, i, count(*) OVER (PARTITION BY r, word, second, third) AS n FROM near WHERE third IS NOT NULL
+), covered AS (
+    SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM found, range(0, 3) t(k) WHERE n > 1 GROUP BY r
+), stops AS (
+    SELECT r, count(*) AS n_stop_words FROM words WHERE lower(replace(word, 'İ', '#')) IN ({", ".join(f"'{x}'" for x in quality.STOP_WORDS)}) GROUP BY r
+), line AS (
+    SELECT r, unnest(lines) AS line FROM rows
+), by_line AS (
+    SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
+        count(*) FILTER (substr(ltrim(line, ' '), 1, 1) IN ('-', '*', '•')) AS n_bullet_lines
+    FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), measured AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+        (length(text) - length(translate(text, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_stop_words, 0) AS n_stop_words, coalesce(n_lines, 0) AS n_lines,
+        coalesce(n_bullet_lines, 0) AS n_bullet_lines
+    FROM rows LEFT JOIN by_line USING (r) LEFT JOIN covered USING (r) LEFT JOIN stops USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {" OR ".join(_broken(r) for r in quality.BASE)} AS base_failed,
+    concat_ws(',', {_FAILED}) AS failed, NOT ({" OR ".join(_broken(r) for r in quality.RULES)}) AS kept
+FROM measured
+"""
+
+
+@query("op12_quality_rules", QUALITY_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents")).withColumn("failed", F.array_join("failed", ","))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed", "kept")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscreen.llm import decontam, html_tree, language, licenses, mixing, quality, quotation, simhash, suffix, topk, urls
+from duoscreen.llm import decontam, html_tree, language, licenses, mixing, quality, quotation, runs, simhash, suffix, topk, urls
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -308,6 +308,78 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed", "kept")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where in a tenth of the documents, by a checksum of the id, the words go round from a place on."""
+    words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.withColumns({"h": h, "g": F.floor(h / 10)}).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    n = F.size("w")
+    a = F.when(n > 0, F.col("g") % n)
+    around = chosen.withColumns({"a": a.cast("int"), "p": (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")})
+    planted = F.transform("w", lambda x, i: F.when(i >= F.col("a"), F.get("w", F.col("a") + (i - F.col("a")) % F.col("p"))).otherwise(x))
+    return around.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.size("w") > 0), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+RUNS_SQL = r"""
+WITH crc AS MATERIALIZED (
+    SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), texts AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        CASE WHEN doc_id IS NOT NULL THEN
+            xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) END AS h
+    FROM documents, crc
+), placed AS (
+    SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM texts
+), planted AS MATERIALIZED (
+    SELECT *, CASE WHEN h % 10 = 0 AND n > 0
+        THEN list_transform(range(n), lambda i: w[CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) ELSE i END + 1]) ELSE w END AS v
+    FROM placed
+), words AS MATERIALIZED (
+    SELECT r, n, unnest(v) AS word, generate_subscripts(v, 1) - 1 AS i FROM planted
+), pairs AS (
+    SELECT a.r, b.i - a.i AS q, a.i FROM words a JOIN words b ON a.r = b.r AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n
+), islands AS (
+    SELECT r, q, min(i) AS start, count(*) + q AS length
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs) GROUP BY r, q, island
+    HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS MATERIALIZED (
+    SELECT * FROM islands x WHERE NOT EXISTS (
+        FROM islands y WHERE y.r = x.r AND y.q < x.q AND y.start <= x.start AND y.start + y.length >= x.start + x.length)
+), by_text AS (
+    SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed FROM runs GROUP BY r
+), best AS (
+    SELECT r, start, length, q FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / q DESC, start, q) = 1
+), dropped AS (
+    SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM runs
+), collapsed AS (
+    SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (r, i) GROUP BY r
+)
+SELECT doc_id, n AS n_words, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, floor(1000 * length / q)::BIGINT AS exponent_milli,
+    sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM planted LEFT JOIN by_text USING (r) LEFT JOIN best USING (r) LEFT JOIN collapsed USING (r)
+"""
+
+
+@query("op13_periodic_runs", RUNS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(with_planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    milli = F.call_function("div", 1000 * F.col("best.length"), F.col("best.period"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        milli.alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscreen.llm import decontam, html_tree, language, licenses, mixing, quality, quotation, runs, simhash, suffix, topk, urls
+from duoscreen.llm import decontam, html_tree, language, lexical, licenses, mixing, quality, quotation, runs, simhash, suffix, topk, urls
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -260,6 +261,39 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
 
+LEXICAL_SQL = rf"""
+WITH rows AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), docs AS MATERIALIZED (
+    SELECT r, doc_id, len(w)::BIGINT AS n, w FROM rows WHERE len(w) > 0
+), totals AS (
+    SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM docs
+), items AS MATERIALIZED (
+    SELECT DISTINCT item_id, list_sort(list_distinct(regexp_extract_all(translate(text, '{ascii_uppercase}', '{ascii_lowercase}'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS terms FROM benchmark
+), postings AS MATERIALIZED (
+    SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM docs) GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
+    FROM (SELECT term, count(*)::BIGINT AS df FROM postings GROUP BY term), totals
+), impacts AS (
+    SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS impact
+    FROM postings JOIN weights USING (term), totals
+), scored AS (
+    SELECT item_id, terms, r, doc_id, sum(impact)::BIGINT AS score
+    FROM (SELECT item_id, terms, unnest(terms) AS term FROM items) JOIN impacts USING (term) GROUP BY ALL HAVING sum(impact) > 0
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id, terms ORDER BY score DESC, doc_id ASC NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM scored QUALIFY rank <= {lexical.DEPTH}
+"""
+
+
+@query("op11_lexical_search", LEXICAL_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _broken(rule: quality.Rule) -> str:
     value, whole = (rule.measure, "1") if rule.of is None else (f"100 * {rule.measure}", rule.of)
     low = [] if rule.low is None else [f"{value} < {rule.low} * {whole}"]

@@ -211,6 +211,100 @@ def ordered_pair_effects(spark, d):
     return df.groupBy("sample", "gene_pair").agg(F.count("residual").alias("n"), F.avg("residual").alias("effect"))
 
 
+cte(
+    "mguide",
+    """SELECT sample, gene, guide, avg(lfc) FILTER (pos = 1) AS p1, avg(lfc) FILTER (pos = 2) AS p2 FROM (
+         SELECT sample, gene1 AS gene, guide1 AS guide, 1 AS pos, lfc FROM mlfc WHERE gene2 = 'CTRL' AND gene1 <> 'CTRL' UNION ALL
+         SELECT sample, gene2, guide2, 2, lfc FROM mlfc WHERE gene1 = 'CTRL' AND gene2 <> 'CTRL') GROUP BY ALL""",
+)
+cte(
+    "mboth",
+    """SELECT l.sample, least(l.gene1, l.gene2) || '_' || greatest(l.gene1, l.gene2) AS gene_pair, lfc,
+         coalesce(a.p1, a.p2) + coalesce(b.p2, b.p1) AS expected FROM mlfc l
+       JOIN mguide a ON l.sample = a.sample AND l.gene1 = a.gene AND l.guide1 = a.guide
+       JOIN mguide b ON l.sample = b.sample AND l.gene2 = b.gene AND l.guide2 = b.guide
+       WHERE l.gene1 <> 'CTRL' AND l.gene2 <> 'CTRL' AND l.gene1 <> l.gene2""",
+)
+cte(
+    "mranks",
+    """SELECT sample, gene_pair, first, rank() OVER p + (count(*) OVER same - 1) / 2.0 AS midrank, count(*) OVER same AS tied
+       FROM (SELECT sample, gene_pair, TRUE AS first, lfc AS v FROM mboth UNION ALL SELECT sample, gene_pair, FALSE, expected FROM mboth)
+       WINDOW p AS (PARTITION BY sample, gene_pair ORDER BY v), same AS (PARTITION BY sample, gene_pair, v)""",
+)
+cte(
+    "mu",
+    """SELECT sample, gene_pair, n::DOUBLE AS n, u, (u - n * n / 2.0 - sign(u - n * n / 2.0) * 0.5)
+         / sqrt(n * n / 12.0 * (2 * n + 1 - ties / (2.0 * n * (2 * n - 1)))) AS z FROM (
+       SELECT sample, gene_pair, count(*) FILTER (first) AS n, sum(midrank) FILTER (first) - count(*) FILTER (first) * (count(*) FILTER (first) + 1) / 2.0 AS u,
+         sum(tied * tied - 1)::DOUBLE AS ties FROM mranks GROUP BY ALL)""",
+)
+_normal = "least(1.0, 1 - 2 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END) * exp(-pow(abs(z) * i / 2000, 2) / 2))) * abs(z) / 2000 / 3 / sqrt(2 * pi()))"
+cte(
+    "mrfdr",
+    f"""SELECT *, least(1.0, min(q) OVER (PARTITION BY sample ORDER BY rn DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM (
+         SELECT *, p_val * count(*) OVER (PARTITION BY sample) / rn AS q FROM (
+           SELECT *, row_number() OVER (PARTITION BY sample ORDER BY p_val, gene_pair) AS rn FROM (SELECT *, {_normal} AS p_val FROM mu)))""",
+)
+
+
+@query(
+    "rank_sum_pairs",
+    """SELECT sample, gene_pair, m.n::BIGINT AS n, mean_observed, mean_expected, effect, u, z, p_val, fdr,
+         CASE WHEN fdr < 0.2 AND abs(effect) > 0.5 THEN CASE WHEN effect < 0 THEN 'Sensitizer' ELSE 'Suppressor' END ELSE 'None' END AS call
+       FROM mrfdr JOIN (SELECT sample, gene_pair, count(*) AS n, avg(lfc) AS mean_observed, avg(expected) AS mean_expected,
+         avg(lfc - expected) AS effect FROM mboth GROUP BY ALL) m USING (sample, gene_pair)""",
+    ["mean_observed", "mean_expected", "effect", "u", "z", "p_val", "fdr"],
+)
+def rank_sum_pairs(spark, d):
+    return mod.moderated_gi(_screen(spark, d), LAYOUT, [CONTROL], test="rank-sum")
+
+
+# local regression, written out as weighted sums of all rows at each knot
+
+KNOTS, REACH = 41, 12
+cte(
+    "mknot",
+    f"""SELECT sample, k, (low + k * step) AS place, step FROM (SELECT sample, min(expected) AS low, (max(expected) - min(expected)) / {KNOTS - 1} AS step
+         FROM mres GROUP BY sample), range(0, {KNOTS}) t(k)""",
+)
+cte(
+    "mline",
+    f"""SELECT sample, k, CASE WHEN s2 / s0 - (s1 / s0) ** 2 > 1e-9 THEN t0 / s0 - s1 / s0 * (t1 / s0 - s1 / s0 * t0 / s0) / (s2 / s0 - (s1 / s0) ** 2)
+         ELSE t0 / s0 END AS f FROM (
+         SELECT sample, k, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * residual) AS t0, sum(w * u * residual) AS t1 FROM (
+           SELECT *, pow(1 - pow(abs(u), 3), 3) AS w FROM (
+             SELECT r.sample, k, residual, (expected - place) / ({REACH} * step) AS u FROM mres r JOIN mknot USING (sample)) WHERE abs(u) < 1) GROUP BY ALL)""",
+)
+cte(
+    "mtrend",
+    f"""SELECT r.*, a.f * (1 - v) + CASE WHEN v = 0 THEN 0 ELSE b.f * v END AS trend FROM (
+         SELECT *, t - j AS v FROM (SELECT *, least(floor(t), {KNOTS - 2})::INT AS j FROM (
+           SELECT r.*, (expected - k.place) / step AS t FROM mres r JOIN mknot k ON r.sample = k.sample AND k.k = 0))) r
+       JOIN mline a ON r.sample = a.sample AND a.k = j LEFT JOIN mline b ON r.sample = b.sample AND b.k = j + 1""",
+)
+
+
+@query(
+    "loess_residuals",
+    "SELECT sample, guide1, guide2, gene_pair, expected, trend, residual - trend AS residual FROM mtrend",
+    ["expected", "trend", "residual"],
+)
+def loess_residuals(spark, d):
+    residuals = stage(mod.pair_residuals(_mlong(spark, d), CONTROL), "residuals")
+    return mod.without_trend(residuals, KNOTS, REACH).select("sample", "guide1", "guide2", "gene_pair", "expected", "trend", "residual")
+
+
+@query(
+    "moderated_pairs_loess",
+    """SELECT sample, gene_pair, count(*) AS n, avg(lfc) AS mean_observed, avg(residual - trend) AS effect, var_samp(residual - trend) AS variance
+       FROM mtrend GROUP BY ALL""",
+    ["mean_observed", "effect", "variance"],
+)
+def moderated_pairs_loess(spark, d):
+    df = mod.moderated_gi(_screen(spark, d), LAYOUT, [CONTROL], loess=True)
+    return df.select("sample", "gene_pair", "n", "mean_observed", "effect", "variance")
+
+
 # variational model, two sweeps written out
 
 cte(

@@ -7,6 +7,8 @@ the number line. Rows are counted per cell, with partial counts before the shuff
 along the cells of a group, whose number has a fixed upper bound. Equal values of a group are one row from the first shuffle
 on, and only the rows of the cells that hold a wanted rank are sorted.
 
+Where every row needs its rank, the rows are written in ranges of the value instead, and ranks are counted range by range.
+
 ``log2`` in the JVM is documented as semi-monotonic, and ``1 + x``, ``x * 2^k``, ``abs`` and ``floor`` are monotone
 in floating point, so a larger value never falls into a lower cell and the results are exact.
 
@@ -23,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duoscreen.session import stage
+
 _CELLS_PER_OCTAVE = 2**14
 _NEAR_ZERO = 2.0**20
 _CUTS_PER_CELL = 2**12
@@ -34,11 +38,6 @@ def value_cell(value: Column) -> Column:
     return F.floor(octaves * F.lit(float(_CELLS_PER_OCTAVE))).cast("long")
 
 
-def probability_cell(p: Column) -> Column:
-    """Order-preserving cell number of a probability: 4,096 cells per halving; zero gets the lowest cell."""
-    return F.coalesce(F.floor(F.log2(F.nullif(p, F.lit(0.0))) * F.lit(4096.0)).cast("long"), F.lit(-(2**40)))
-
-
 def _target_ranks(probs: Sequence[float], total: Column) -> list[tuple[Column, Column, Column]]:
     """Zero-based lower rank, upper rank and interpolation weight of each probability."""
     out = []
@@ -125,43 +124,89 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value: str, name: str) ->
     return exact_quantiles(df, keys, value, {name: 0.5}).drop("n")
 
 
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` written in ranges of ``order`` within ``keys``, so that the order of rows can be counted range by range.
+
+    Adds ``_key``, the keys as one value that is never NULL, and ``_range``: all rows of a key in a lower range come before those in
+    a higher one. A range is as large as any partition, whatever a key holds, if ``order`` tells all rows apart. The
+    ranges are written, so a lost executor can't deal them out anew.
+    """
+    ranged = df.withColumn("_key", F.struct(*keys)).repartitionByRange(*keys, *order)
+    return stage(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def _along():
+    return Window.partitionBy("_key").orderBy("_range")
+
+
 def bh_fdr(df: DataFrame, keys: Sequence[str], p: str, name: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg adjusted p-values per group; rows with NULL p get NULL and do not count.
 
-    A group is all pairs of a replicate, so its ranks come from cells: the running count and the reverse running
-    minimum are taken along the cells of a group first, and inside single cells after that.
+    A group is all pairs of a replicate, so its rows are ranked in ranges: the running count and the reverse running
+    minimum are taken along the ranges of a group first, and inside single ranges after that. Rows of equal p get the
+    ranks of their places; the minimum over later rows gives all of them the value of the last.
     """
-    keys = list(keys)
-    counted = (
-        df.where(F.col(p).isNotNull())
-        .groupBy(*keys, F.col(p).alias("_p"))
+    numbered = stage(df.withColumn("_row", F.monotonically_increasing_id()), "p-values")
+    given = in_ranges(numbered.where(F.col(p).isNotNull()), keys, [p, "_row"])
+    part = ["_key", "_range"]
+    starts = (
+        given.groupBy(*part)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_cell", probability_cell(F.col("_p")))
+        .withColumn("_start", F.sum("_n").over(_along().rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy("_key")))
+        .select(*part, "_start", "_total")
     )
-    group = Window.partitionBy(*keys)
-    along = group.orderBy("_cell")
-    cells = (
-        counted.groupBy(*keys, "_cell")
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("_start", F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-        .withColumn("_total", F.sum("_n").over(group))
-        .select(*keys, "_cell", "_start", "_total")
-    )
-    inside = Window.partitionBy(*keys, "_cell").orderBy("_p")
-    ranked = (
-        counted.join(cells, [*keys, "_cell"])
-        .withColumn("_rank", F.col("_start") + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_q", F.col("_p") * F.col("_total") / F.col("_rank"))
+    inside = Window.partitionBy(*part).orderBy(p, "_row")
+    ranked = given.join(starts, part).withColumn(
+        "_q", F.col(p) * F.col("_total") / (F.col("_start") + F.row_number().over(inside))
     )
     later = (
-        ranked.groupBy(*keys, "_cell")
+        ranked.groupBy(*part)
         .agg(F.min("_q").alias("_q"))
-        .withColumn("_later", F.min("_q").over(along.rowsBetween(1, Window.unboundedFollowing)))
-        .select(*keys, "_cell", "_later")
+        .select(*part, F.min("_q").over(_along().rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    )
+    here = F.min("_q").over(inside.rowsBetween(0, Window.unboundedFollowing))
+    adjusted = ranked.join(later, part).withColumn(name, F.least(F.lit(1.0), here, "_later"))
+    left = numbered.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double"))
+    return adjusted.select(*df.columns, name).unionByName(left.select(*df.columns, name))
+
+
+def rank_sums(df: DataFrame, keys: Sequence[str], first: str, second: str) -> DataFrame:
+    """Wilcoxon rank-sum counts of two columns of a group, taken as two samples.
+
+    Per group: ``n1`` and ``n2`` values, ``u`` (pairs in which the first is larger, a tie counting half) and ``ties``, the sum of
+    n^3 - n over groups of equal values. NULL and NaN values are left out one by one. Midranks come from running counts
+    of distinct values along written ranges, so no task sorts a group and no pair is built.
+    """
+    sides = F.array(
+        F.struct(F.col(first).cast("double").alias("_v"), F.lit(1).alias("_a")),
+        F.struct(F.col(second).cast("double").alias("_v"), F.lit(0).alias("_a")),
+    )
+    counted = (
+        df.select(*keys, F.inline(sides))
+        .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        .groupBy(*keys, "_v")
+        .agg(F.sum("_a").alias("_n1"), F.count(F.lit(1)).alias("_n"))
+    )
+    inside = Window.partitionBy("_key", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.col("_n").cast("double")
+    local = (
+        in_ranges(counted, keys, ["_v"])
+        .withColumn("_rank", F.sum("_n").over(inside) - (n - 1) / 2)
+        .groupBy("_key", "_range")
+        .agg(
+            F.sum("_n").alias("_n"),
+            F.sum("_n1").alias("_n1"),
+            F.sum(F.col("_n1") * F.col("_rank")).alias("_r"),
+            F.sum(n * n * n - n).alias("_ties"),
+        )
+        .withColumn("_start", F.sum("_n").over(_along().rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
     )
-    adjusted = (
-        ranked.join(later, [*keys, "_cell"])
-        .withColumn("_here", F.min("_q").over(inside.rowsBetween(0, Window.unboundedFollowing)))
-        .select(*keys, F.col("_p").alias(p), F.least(F.lit(1.0), "_here", "_later").alias(name))
+    totals = local.groupBy("_key").agg(
+        F.sum("_n1").alias("n1"),
+        F.sum(F.col("_n") - F.col("_n1")).alias("n2"),
+        F.sum(F.col("_r") + F.col("_start") * F.col("_n1")).alias("_rank_sum"),
+        F.sum("_ties").alias("ties"),
     )
-    return df.join(adjusted, [*keys, p], "left")
+    smallest = F.col("n1") * (F.col("n1").cast("double") + 1) / 2
+    return totals.select("_key.*", "n1", "n2", (F.col("_rank_sum") - smallest).alias("u"), "ties")

@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duoscreen.functions.special import digamma, t_two_sided_p, trigamma, trigamma_inverse
-from duoscreen.operators.ordered import exact_quantiles
+from duoscreen.functions.special import digamma, normal_two_sided_p, t_two_sided_p, trigamma, trigamma_inverse
+from duoscreen.operators.ordered import exact_quantiles, rank_sums
 
 
 def trimmed_z(df: DataFrame, value: str, by: str = "sample", percent: float = 2.5, name: str = "zdlfc") -> DataFrame:
@@ -85,6 +85,20 @@ def with_t_p(df: DataFrame, t: str = "t", dof: str = "df", name: str = "p_val")
     return df.withColumn(name, t_two_sided_p(F.col(t), F.col(dof)))
 
 
+def rank_sum_test(df: DataFrame, keys: Sequence[str], first: str, second: str) -> DataFrame:
+    """Wilcoxon rank-sum test of two columns of a group as two samples: ``n1, n2, u, z, p_val``.
+
+    Normal approximation with tie and continuity correction. NULL where a sample is empty or all values are equal.
+    """
+    counts = rank_sums(df, keys, first, second)
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    n, apart = n1 + n2, F.col("u") - n1 * n2 / 2
+    variance = n1 * n2 / 12 * (n + 1 - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0)))
+    z = F.try_divide(apart - F.signum(apart) * 0.5, F.sqrt(variance))
+    tested = counts.select(*keys, "n1", "n2", "u", z.alias("z"))
+    return tested.withColumn("p_val", F.when(F.col("z").isNotNull(), F.least(F.lit(1.0), normal_two_sided_p(F.col("z")))))
+
+
 def quadratic_fit(
     df: DataFrame, by: Sequence[str], x: Column, y: Column, offset: Column, names: tuple[str, str] = ("m0", "m1")
 ) -> DataFrame:

@@ -1,9 +1,14 @@
-"""Pair fold changes against sums of single fold changes, by a moderated t-test.
+"""Pair fold changes against sums of single fold changes, by a moderated t-test or a rank-sum test.
 
 Taken from the published description of the method; its package is not part of what this engine was checked
 against. A residual is the fold change of a double construct minus the mean single fold change of its first gene at
 position 1 and of its second gene at position 2. The mean over all sums of single constructs equals the sum of
 the two means, so the sums are never enumerated.
+
+Definitions of this engine where the description leaves room: the rank-sum test compares the fold changes of a pair's
+double constructs with one sum of single fold changes for each of them, that of its own two guides (means over the
+control partners of each guide), as all sums of single constructs would be all pairs of a group. With ``loess`` the trend
+of the residuals over the expected fold change, by local regression within a cell line, is taken out first.
 """
 
 from __future__ import annotations
@@ -17,8 +22,9 @@ from duoscreen.functions.labels import pair_key, split_by_arity
 from duoscreen.operators.filters import drop_listed_genes, within_reads
 from duoscreen.operators.normalize import depth_normalised_fold_change, row_mean, to_long
 from duoscreen.operators.ordered import bh_fdr
-from duoscreen.operators.stats import moderated_t
-from duoscreen.screen import CONSTRUCT, GENE1, GENE2, Layout
+from duoscreen.operators.smooth import local_trend
+from duoscreen.operators.stats import moderated_t, rank_sum_test
+from duoscreen.screen import CONSTRUCT, GENE1, GENE2, GUIDE1, GUIDE2, Layout
 from duoscreen.session import stage
 
 
@@ -50,23 +56,29 @@ def unscored_constructs(
 
 
 def all_residuals(
-    long: DataFrame, control: str, filter_genes: Sequence[str] = (), ignore_orientation: bool = True
+    long: DataFrame,
+    control: str,
+    filter_genes: Sequence[str] = (),
+    ignore_orientation: bool = True,
+    by_guide: bool = False,
 ) -> DataFrame:
     """All double constructs; residual and expected are NULL where a single effect is missing.
 
-    With ``ignore_orientation`` a gene that has no single construct at its own position takes its mean at the other.
+    Single effects are means by gene, or with ``by_guide`` by gene and guide. With ``ignore_orientation`` a gene (or
+    guide) that has no single construct at its own position takes its mean at the other.
     """
     parts = split_by_arity(long, control)
     single = parts["single"]
-    first = single.where(F.col(GENE2) == control).groupBy("sample", GENE1).agg(F.avg("lfc").alias("single1"))
-    second = single.where(F.col(GENE1) == control).groupBy("sample", GENE2).agg(F.avg("lfc").alias("single2"))
+    key1, key2 = ([GENE1, GUIDE1], [GENE2, GUIDE2]) if by_guide else ([GENE1], [GENE2])
+    first = single.where(F.col(GENE2) == control).groupBy("sample", *key1).agg(F.avg("lfc").alias("single1"))
+    second = single.where(F.col(GENE1) == control).groupBy("sample", *key2).agg(F.avg("lfc").alias("single2"))
     combn = drop_listed_genes(parts["combn"], filter_genes) if filter_genes else parts["combn"]
     key = pair_key(F.col(GENE1), F.col(GENE2)) if ignore_orientation else F.concat_ws("_", GENE1, GENE2)
-    joined = combn.join(first, ["sample", GENE1], "left").join(second, ["sample", GENE2], "left")
+    joined = combn.join(first, ["sample", *key1], "left").join(second, ["sample", *key2], "left")
     if ignore_orientation:
-        for gene, own, other in ((GENE1, "single1", second), (GENE2, "single2", first)):
-            names = {GENE1: gene, GENE2: gene, "single1": "_other", "single2": "_other"}
-            joined = joined.join(other.withColumnsRenamed(names), ["sample", gene], "left")
+        for keys, own, other in ((key1, "single1", second), (key2, "single2", first)):
+            names = dict(zip(key1, keys)) | dict(zip(key2, keys)) | {"single1": "_other", "single2": "_other"}
+            joined = joined.join(other.withColumnsRenamed(names), ["sample", *keys], "left")
             joined = joined.withColumn(own, F.coalesce(own, "_other")).drop("_other")
     return (
         joined.withColumn("gene_pair", key)
@@ -86,7 +98,29 @@ def score_pairs(residuals: DataFrame) -> DataFrame:
         F.var_samp("residual").alias("variance"),
     )
     tested = moderated_t(stage(moments, "pair-moments"), "sample", "effect", "variance", "n")
-    return bh_fdr(stage(tested, "pair-tests"), ["sample"], "p_val", "fdr")
+    return bh_fdr(tested, ["sample"], "p_val", "fdr")
+
+
+def without_trend(residuals: DataFrame, knots: int = 41, reach: int = 12) -> DataFrame:
+    """Residuals less their trend over the expected fold change, which stays as ``trend`` (G6, ``loess``)."""
+    fitted = local_trend(residuals, "sample", "expected", "residual", "trend", knots, reach)
+    return fitted.withColumn("residual", F.col("residual") - F.col("trend"))
+
+
+def rank_pairs(sums: DataFrame) -> DataFrame:
+    """Rank-sum test of a pair's fold changes against its sums of single fold changes, with FDR (G6, ``rank-sum``).
+
+    sums: double constructs with ``lfc`` and ``expected`` by guide; ``n`` counts those that have both.
+    """
+    both = sums.where(F.col("lfc").isNotNull() & F.col("expected").isNotNull())
+    moments = both.groupBy("sample", "gene_pair").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("lfc").alias("mean_observed"),
+        F.avg("expected").alias("mean_expected"),
+        F.avg(F.col("lfc") - F.col("expected")).alias("effect"),
+    )
+    tested = rank_sum_test(both, ["sample", "gene_pair"], "lfc", "expected").drop("n1", "n2")
+    return bh_fdr(moments.join(tested, ["sample", "gene_pair"]), ["sample"], "p_val", "fdr")
 
 
 def call_hits(
@@ -110,7 +144,19 @@ def moderated_gi(
     ignore_orientation: bool = True,
     min_reads: float = 0.0,
     max_reads: float = float("inf"),
+    test: str = "moderated-t",
+    loess: bool = False,
 ) -> DataFrame:
-    """Scores and calls of all pairs of constructs whose early reads lie in the window."""
+    """Scores and calls of all pairs of constructs whose early reads lie in the window.
+
+    ``test`` is moderated-t or rank-sum; ``loess`` takes the trend out of the residuals, so it goes with moderated-t.
+    """
+    if test not in ("moderated-t", "rank-sum"):
+        raise ValueError(f"unknown test {test}")
+    if loess and test == "rank-sum":
+        raise ValueError("loess changes residuals, which the rank-sum test does not use")
     long = stage(screen_fold_changes(screen, layout, min_reads, max_reads), "fold-changes")
-    return call_hits(score_pairs(pair_residuals(long, layout.control, filter_genes, ignore_orientation)))
+    if test == "rank-sum":
+        return call_hits(rank_pairs(stage(all_residuals(long, layout.control, filter_genes, ignore_orientation, True), "guide-sums")))
+    residuals = pair_residuals(long, layout.control, filter_genes, ignore_orientation)
+    return call_hits(score_pairs(without_trend(stage(residuals, "residuals")) if loess else residuals))

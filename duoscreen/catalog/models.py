@@ -393,10 +393,18 @@ for _k in range(1, SWEEPS + 1):
 
 _SWEEPS = range(1, SWEEPS + 1)
 cte("gbounds", " UNION ALL ".join(f"SELECT {k}::INT AS sweep, bound FROM gbound_{k}" for k in _SWEEPS))
+for _k in _SWEEPS:
+    cte(
+        f"gchange_{_k}",
+        f"""SELECT {_k}::INT AS sweep, sample, max(abs(v - w)) / max(abs(v)) AS change FROM (
+              SELECT n.sample, n.y AS v, o.y AS w FROM gy_{_k} n JOIN gy_{_k - 1} o ON n.gene = o.gene AND n.sample = o.sample UNION ALL
+              SELECT n.sample, n.s, o.s FROM gs_{_k} n JOIN gs_{_k - 1} o ON n.pair = o.pair AND n.sample = o.sample) GROUP BY sample""",
+    )
+cte("gchanges", " UNION ALL ".join(f"SELECT * FROM gchange_{k}" for k in _SWEEPS))
 cte(
     "gstop",
-    f"""SELECT coalesce(min(sweep), {SWEEPS}) AS stop FROM (SELECT sweep, bound, lag(bound) OVER (ORDER BY sweep) AS before FROM gbounds)
-        WHERE bound - before <= 1e-3 * abs(bound)""",
+    f"""SELECT coalesce(min(sweep), {SWEEPS}) AS stop FROM (SELECT sweep, max(change) AS change FROM gchanges GROUP BY sweep)
+        WHERE change <= 0.2""",
 )
 for _t in ("gs", "gy"):
     cte(f"{_t}_end", " UNION ALL ".join(f"SELECT t.* FROM {_t}_{k} t WHERE (SELECT stop FROM gstop) = {k}" for k in _SWEEPS))
@@ -430,10 +438,10 @@ def variational_effects(spark, d):
 
 @query(
     "variational_convergence",
-    "SELECT * FROM ("
+    "SELECT e.sweep, e.sample, mae, change FROM ("
     + " UNION ALL ".join(f"SELECT {k}::INT AS sweep, sample, avg(abs(err)) AS mae FROM ge_{k} GROUP BY sample" for k in _SWEEPS)
-    + ") WHERE sweep <= (SELECT stop FROM gstop)",
-    ["mae"],
+    + ") e JOIN gchanges c ON e.sweep = c.sweep AND e.sample = c.sample WHERE e.sweep <= (SELECT stop FROM gstop)",
+    ["mae", "change"],
 )
 def variational_convergence(spark, d):
     return var.convergence(var.infer(_vlong(spark, d), CONTROL))
@@ -445,7 +453,7 @@ def variational_convergence(spark, d):
     ["bound"],
 )
 def variational_bound(spark, d):
-    return var.bounds(var.infer(_vlong(spark, d), CONTROL))
+    return var.bounds(var.infer(_vlong(spark, d), CONTROL, evidence=True))
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,9 +44,27 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def stage_by(df: DataFrame, tag: str, keys: list[str]) -> DataFrame:
+    """``stage`` as a table bucketed by ``keys``, in as many buckets as the session has shuffle partitions.
+
+    Joins on exactly these keys, and aggregates and windows whose keys include them, read it without an exchange. All rows of
+    one key land in one bucket, so the keys must part large groups.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"duoscreen_{tag.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/duoscreen/{name}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    _paths[out], _tables[out] = path, name
+    return out
+
+
 def discard(df: DataFrame) -> None:
-    """Remove the files of a frame that ``stage`` returned and nothing will read again; any other frame is left alone."""
-    path = _paths.pop(df, None)
+    """Remove the files of a frame that was staged and nothing will read again; any other frame is left alone."""
+    path, table = _paths.pop(df, None), _tables.pop(df, None)
+    if table is not None:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     if path is not None:
         context = df.sparkSession.sparkContext
         where = context._jvm.org.apache.hadoop.fs.Path(path)

@@ -455,15 +455,15 @@ def control_guide_mean(spark, d):
     ["mean_other", "sq_other_all"],
 )
 def other_control(spark, d):
-    df = reg.other_control_sums(_scores(spark, d), CONTROL)
+    df = reg.other_control_moments(_scores(spark, d), CONTROL)
     return df.select(
         "rep",
         "paralog_pair",
         "targeting_guide",
         "control_guide",
         (F.col("n_own") * F.col("n_other")).alias("n_pairs"),
-        (F.col("sum_other") / F.col("n_other")).alias("mean_other"),
-        (F.col("n_own") * F.col("sq_other")).alias("sq_other_all"),
+        "mean_other",
+        (F.col("n_own") * (F.col("m2_other") + F.col("n_other") * F.col("mean_other") * F.col("mean_other"))).alias("sq_other_all"),
     )
 
 
@@ -532,8 +532,9 @@ def gi_double(spark, d):
     ["mean_gi", "sum_gi2"],
 )
 def gi_single(spark, d):
+    sum_gi2 = F.col("m2_gi") + F.col("n_pairs") * F.col("mean_gi") * F.col("mean_gi")
     return _residuals(spark, d)[1].select(
-        "rep", "paralog_pair", "targeting_guide", "control_guide", "n_pairs", "mean_gi", "sum_gi2"
+        "rep", "paralog_pair", "targeting_guide", "control_guide", "n_pairs", "mean_gi", sum_gi2.alias("sum_gi2")
     )
 
 

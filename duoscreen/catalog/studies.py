@@ -318,6 +318,18 @@ def control_pair_filter(spark, d):
     return filters.drop_control_pairs(df, "gene_pair", CONTROL).select("gene1", "gene2", "guide1", "guide2")
 
 
+CONTROL_NAMES = ["CTRL", "03", "G07.x"]
+
+
+@query(
+    "control_gene_filter",
+    f"""SELECT {IDS} FROM screen WHERE NOT EXISTS (FROM (SELECT unnest({CONTROL_NAMES}) AS name)
+          WHERE contains(name, gene1) OR contains(gene1, name) OR contains(name, gene2) OR contains(gene2, name))""",
+)
+def control_gene_filter(spark, d):
+    return filters.drop_control_genes(_screen(spark, d), ["gene1", "gene2"], CONTROL_NAMES).select("gene1", "gene2", "guide1", "guide2")
+
+
 @query("drop_empty_replicate", "SELECT guide1, guide2, f_a FROM screen", ["f_a"])
 def drop_empty_replicate(spark, d):
     df = _screen(spark, d).select("guide1", "guide2", "f_a", F.lit(None).cast("double").alias("f_x"))

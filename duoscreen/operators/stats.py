@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from numpy.polynomial.hermite_e import herme2poly
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duoscreen.functions.special import digamma, normal_two_sided_p, t_two_sided_p, trigamma, trigamma_inverse
-from duoscreen.operators.ordered import exact_quantiles, rank_sums
+from duoscreen.operators.ordered import exact_quantiles, join_null_safe, rank_sums
 
 
 def trimmed_z(df: DataFrame, value: str, by: str = "sample", percent: float = 2.5, name: str = "zdlfc") -> DataFrame:
@@ -143,33 +144,62 @@ def histogram(df: DataFrame, value: str, by: str, bins: int = 30) -> DataFrame:
     )
 
 
+#: Bins of a bandwidth, terms of the kernel's series in a bin, and bandwidths after which the kernel counts as zero.
+KDE_BINS, KDE_TERMS, KDE_REACH = 4, 11, 9.0
+
+
 def gaussian_kde(
     df: DataFrame, value: str, by: str, low: float = -10.0, high: float = 10.0, points: int = 500
 ) -> DataFrame:
     """Gaussian kernel density on a fixed grid, with the standard normal curve.
 
-    Bandwidth is sd * n^(-1/5). Each row adds to all grid points inside its own task, and partial sums are merged
-    before the shuffle, so at most ``points`` rows per group and task move.
+    Bandwidth h is sd * n^(-1/5). A row goes to one bin of width h / 4 and adds powers of its distance from the bin's
+    middle; each bin then gives the grid points within nine bandwidths its share by the kernel's Hermite series. So a
+    row's cost does not depend on the grid. At a point, the sum of kernels (each 1 at most) is wrong by at most 3e-13 of the
+    rows: 1e-13 by the terms left out (|u|^11 / sqrt(11!) for |u| <= 1/8), the rest by the kernel beyond its reach.
+    Groups, which must be few, have no density without two different values; NULL and NaN values are left out.
     """
-    spread = df.groupBy(by).agg(F.stddev_samp(value).alias("_sd"), F.count(value).alias("_n"))
-    spread = spread.select(by, "_n", (F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("_h"))
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    spread = known.groupBy(by).agg(F.stddev_samp(value).alias("_sd"), F.count(value).alias("_n"))
+    width = F.nullif(F.col("_sd"), F.lit(0.0)) * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
+    spread = spread.select(by, "_n", width.alias("_h"))
     step = (high - low) / (points - 1)
-    kernel = F.exp(-F.pow((F.col("x") - F.col(value)) / F.col("_h"), F.lit(2.0)) / 2)
-    root = math.sqrt(2 * math.pi)
-    return (
-        df.where(F.col(value).isNotNull())
-        .join(F.broadcast(spread), by)
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("x", F.lit(low) + F.col("point") * step)
+    place = F.col(value) / F.col("_h") * KDE_BINS
+    near = F.col(value).between(low - (KDE_REACH + 1) * F.col("_h"), high + (KDE_REACH + 1) * F.col("_h"))
+    u = (place - F.col("_bin") - 0.5) / KDE_BINS
+    powers = [F.lit(1.0)]
+    for _ in range(KDE_TERMS - 1):
+        powers.append(powers[-1] * u)
+    bins = (
+        join_null_safe(known, F.broadcast(spread.where(F.col("_h").isNotNull())), [by])
+        .where(near)
+        .withColumn("_bin", F.floor(place))
+        .groupBy(by, "_bin")
+        .agg(F.max("_h").alias("_h"), *[F.sum(p).alias(f"_m{k}") for k, p in enumerate(powers)])
+        .withColumn("_centre", (F.col("_bin") + 0.5) / KDE_BINS)
+    )
+    first = F.greatest(F.lit(0), F.ceil(((F.col("_centre") - KDE_REACH) * F.col("_h") - low) / step)).cast("int")
+    last = F.least(F.lit(points - 1), F.floor(((F.col("_centre") + KDE_REACH) * F.col("_h") - low) / step)).cast("int")
+    t = (F.lit(low) + F.col("point") * step) / F.col("_h") - F.col("_centre")
+    series = F.lit(0.0)
+    for k in range(KDE_TERMS):
+        hermite = F.lit(0.0)
+        for c in reversed(herme2poly([0.0] * k + [1.0]).tolist()):
+            hermite = hermite * F.col("_t") + c
+        series = series + F.col(f"_m{k}") * hermite / float(math.factorial(k))
+    sums = (
+        bins.where(first <= last)
+        .withColumn("point", F.explode(F.sequence(first, last)))
+        .withColumn("_t", t)
         .groupBy(by, "point")
-        .agg(F.sum(kernel).alias("_sum"), F.max("x").alias("x"), F.max("_n").alias("_n"), F.max("_h").alias("_h"))
-        .select(
-            by,
-            "point",
-            "x",
-            (F.col("_sum") / (F.col("_n") * F.col("_h") * root)).alias("density"),
-            (F.exp(-F.col("x") * F.col("x") / 2) / root).alias("normal"),
-        )
+        .agg(F.sum(F.exp(-F.col("_t") * F.col("_t") / 2) * series).alias("_sum"))
+    )
+    grid = spread.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.lit(low) + F.col("point") * step)
+    same = grid[by].eqNullSafe(sums[by]) & (grid["point"] == sums["point"])
+    root = math.sqrt(2 * math.pi)
+    density = F.coalesce(F.greatest(sums["_sum"], F.lit(0.0)), F.when(F.col("_h").isNotNull(), F.lit(0.0))) / (F.col("_n") * F.col("_h") * root)
+    return grid.join(sums, same, "left").select(
+        grid[by], grid["point"], "x", density.alias("density"), (F.exp(-F.col("x") * F.col("x") / 2) / root).alias("normal")
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duoscreen.functions.labels import (
@@ -163,69 +163,65 @@ def double_expected(scores: DataFrame, control: str) -> DataFrame:
     return doubles.withColumn("expected_score", F.col("mean_single1") + F.col("mean_single2"))
 
 
-def other_control_sums(scores: DataFrame, control: str) -> DataFrame:
-    """Per guide and control: its own constructs and those with every other control, as sums.
+def _moments(score: Column, name: str) -> list[Column]:
+    """Count, mean and sum of squares about the mean: a state that merges without taking differences of large sums."""
+    n = F.count(score)
+    return [n.alias(f"n_{name}"), F.avg(score).alias(f"mean_{name}"), (F.var_pop(score) * n).alias(f"m2_{name}")]
+
+
+def other_control_moments(scores: DataFrame, control: str) -> DataFrame:
+    """Per guide and control: moments of its own constructs and of those with every other control.
 
     Matching each construct with the same guide's constructs under other controls would emit all pairs of a
-    guide. Everything downstream only needs counts, sums and sums of squares over those pairs, and these follow
-    from the guide's totals minus the control's own part.
+    guide. Everything downstream only needs counts, means and squares about the means over those pairs, and these
+    follow from the guide's moments and the control's own part.
     """
-    score = F.col("crispr_score")
-    own = (
-        single_constructs(scores, control)
-        .where(F.col("targeting_guide").isNotNull())
-        .groupBy(*SINGLE_KEY, "targeted_gene", "control_guide")
-        .agg(
-            F.count(score).alias("n_own"),
-            F.sum(score).alias("sum_own"),
-            F.sum(score * score).alias("sq_own"),
-        )
-    )
-    total = own.groupBy(*SINGLE_KEY).agg(
-        F.sum("n_own").alias("_n"), F.sum("sum_own").alias("_s"), F.sum("sq_own").alias("_q")
-    )
+    single = single_constructs(scores, control).where(F.col("targeting_guide").isNotNull())
+    own = single.groupBy(*SINGLE_KEY, "targeted_gene", "control_guide").agg(*_moments(F.col("crispr_score"), "own"))
+    total = single.groupBy(*SINGLE_KEY).agg(*_moments(F.col("crispr_score"), "all"))
+    n1, n = F.col("n_own"), F.col("n_all")
+    apart = F.col("mean_all") - F.col("mean_own")
     return (
         own.join(total, SINGLE_KEY)
-        .withColumn("n_other", F.col("_n") - F.col("n_own"))
-        .withColumn("sum_other", F.col("_s") - F.col("sum_own"))
-        .withColumn("sq_other", F.col("_q") - F.col("sq_own"))
+        .withColumn("n_other", n - n1)
         .where(F.col("n_other") > 0)
-        .drop("_n", "_s", "_q")
+        .withColumn("mean_other", F.col("mean_all") + apart * n1 / F.col("n_other"))
+        .withColumn("m2_other", F.greatest(F.col("m2_all") - F.col("m2_own") - apart * apart * n1 * n / F.col("n_other"), F.lit(0.0)))
+        .drop("n_all", "mean_all", "m2_all")
     )
 
 
 def single_expected(scores: DataFrame, control: str, expected: str = "other_control") -> DataFrame:
-    """Observed and expected scores of single constructs, as sums over their ``n_pairs`` matches.
+    """Observed and expected scores of single constructs, as moments over their ``n_pairs`` matches.
 
-    Columns sum_o, sum_e, sum_oo, sum_oe, sum_ee. NULL expectations (control guide without a control-control
-    construct) stay in the table for the audit.
+    Columns mean_o, mean_e and the squares and products about them, m2_o, m2_e and c_oe. Each own construct meets
+    each other one, so own and other scores do not vary together: c_oe is 0. NULL expectations (control guide without
+    a control-control construct) stay in the table for the audit.
     """
     if expected == "observed":
-        score = F.col("crispr_score")
         base = (
             single_constructs(scores, control)
             .groupBy(*SINGLE_KEY, "targeted_gene", "control_guide")
-            .agg(F.count(score).alias("n_pairs"), F.sum(score).alias("sum_o"), F.sum(score * score).alias("sum_oo"))
+            .agg(*_moments(F.col("crispr_score"), "o"))
+            .withColumnRenamed("n_o", "n_pairs")
         )
-        return base.withColumns({"sum_e": F.col("sum_o"), "sum_oe": F.col("sum_oo"), "sum_ee": F.col("sum_oo")})
-    sums = other_control_sums(scores, control).join(control_guide_means(scores), ["rep", "control_guide"], "left")
-    m = F.col("mean_control_score")
-    n1, s1, q1 = F.col("n_own"), F.col("sum_own"), F.col("sq_own")
-    n2, s2, q2 = F.col("n_other"), F.col("sum_other"), F.col("sq_other")
-    return sums.withColumns(
+        return base.withColumns({"mean_e": F.col("mean_o"), "m2_e": F.col("m2_o"), "c_oe": F.col("m2_o")})
+    matches = other_control_moments(scores, control).join(control_guide_means(scores), ["rep", "control_guide"], "left")
+    n1, n2 = F.col("n_own"), F.col("n_other")
+    return matches.withColumns(
         {
             "n_pairs": n1 * n2,
-            "sum_o": n2 * s1,
-            "sum_e": n1 * (s2 + n2 * m),
-            "sum_oo": n2 * q1,
-            "sum_oe": s1 * (s2 + n2 * m),
-            "sum_ee": n1 * (q2 + 2 * m * s2 + n2 * m * m),
+            "mean_o": F.col("mean_own"),
+            "mean_e": F.col("mean_other") + F.col("mean_control_score"),
+            "m2_o": n2 * F.col("m2_own"),
+            "m2_e": n1 * F.col("m2_other"),
+            "c_oe": F.lit(0.0),
         }
     )
 
 
 def usable_singles(singles: DataFrame) -> DataFrame:
-    return drop_missing(singles, ["sum_e"])
+    return drop_missing(singles, ["mean_e"])
 
 
 def target_means(singles: DataFrame) -> DataFrame:
@@ -234,8 +230,8 @@ def target_means(singles: DataFrame) -> DataFrame:
         usable_singles(singles)
         .groupBy("rep", "targeted_gene")
         .agg(
-            (F.sum("sum_e") / F.sum("n_pairs")).alias("mean_expected"),
-            (F.sum("sum_o") / F.sum("n_pairs")).alias("mean_observed"),
+            (F.sum(F.col("n_pairs") * F.col("mean_e")) / F.sum("n_pairs")).alias("mean_expected"),
+            (F.sum(F.col("n_pairs") * F.col("mean_o")) / F.sum("n_pairs")).alias("mean_observed"),
         )
     )
 
@@ -255,18 +251,13 @@ def double_gi(doubles: DataFrame, fit: DataFrame) -> DataFrame:
 
 
 def single_gi(singles: DataFrame, fit: DataFrame) -> DataFrame:
-    """Sum and sum of squares of the residuals of single constructs."""
-    a, b, n = F.col("intercept"), F.col("slope"), F.col("n_pairs")
-    o, e = F.col("sum_o"), F.col("sum_e")
+    """Mean residual of single constructs and its squares about the mean."""
+    a, b = F.col("intercept"), F.col("slope")
+    m2 = F.col("m2_o") - 2 * b * F.col("c_oe") + b * b * F.col("m2_e")
     return (
         usable_singles(singles)
         .join(F.broadcast(fit), "rep", "left")
-        .withColumn("sum_gi", o - n * a - b * e)
-        .withColumn(
-            "sum_gi2",
-            F.col("sum_oo") - 2 * b * F.col("sum_oe") + b * b * F.col("sum_ee") - 2 * a * (o - b * e) + n * a * a,
-        )
-        .withColumn("mean_gi", F.col("sum_gi") / n)
+        .withColumns({"mean_gi": F.col("mean_o") - (a + b * F.col("mean_e")), "m2_gi": F.greatest(m2, F.lit(0.0))})
     )
 
 
@@ -275,14 +266,15 @@ def single_pool(singles_gi: DataFrame) -> DataFrame:
 
     Squares are taken about the mean: those within a guide's matches plus those of the guides' means.
     """
-    totals = singles_gi.groupBy("rep").agg(F.sum("n_pairs").alias("pool_n"), F.sum("sum_gi").alias("_s"))
-    totals = totals.withColumn("pool_mean", F.col("_s") / F.col("pool_n")).drop("_s")
-    own = F.greatest(F.col("sum_gi2") - F.col("sum_gi") * F.col("mean_gi"), F.lit(0.0))
-    apart = F.col("n_pairs") * F.pow(F.col("mean_gi") - F.col("pool_mean"), 2)
+    n = F.col("n_pairs")
+    totals = singles_gi.groupBy("rep").agg(
+        F.sum("n_pairs").alias("pool_n"), (F.sum(n * F.col("mean_gi")) / F.sum("n_pairs")).alias("pool_mean")
+    )
+    apart = F.col("mean_gi") - F.col("pool_mean")
     return (
         singles_gi.join(F.broadcast(totals), "rep")
         .groupBy("rep", "pool_n", "pool_mean")
-        .agg(F.sum(own + apart).alias("_m2"))
+        .agg(F.sum(F.col("m2_gi") + n * apart * apart).alias("_m2"))
         .select("rep", "pool_n", "pool_mean", F.try_divide(F.col("_m2"), F.col("pool_n") - 1).alias("pool_var"))
     )
 
@@ -306,11 +298,14 @@ def pair_scores(doubles_gi: DataFrame, singles_gi: DataFrame) -> DataFrame:
         .withColumn("broad_class", F.lit("double"))
         .join(pair_tests(doubles_gi, singles_gi).select("rep", GENE1, GENE2, "p_val", "fdr"), ["rep", GENE1, GENE2], "left")
     )
-    n = F.sum("n_pairs")
+
+    def mean(name: str) -> Column:
+        return F.sum(F.col("n_pairs") * F.col(name)) / F.sum("n_pairs")
+
     singles = singles_gi.groupBy("rep", PAIR).agg(
-        (F.sum("sum_o") / n).alias("mean_observed"),
-        (F.sum("sum_e") / n).alias("mean_expected"),
-        (F.sum("sum_gi") / n).alias("mean_gi"),
+        mean("mean_o").alias("mean_observed"),
+        mean("mean_e").alias("mean_expected"),
+        mean("mean_gi").alias("mean_gi"),
         F.lit(None).cast("string").alias(GENE1),
         F.lit(None).cast("string").alias(GENE2),
         F.lit("single").alias("broad_class"),
@@ -323,9 +318,9 @@ def pair_scores(doubles_gi: DataFrame, singles_gi: DataFrame) -> DataFrame:
 def residuals(scores: DataFrame, layout: Layout, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """Residuals of double constructs and of single constructs; ``scores`` should be a stored table.
 
-    The sums over single constructs and the double residuals are written once, because several passes read them.
+    The moments of single constructs and the double residuals are written once, because several passes read them.
     """
-    singles = stage(single_expected(scores, layout.control, options.expected), "single-sums")
+    singles = stage(single_expected(scores, layout.control, options.expected), "single-moments")
     fit = single_fit(singles)
     doubles = stage(double_gi(double_expected(scores, layout.control), fit), "double-residuals")
     return doubles, single_gi(singles, fit)

@@ -1,3 +1,4 @@
+import random
 import statistics
 
 import pytest
@@ -110,3 +111,24 @@ def test_fitness_centres_controls(spark, constructs):
     out = normalize.fitness_fold_change(constructs, LAYOUT, control)
     mid = out.where(control).agg(F.median("r1"), F.median("r2")).first()
     assert mid[0] == pytest.approx(0, abs=1e-12) and mid[1] == pytest.approx(0, abs=1e-12)
+
+
+def test_ten_thousand_control_names(spark):
+    rng = random.Random(4)
+    names = [f"CT{i:05d}" for i in range(10_000)]
+    genes = ["CT00017", "xCT00018y", "T0001", "", "CT", "A", "é", None, *[f"G{rng.randrange(10**6)}" for _ in range(50)]]
+    df = spark.createDataFrame([(g, "B") for g in genes] + [("B", "00019")], "g1 string, g2 string")
+
+    def plain(substring):
+        hit = lambda g: any(g in n or (substring and n in g) for n in names)
+        return sorted((a, b) for a, b in [*[(g, "B") for g in genes if g is not None], ("B", "00019")] if not hit(a) and not hit(b))
+
+    sizes = []
+    for substring in (True, False):
+        got = filters.drop_control_genes(df, ["g1", "g2"], names, substring)
+        assert sorted(map(tuple, got.collect())) == plain(substring)
+        small = filters.drop_control_genes(df, ["g1", "g2"], names[:10], substring)
+        sizes.append([len(x._jdf.queryExecution().optimizedPlan().toString().split("\n")) for x in (got, small)])
+    assert all(a == b for a, b in sizes)
+    assert filters.drop_control_genes(df, ["g1"], []).count() == df.count()
+    assert filters.drop_control_genes(df, ["g1"], ["", "x"]).count() == 0

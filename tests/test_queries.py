@@ -15,13 +15,14 @@ NAMES = list(QUERIES)
 
 @pytest.fixture(scope="module", autouse=True)
 def one_fit():
-    """The variational queries read one fit here; each fits for itself outside the tests."""
-    fit, kept = variational_gi.infer, []
-
-    def once(*args):
-        if not kept:
-            kept.append(fit(*args))
-        return kept[0]
+    """The variational queries of equal arguments read one fit here; each fits for itself outside the tests."""
+    fit, kept = variational_gi.infer, {}
+
+    def once(long, *args, **options):
+        key = repr((args, sorted(options.items())))
+        if key not in kept:
+            kept[key] = fit(long, *args, **options)
+        return kept[key]
 
     variational_gi.infer = once
     yield

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import Any
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from duoscreen.session import stage
 
-__all__ = ["components", "keyed", "mix64", "pieces", "shared", "stage", "word_grams", "word_hashes", "word_starts"]
+__all__ = ["components", "hidden_names", "keyed", "mix64", "pieces", "shared", "spared", "stage", "word_grams", "word_hashes", "word_starts"]
 
 #: Text bytes that a task works on at a time; a longer text makes a piece of its own.
 PIECE_BYTES = 1 << 20
@@ -25,6 +26,30 @@ for _span in (b"az", b"AZ", b"09"):
     _WORD[_span[0] : _span[1] + 1] = True
 
 
+def hidden_names(docs: DataFrame, *used: str) -> dict[str, str]:
+    """New names for the columns of ``docs`` that an operator could take for its own: those in ``used`` and all that begin with __."""
+    taken, out = {c.lower() for c in docs.columns}, {}
+    for i, c in enumerate(docs.columns):
+        if c.startswith("__") or c.lower() in used:
+            name = f"hidden_{i}"
+            while name in taken:
+                name += "_"
+            taken.add(name)
+            out[c] = name
+    return out
+
+
+def spared(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that returns the columns of its first argument, also where these have names of its own."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args: Any, **options: Any) -> DataFrame:
+        names = hidden_names(docs)
+        return operator(docs.withColumnsRenamed(names), *args, **options).withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches of about ``size`` text bytes, with their texts as UTF-8 (null: empty)."""
     for batch in batches:

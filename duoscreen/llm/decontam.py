@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duoscreen.llm.common import pieces, shared, word_grams, word_hashes, word_starts
+from duoscreen.llm.common import pieces, shared, spared, word_grams, word_hashes, word_starts
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -208,6 +208,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
+@spared
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs``, whole, whose text has no window like an item of ``benchmark``."""
     spark, names, schema = docs.sparkSession, docs.columns, docs.schema

@@ -67,10 +67,16 @@ def _lowered(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[tup
         yield batch.select(keep), texts
 
 
+def sampled(rows: DataFrame, part: Column) -> DataFrame:
+    """The rows of ``rows`` (id, text, lang) that a language's share in the map ``part`` lets in."""
+    return rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20))
+
+
 def fit(labelled: DataFrame, sample: int = 1500, gram: int = 5, slots: int = 1 << 19, hashes: int = 3, share: float = 0.5) -> Filters:
     """Filters learned from ``labelled`` (doc_id, text, lang).
 
-    sample: about so many rows of each language are used, chosen by a hash of the id. An n-gram enters the filter
+    sample: about so many rows of each language are used, chosen by a hash of id and text, so that rows that share an id or have
+    none are drawn one by one (only copies of a row stay together). An n-gram enters the filter
     of a language if it occurs twice in its sample and its frequency there is at least ``share`` of its largest
     frequency in any language. The driver gets one row for each language and at most ``slots`` words.
     """
@@ -83,7 +89,7 @@ def fit(labelled: DataFrame, sample: int = 1500, gram: int = 5, slots: int = 1 <
         return Filters([], np.zeros((slots, 1), dtype=np.uint64), np.zeros(0), gram, hashes)
     place = {lang: i for i, lang in enumerate(langs)}
     part = F.create_map(*[F.lit(x) for lang in langs for x in (lang, sample / sizes[lang])])
-    chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20))
+    chosen = sampled(rows, part)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _lowered(batches, ["lang"]):

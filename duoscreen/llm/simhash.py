@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duoscreen.llm.common import components, pieces, stage
+from duoscreen.llm.common import components, pieces, spared, stage
 
 _ONE = np.uint64(1)
 #: Stands for a null id: it sorts last.
@@ -213,6 +213,7 @@ def near_components(docs: DataFrame, words: int = 4, radius: int = 4, **index: i
     )
 
 
+@spared
 def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """One row of each component, the first by doc_id (nulls last) and two hashes of the text, with all columns of ``docs``.
 

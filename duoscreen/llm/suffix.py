@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duoscreen.llm.common import PIECE_BYTES, mix64, pieces, stage
+from duoscreen.llm.common import PIECE_BYTES, mix64, pieces, spared, stage
 
 LENGTH = 100
 GRAM = 32
@@ -397,6 +397,7 @@ def report(docs: DataFrame, **params: int) -> DataFrame:
     return _with_cuts(base, **params).select("doc_id", "text", "__cuts").mapInArrow(run, schema)
 
 
+@spared
 def without_repeats(docs: DataFrame, **params: int) -> DataFrame:
     """All columns of ``docs`` with the repeated strings taken out of ``text`` and ``n_chars`` counted anew.
 

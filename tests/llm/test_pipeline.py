@@ -54,3 +54,30 @@ def test_run_and_empty_documents(spark, documents, tmp_path):
     spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     documents.where(F.lit(False)).withColumn("extra", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+CLASHING = ["__low", "__id", "__digest", "__one", "__two", "__cuts", "__whole", "lang_pred", "score", "component", "fp", "hidden_5"]
+
+
+def test_stages_keep_columns_with_their_own_names(spark, documents):
+    """Clashing columns come back as they went in, a third of the ids being null."""
+    rows = documents.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(c), F.md5(F.coalesce("text", F.lit("")))).alias(c) for c in CLASHING])
+    rows = rows.withColumn("doc_id", F.when(F.xxhash64("text") % 3 != 0, F.col("doc_id")))
+    before = {tuple(r) for r in rows.select(*CLASHING).collect()}
+    plain = documents.withColumn("doc_id", F.when(F.xxhash64("text") % 3 != 0, F.col("doc_id")))
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        got, want = function(spark, rows, SMALL), function(spark, plain, SMALL)
+        assert got.columns == rows.columns, name
+        found = got.collect()
+        assert {tuple(r[c] for c in CLASHING) for r in found} <= before, name
+        key = lambda r: (str(r.doc_id), str(r.text), str(r.lang), str(r.source), str(r.n_chars))
+        assert sorted(map(key, found)) == sorted(map(key, want.collect())), name
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, SMALL).count() == corpus_pipeline.STAGES[-1][1](spark, plain, SMALL).count()
+
+
+def test_language_sample_holds_without_ids(spark):
+    from duoscreen.llm import language
+
+    rows = spark.range(6000).select(F.lit(None).cast("string").alias("id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"))
+    chosen = language.sampled(rows, F.create_map(F.lit("en"), F.lit(150 / 6000))).count()
+    assert 100 < chosen < 200

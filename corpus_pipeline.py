@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duoscreen.llm import decontam, language, mixing, simhash, suffix
-from duoscreen.llm.common import stage
+from duoscreen.llm.common import hidden_names, stage
 
 #: A text is rejected below this share of its language among all corrected n-gram counts.
 LEAST_SHARE = 0.3
@@ -18,9 +18,11 @@ LEAST_SHARE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters or without a clear language; a missing ``lang`` becomes the predicted one."""
+    names = hidden_names(docs, "lang_pred", "score")
+    docs = docs.withColumnsRenamed(names)
     found = language.predict(docs, language.fit(docs.filter(~language.held_out())))
     kept = found.filter((F.col("lang_pred") != language.NONE) & (F.col("score") >= LEAST_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns).withColumnsRenamed({v: k for k, v in names.items()})
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

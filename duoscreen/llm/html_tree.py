@@ -3,14 +3,16 @@
 The DOMs of a host's pages are merged into one tree whose nodes are tag paths. A node's importance combines two
 entropies over the pages that have it: of its presentation (which child tags it holds) and of its content (texts
 that stand on many of the pages are noise, texts of one page are content). The tree judges every branch of every
-page, and a page loses those that it finds unimportant. Marks come on top: branches whose tags and names say that
-they are noise go too and, where a page marks its main element, what lies outside.
+page, and a page loses those that it finds unimportant. Marks come on top, as evidence: a branch whose tag or names say
+that it is noise goes unless it holds the page, and where a page marks its main element, what lies outside goes. What
+holds the page is told by text outside links.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,48 +45,101 @@ _INLINE = {
 }
 #: Elements that an opening tag of the same group closes.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_NOISE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|newsletter|subscri\w*|share|sharing|social|"
-    r"nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|header|masthead|related|recommend\w*|comments?|disqus|repl(?:y|ies)|widgets?|toolbar|pagination|"
-    r"pager|login|signup|search|complementary|navigation|contentinfo)(?:$|[\s_-])",
+#: Parts of a class, id or role that speak of noise, of readers' comments (also noise), and those that say nothing (fixed values).
+_COMMENT_PART = re.compile(r"comments?|disqus|repl(?:y|ies)|respond|discussion", re.I)
+_NOISE_PART = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscri\w*|shar(?:e|ing)|social|"
+    r"nav\w*|menus?|menubar|breadcrumbs?|sidebar|aside|side|footer|header|masthead|related|recommend\w*|widgets?|toolbar|pagination|"
+    r"pager|login|signup|search|complementary|contentinfo",
     re.I,
 )
-_MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|article-?body)(?:$|[\s_-])", re.I)
+_NEUTRAL_PART = re.compile(
+    r"\d+|area|bar|block|body|bottom|box|btn|buttons?|center|col|column|container|content|count|desktop|entry|fixed|first|form|global|group|"
+    r"head|heading|holder|icons?|inner|items?|last|latest|left|links?|list|main|middle|mobile|module|more|outer|overlay|page|panel|placeholder|"
+    r"popular|posts?|articles?|primary|reader|right|row|secondary|section|site|slot|sticky|stor(?:y|ies)|tags?|text|thread|title|toggle|top|unit|user|"
+    r"view|wrap|wrapper",
+    re.I,
+)
+_MAIN_NAME = re.compile(r"(?:article|main|content|post|entry|story)(?:[-_](?:article|body|content|text|main|area|wrap|wrapper|container|inner))*|articlebody", re.I)
+#: A header of one of these stands over the main text.
+_TITLED = {"post", "article", "entry", "story", "content", "main"}
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+
+
+def marked_noise(name: str) -> str:
+    """noise, comment or empty, for one class, id or role: some part speaks of it and no part of anything else."""
+    parts = [p for p in _PARTS.split(name) if p]
+    noise = [p for p in parts if _NOISE_PART.fullmatch(p)]
+    comment = [p for p in parts if _COMMENT_PART.fullmatch(p)]
+    if not noise and not comment or not all(p in noise or p in comment or _NEUTRAL_PART.fullmatch(p) for p in parts):
+        return ""
+    if not comment and all(p.lower() == "header" for p in noise) and any(p.lower() in _TITLED for p in parts):
+        return ""
+    return "comment" if comment else "noise"
 
 
 @dataclass
 class Block:
-    """A run of text: its tag path, whether marked as noise, as main, and the text."""
+    """A run of text: hash of its tag path, innermost noise mark and main mark (0: none), characters outside links."""
 
-    path: str
-    noise: bool
-    main: bool
+    path: int
+    mark: int
+    main: int
     text: str
+    plain: int
+    title: bool
+
+
+@dataclass
+class Parsed:
+    """Blocks of a page in order, each element's path and a hash of its children's steps, and the marks: parent and kind."""
+
+    blocks: list[Block]
+    styles: list[tuple[int, int]]
+    marks: list[tuple[int, str]]
+    mains: list[tuple[int, str]]
 
 
-def blocks(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
-    """The blocks of a page in order, and each element's path with the tags of its children."""
-    out: list[Block] = []
-    styles: list[tuple[str, str]] = []
-    # tag, path, noise, main, children
-    stack: list[tuple[str, str, bool, bool, list[str]]] = [("", "", False, False, [])]
-    text: list[str] = []
+def _step(parent: int, step: str) -> int:
+    """Hash of a path from the hash of its parent; a path is never written out, however deep."""
+    return xxhash.xxh64_intdigest(step.encode("utf-8", "surrogatepass"), parent)
+
+
+def _signed(digest: int) -> int:
+    return digest - (1 << 63)
+
+
+def parsed(page: str) -> Parsed:
+    """The blocks, styles and marks of a page; memory is in proportion to its length."""
+    out = Parsed([], [], [(0, "")], [(0, "")])
+    # tag, path, noise mark, main mark, children
+    stack: list[tuple[str, int, int, int, xxhash.xxh64]] = [("", 0, 0, 0, xxhash.xxh64())]
+    opened: Counter[str] = Counter()
+    text: list[tuple[str, bool]] = []
+    link = 0  # depth at which a link was opened
 
     def flush() -> None:
         if text:
-            words = " ".join(html.unescape("".join(text)).split())
+            words = " ".join(html.unescape("".join(x for x, _ in text)).split())
+            linked = " ".join(html.unescape("".join(x for x, a in text if a)).split()) if any(a for _, a in text) else ""
             text.clear()
             if words:
-                _, path, noise, main, _ = stack[-1]
-                out.append(Block(path, noise, main, words))
+                tag, path, mark, main, _ = stack[-1]
+                out.blocks.append(Block(_signed(path), mark, main, words, max(0, len(words) - len(linked)), tag == "h1"))
 
     def close(depth: int) -> None:
+        nonlocal link
         flush()
+        if link > depth:
+            link = 0
         while len(stack) > depth:
-            _, path, _, _, children = stack.pop()
-            styles.append((path, " ".join(children)))
+            tag, path, _, _, children = stack.pop()
+            opened[tag] -= 1
+            out.styles.append((_signed(path), _signed(children.intdigest())))
 
     def depth_of(tags: set[str], stop: set[str]) -> int:
+        if not any(opened[t] for t in tags):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in tags:
                 return i
@@ -96,15 +151,16 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
     while at < len(page):
         token = _TOKEN.search(page, at)
         if token is None:
-            text.append(page[at:])
+            text.append((page[at:], link > 0))
             break
-        text.append(page[at : token.start()])
+        text.append((page[at : token.start()], link > 0))
         at = token.end()
         tag = (token[2] or "").lower()
         if not tag:
             continue
         if token[1]:
             if tag in _INLINE:
+                link = 0 if tag == "a" else link
                 continue
             depth = depth_of({tag}, set())
             if depth:
@@ -115,11 +171,12 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         if tag in _RAW and not token[3].endswith("/"):
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             at = end.end()
-            text.append(" ")
+            text.append((" ", False))
             continue
         if tag in _INLINE:
             if tag == "br":
-                text.append(" ")
+                text.append((" ", False))
+            link = len(stack) if tag == "a" else link
             continue
         if tag in _VOID:
             flush()
@@ -129,30 +186,85 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         if stack[-1][0] == "p" or (tag == "body" and stack[-1][0] == "head"):
             close(len(stack) - 1)
         flush()
-        _, path, noise, main, children = stack[-1]
-        names = " ".join(a or b or c for _, a, b, c in _NAMES.findall(token[3]))
-        step = f"{tag}.{' '.join(sorted(names.lower().split()))}" if names else tag
-        children.append(step)
-        marked = tag in _MAIN or (bool(names) and _MAIN_NAME.search(names) is not None and tag not in ("body", "html"))
-        bad = (tag in _NOISE and not (tag == "header" and main)) or (tag not in _MAIN | {"body", "html"} and bool(names) and _NOISE_NAME.search(names) is not None)
-        stack.append((tag, f"{path}/{step}", noise or bad, main or (marked and not bad and not noise), []))
+        _, path, mark, main, children = stack[-1]
+        found = [(kind.lower(), a or b or c) for kind, a, b, c in _NAMES.findall(token[3])]
+        names = [n for _, value in found for n in value.split()]
+        step = f"{tag}.{' '.join(sorted(n.lower() for n in names))}" if names else tag
+        children.update(f"{step} ".encode("utf-8", "surrogatepass"))
+        outer = tag in ("body", "html")
+        kinds = set() if outer or tag in _MAIN else {marked_noise(n) for n in names}
+        if tag in _NOISE and not (tag == "header" and main):
+            kinds.add("noise")
+        if kinds & {"noise", "comment"}:
+            out.marks.append((mark, "comment" if "comment" in kinds else "noise"))
+            mark = len(out.marks) - 1
+        elif tag in _MAIN or ("role", "main") in [(k, v.lower()) for k, v in found]:
+            out.mains.append((main, "element"))
+            main = len(out.mains) - 1
+        elif not outer and any(_MAIN_NAME.fullmatch(n) for n in names):
+            out.mains.append((main, "name"))
+            main = len(out.mains) - 1
+        stack.append((tag, _step(path, step), mark, main, xxhash.xxh64()))
+        opened[tag] += 1
     close(1)
-    return out, styles
+    return out
 
 
-def kept(found: list[Block]) -> list[Block]:
-    """The blocks that marks leave over."""
-    rest = [b for b in found if not b.noise]
-    return [b for b in rest if b.main] or rest
+def _held(parents: list[tuple[int, str]], own: list[tuple[int, int]]) -> list[int]:
+    """Sums of (mark, amount) over each mark and all inside it; marks are numbered from the outside in."""
+    sums = [0] * len(parents)
+    for mark, amount in own:
+        sums[mark] += amount
+    for i in range(len(parents) - 1, 0, -1):
+        sums[parents[i][0]] += sums[i]
+    return sums
 
 
-def main_text(found: list[Block], low: set[int]) -> str:
+def _inside(parents: list[tuple[int, str]], chosen: set[int]) -> list[bool]:
+    """For each mark, whether it or one around it is chosen."""
+    out = [False] * len(parents)
+    for i in range(1, len(parents)):
+        out[i] = i in chosen or out[parents[i][0]]
+    return out
+
+
+def kept(page: Parsed) -> list[Block]:
+    """The blocks that marks leave over.
+
+    A noise mark is void if its branch holds more than half of the page's text outside links and no main element
+    outside of it has any; one of readers' comments only if the branch also holds a first heading or main element. Of the rest, main
+    elements (article, main, role main) with at least a quarter of the text outside links are all that stays, else
+    branches with a main name that hold more than half of it.
+    """
+    blocks, marks, mains = page.blocks, page.marks, page.mains
+    total = sum(b.plain for b in blocks)
+    in_main = _inside(mains, {i for i, (_, kind) in enumerate(mains) if kind == "element"})
+    plain = _held(marks, [(b.mark, b.plain) for b in blocks])
+    titles = _held(marks, [(b.mark, b.title or in_main[b.main]) for b in blocks])
+    main_plain = _held(marks, [(b.mark, b.plain if in_main[b.main] else 0) for b in blocks])
+    noise = {
+        i
+        for i, (_, kind) in enumerate(marks)
+        if i and not (2 * plain[i] > total and main_plain[i] == main_plain[0] and (kind == "noise" or titles[i]))
+    }
+    gone = _inside(marks, noise)
+    rest = [b for b in blocks if not gone[b.mark]]
+    left = sum(b.plain for b in rest)
+    elements = [b for b in rest if in_main[b.main]]
+    if elements and 4 * sum(b.plain for b in elements) >= left:
+        return elements
+    named = _held(mains, [(b.main, b.plain) for b in rest])
+    in_named = _inside(mains, {i for i in range(1, len(mains)) if 2 * named[i] > left})
+    return [b for b in rest if in_named[b.main]] or rest
+
+
+def main_text(page: Parsed, low: set[int]) -> str:
     """The blocks that neither marks nor the tree remove, one line each."""
-    return "\n".join(b.text for b in kept(found) if _hash(b.path) not in low)
+    return "\n".join(b.text for b in kept(page) if b.path not in low)
 
 
 def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
@@ -166,11 +278,11 @@ def style_nodes(pages: DataFrame) -> DataFrame:
         for part, texts in pieces(batches, "html"):
             rows = []
             for host, page, source in zip(part.column("host").to_pylist(), part.column("page").to_pylist(), texts):
-                found, styles = blocks(source.decode("utf-8", "replace"))
+                found = parsed(source.decode("utf-8", "replace"))
                 seen = set()
-                rows.extend((host, page, _hash(p), 0, _hash(s), False) for p, s in set(styles))
-                for path, text in dict.fromkeys((b.path, b.text) for b in found):
-                    rows.append((host, page, _hash(path), 1, _hash(text), path not in seen))
+                rows.extend((host, page, p, 0, s, False) for p, s in set(found.styles))
+                for path, text in dict.fromkeys((b.path, b.text) for b in found.blocks):
+                    rows.append((host, page, path, 1, _hash(text), path not in seen))
                     seen.add(path)
             if rows:
                 names = [x.split()[0] for x in schema.split(", ")]
@@ -218,7 +330,7 @@ def extract(pages: DataFrame, least: float = IMPORTANCE, n_pages: int = PAGES) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "html"):
             lows = part.column("low").to_pylist()
-            found = [main_text(blocks(t.decode("utf-8", "replace"))[0], set(x or ())) for t, x in zip(texts, lows)]
+            found = [main_text(parsed(t.decode("utf-8", "replace")), set(x or ())) for t, x in zip(texts, lows)]
             columns = [part.column("page_id"), part.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 

@@ -81,3 +81,73 @@ def test_pages_of_the_table(spark):
         article = pages[r.page_id].split("<article>")[1].split("</article>")[0]
         assert r.n_chars == len(r.text) and r.text.split("\n")[0] in " ".join(html.unescape(article).split())
         assert "&copy;" not in r.text and "<" not in r.text.replace("< ", "") and "track(" not in r.text
+
+
+def text_of(page):
+    return html_tree.main_text(html_tree.parsed(page), set())
+
+
+def test_marks_are_evidence_and_lose_no_article():
+    body = "<h1>T</h1><p>Long article body here.</p>"
+    want = "T\nLong article body here."
+    assert text_of(f'<div class="layout with-sidebar">{body}</div>') == want
+    assert text_of(f'<div class="sidebar">{body}</div><nav><a href=x>Home</a></nav>') == want
+    assert text_of(f'<form id="aspnetForm"><div class="menu"><a href=x>A very long link text in the menu</a></div>{body}</form>') == want
+    assert text_of('<p>Real article text.</p><p>More.</p><div class="story"><p>teaser</p></div>') == "Real article text.\nMore.\nteaser"
+    assert text_of('<div class="story"><p>Real article text.</p><p>More.</p></div><p>teaser</p>') == "Real article text.\nMore."
+    assert text_of(f'<article>{body}<div class="share-price">Up 3 %</div><div class="share-buttons">Tell all</div></article>') == f"{want}\nUp 3 %"
+    assert text_of(f"<div><article>Card</article></div><div>{body} and so on and on</div>") == f"Card\n{want.split(chr(10))[0]}\nLong article body here.\nand so on and on"
+    assert text_of('<header class="entry-header"><h1>T</h1></header>') == "T" and text_of('<main><div class="post-header"><h1>T</h1></div><p>x</p></main>') == "T\nx"
+
+
+def test_long_comments_and_menus_stay_out():
+    article, comment = "<p>Short article.</p>", "<p>One long comment of a reader, longer than all the rest.</p>" * 5
+    for name in ("comments", "comment-list", "reader-comments", "disqus_thread"):
+        assert text_of(f'<div>{article}</div><div id="{name}">{comment}</div>') == "Short article."
+    assert text_of(f"<article>{article}</article><aside>{comment}</aside>") == "Short article."
+    assert text_of(f"<main>{article}</main><footer>{comment}</footer>") == "Short article."
+
+
+def test_deep_markup_takes_memory_in_proportion():
+    import tracemalloc
+
+    for page in ("<div>" * 100_000 + "x", '<div class="ad">' * 50_000 + "x"):
+        tracemalloc.start()
+        found = html_tree.kept(html_tree.parsed(page))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [b.text for b in found] == ["x"] and most < 100e6
+
+
+def test_importance_equals_a_plain_tree(spark):
+    """The merged tree by hand: nodes named by written-out paths, entropies from plain counts."""
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(5)
+    nodes, rows = defaultdict(lambda: (defaultdict(Counter), set())), []
+    for page in range(12):
+        host = f"h{page % 2}.example"
+        inner = [(rng.choice(["p", "ul", "h2"]), rng.choice(["same words", f"own {page} {k}"])) for k in range(rng.randrange(1, 7))]
+        rows.append((page, f"http://{host}/{page}", "<section>" + "".join(f"<{t}>{x}</{t}>" for t, x in inner) + "</section>", ""))
+        steps = {"/section": ({"".join(f"{t} " for t, _ in inner)}, set())}
+        for tag, words in inner:
+            styles, texts = steps.setdefault(f"/section/{tag}", ({""}, set()))
+            texts.add(words)
+        for path, (styles, texts) in steps.items():
+            kinds, pages = nodes[host, path]
+            pages.add(page)
+            kinds[0].update(styles)
+            kinds[1].update(texts)
+    want = []
+    for (host, path), (kinds, pages) in nodes.items():
+        n = len(pages)
+        style = -sum(c / kinds[0].total() * math.log(c / kinds[0].total()) for c in kinds[0].values()) / math.log(n) if n > 1 else 1.0
+        content = (1 - sum(c * math.log(c) for c in kinds[1].values()) / kinds[1].total() / math.log(n) if n > 1 else 1.0) if kinds[1] else style
+        want.append((host, n, 0.1 * style + 0.9 * content))
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("regexp_extract(url, '//([^/]*)', 1) as host", "page_id as page", "html")
+    got = [(r.host, r.n_pages, r.importance) for r in html_tree.importance(html_tree.style_nodes(docs)).collect()]
+    assert len(got) == len(want)
+    for (a, n, x), (b, m, y) in zip(sorted(got), sorted(want)):
+        assert (a, n) == (b, m) and abs(x - y) < 1e-9

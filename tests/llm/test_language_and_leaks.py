@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from conftest import SMALL
 
@@ -48,8 +49,8 @@ def test_many_languages(spark):
     assert held and all(r.lang_pred == known[r.doc_id] for r in held)
 
 
-@pytest.mark.parametrize("block_words", [decontam.BLOCK_WORDS, 300])
-def test_leaks_match_brute_force(spark, block_words):
+@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 2000])
+def test_leaks_match_brute_force(spark, block_bytes):
     rng = random.Random(4)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()][:20]
     items += [(900, "two words"), (901, None), (902, "!!"), (903, items[0][1])]
@@ -64,7 +65,7 @@ def test_leaks_match_brute_force(spark, block_words):
     rng.shuffle(docs)
     got = decontam.leaks(
         spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, item_id int"),
-        spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string"), block_words=block_words,
+        spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string"), block_bytes=block_bytes,
     ).collect()
     found = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word) for r in got}
     want = {(d, i): (round(s, 9), at) for d, t in docs for i, (s, at) in brute.best_windows(t, items).items()}
@@ -89,3 +90,36 @@ def test_clean_keeps_whole_rows(spark):
     assert sorted(tuple(r) for r in decontam.clean(docs, items).fillna(-1, ["doc_id"]).collect() if r.doc_id >= 0) == [(2, "clean", 6)] * 2
     assert decontam.clean(docs, items).count() == 3 and decontam.clean(docs.limit(0), items).count() == 0
     assert decontam.clean(docs, items.limit(0)).count() == 4 and decontam.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_items_with_one_prompt_cost_nothing_where_only_the_prompt_is_found():
+    import time
+
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    prompt = words(8)
+    items = [(str(i), f"{prompt} {words(12)}") for i in range(2000)]
+    index = decontam.Index([(i, t.encode()) for i, t in items], decontam.RADIUS)
+    text = " ".join(f"{prompt} {words(12)}" for _ in range(20)).encode()
+    start = time.perf_counter()
+    assert list(index.scan([text], 0.8)) == [] and time.perf_counter() - start < 0.1
+    mixed = f"{words(30)} {items[7][1]} {prompt} {items[1500][1]} {prompt}"
+    found = {m[1]: (m[2], m[4]) for m in index.scan([mixed.encode()], 0.8)}
+    want = {i: (at, s) for i, (s, at) in brute.best_windows(mixed, [items[k] for k in range(0, 2000, 1) if k in (7, 1500) or k % 100 == 0]).items()}
+    assert found == want and set(found) == {"7", "1500"}
+
+
+def test_pairs_at_the_limit_lie_within_the_radius():
+    rng = np.random.default_rng(1)
+    for n in (9, 18, 36):
+        m = int(np.ceil(2 * n * 0.8 / 1.8 - 1e-9))
+        hashes = rng.integers(0, 1 << 64, size=(4000, 2 * n - m), dtype=np.uint64)
+        bits = 2 * np.unpackbits(hashes.view(np.uint8), axis=1).reshape(4000, 2 * n - m, 64).astype(np.int16) - 1
+        apart = ((bits[:, :n].sum(1) > 0) != (bits[:, n - m :].sum(1) > 0)).sum(1)
+        assert apart.max() <= decontam.RADIUS
+
+
+def test_clean_in_blocks_equals_clean_at_once(spark):
+    items, docs = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("benchmark", "documents"))
+    one, many = (sorted(r.doc_id for r in decontam.clean(docs, items, block_bytes=n).collect()) for n in (decontam.BLOCK_BYTES, 3000))
+    assert one == many and len(one) < docs.count()

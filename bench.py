@@ -30,7 +30,7 @@ def trial(spark: SparkSession, constructs: int = 6_000_000) -> dict[str, float]:
     """Seconds of the scores over made-up constructs, one gene pair holding a third of them; not part of the total."""
     from pyspark.sql import functions as F
 
-    from duoscreen.plans import delta_lfc, moderated_gi, quadratic_gi
+    from duoscreen.plans import delta_lfc, moderated_gi, quadratic_gi, regression_gi
     from duoscreen.session import stage
     from duoscreen.sources.lineitem_screen import LAYOUT
 
@@ -42,8 +42,17 @@ def trial(spark: SparkSession, constructs: int = 6_000_000) -> dict[str, float]:
     rows = rows.withColumns({f"guide{i}": F.concat_ws(".", f"gene{i}", (F.shiftright("id", 3 * i) % 40).cast("string")) for i in (1, 2)})
     counts = {c: (F.pmod(F.xxhash64("id", F.lit(c)), F.lit(900)) + 20).cast("double") for c in [*LAYOUT.late, "t0"]}
     screen = stage(rows.withColumns(counts).drop("id"), "trial")
+    genes = screen.select(F.explode(F.array("gene1", "gene2")).alias("gene")).distinct().where(F.col("gene") != LAYOUT.control)
+    essentials = genes.where(F.xxhash64("gene") % 10 == 0)
+    lines = F.explode(F.array(*map(F.lit, LAYOUT.samples)))
+    expression = genes.select("gene", lines.alias("sample")).withColumn("is_expressed", F.xxhash64("gene") % 5 != 0)
+
+    def regression(screen, layout):
+        return regression_gi.regression_gi(screen, layout, essentials, expression)
+
+    scores = {"zdlfc": delta_lfc.zdlfc, "regression": regression, "quadratic": quadratic_gi.quadratic_gi, "moderated": moderated_gi.moderated_gi}
     times = {}
-    for name, score in (("zdlfc", delta_lfc.zdlfc), ("quadratic", quadratic_gi.quadratic_gi), ("moderated", moderated_gi.moderated_gi)):
+    for name, score in scores.items():
         start = time.perf_counter()
         score(screen, LAYOUT).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)

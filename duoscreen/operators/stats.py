@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from numpy.polynomial.hermite_e import herme2poly
 from pyspark.sql import Column, DataFrame
@@ -100,30 +101,49 @@ def rank_sum_test(df: DataFrame, keys: Sequence[str], first: str, second: str) -
     return tested.withColumn("p_val", F.when(F.col("z").isNotNull(), F.least(F.lit(1.0), normal_two_sided_p(F.col("z")))))
 
 
+#: Below this share of its largest value the determinant of the raw sums has lost too many digits.
+CLOSE = 1e-6
+
+
 def quadratic_fit(
     df: DataFrame, by: Sequence[str], x: Column, y: Column, offset: Column, names: tuple[str, str] = ("m0", "m1")
 ) -> DataFrame:
     """Least squares of ``m0 x^2 + m1 x + offset`` per group, from sums.
 
-    With fewer than two distinct non-zero x the square term is dropped, and with no non-zero x both are.
+    With fewer than two distinct non-zero x the square term is dropped, and with no non-zero x both are. Where the x of a
+    group lie so close together that sums of their powers no longer tell them apart, the same fit is taken as the
+    line of (y - offset) / x over x with weights x^2, from sums of distances to the group's smallest x.
     """
-    r = y - offset
-    nonzero = F.nullif(x, F.lit(0.0))
-    sums = df.groupBy(*by).agg(
-        F.sum(x * x).alias("_s2"),
-        F.sum(x * x * x).alias("_s3"),
-        F.sum(x * x * x * x).alias("_s4"),
-        F.sum(x * r).alias("_t1"),
-        F.sum(x * x * r).alias("_t2"),
+    rows = df.select(*by, x.alias("_x"), (y - offset).alias("_r"))
+    xx, r = F.col("_x"), F.col("_r")
+    nonzero = F.nullif(xx, F.lit(0.0))
+    sums = rows.groupBy(*by).agg(
+        F.sum(xx * xx).alias("_s2"),
+        F.sum(xx * xx * xx).alias("_s3"),
+        F.sum(xx * xx * xx * xx).alias("_s4"),
+        F.sum(xx * r).alias("_t1"),
+        F.sum(xx * xx * r).alias("_t2"),
         F.min(nonzero).alias("_min"),
         F.max(nonzero).alias("_max"),
     )
     s2, s3, s4, t1, t2 = (F.col(c) for c in ("_s2", "_s3", "_s4", "_t1", "_t2"))
     det = s4 * s2 - s3 * s3
     full = F.coalesce(F.col("_min") != F.col("_max"), F.lit(False))
-    m0 = F.when(full, F.try_divide(t2 * s2 - t1 * s3, det)).otherwise(0.0)
-    m1 = F.when(full, F.try_divide(s4 * t1 - s3 * t2, det)).otherwise(F.coalesce(F.try_divide(t1, s2), F.lit(0.0)))
-    return sums.select(*by, m0.alias(names[0]), m1.alias(names[1]))
+    close = full & (det <= CLOSE * s4 * s2)
+    u, w, z = xx - F.col("_min"), xx * xx, F.try_divide(r, xx)
+    own = join_null_safe(rows.where(xx != 0), sums.where(close).select(*by, "_min"), by)
+    near = own.groupBy(*by, "_min").agg(
+        F.sum(w).alias("_w"), F.sum(w * u).alias("_u"), F.sum(w * u * u).alias("_uu"), F.sum(w * z).alias("_z"), F.sum(w * u * z).alias("_uz")
+    )
+    mean_u, mean_z = F.col("_u") / F.col("_w"), F.col("_z") / F.col("_w")
+    slope = F.try_divide(F.col("_uz") - mean_u * F.col("_z"), F.col("_uu") - mean_u * F.col("_u"))
+    near = near.select(*by, slope.alias("_near0"), (mean_z - slope * (mean_u + F.col("_min"))).alias("_near1"))
+    raw0, raw1 = F.try_divide(t2 * s2 - t1 * s3, det), F.try_divide(s4 * t1 - s3 * t2, det)
+    m0 = F.when(close, F.col("_near0")).when(full, raw0).otherwise(0.0)
+    m1 = F.when(close, F.col("_near1")).when(full, raw1).otherwise(F.coalesce(F.try_divide(t1, s2), F.lit(0.0)))
+    other = near.withColumnsRenamed({k: f"_r_{k}" for k in by})
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_r_{k}")), by, F.lit(True))
+    return sums.join(other, same, "left").select(*by, m0.alias(names[0]), m1.alias(names[1]))
 
 
 def histogram(df: DataFrame, value: str, by: str, bins: int = 30) -> DataFrame:

@@ -150,6 +150,25 @@ def test_quadratic_fit_without_spread(spark):
     assert got == {"a": (0.0, 3.0), "b": (0.0, 0.0)}
 
 
+def test_quadratic_fit_of_close_values_against_rationals(spark):
+    """x = 1 + i * 1e-9 and a few wider groups: the exact least squares of the same doubles."""
+    from fractions import Fraction
+
+    groups = {k: [1 + i * step for i in range(12)] for k, step in (("9", 1e-9), ("8", 1e-8), ("6", 1e-6), ("3", 1e-3), ("wide", 1.0))}
+    groups[None] = [-3.0, -3.0 + 1e-9, 0.0, -3.0 - 4e-9]
+    rows = [(k, x, 2 * x * x - x + 0.5) for k, xs in groups.items() for x in xs]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {r.g: (r.m0, r.m1) for r in quadratic_fit(df, ["g"], F.col("x"), F.col("y"), F.lit(0.5)).collect()}
+    assert set(got) == set(groups)
+    for k, xs in groups.items():
+        pairs = [(Fraction(x), Fraction(2 * x * x - x + 0.5) - Fraction(1, 2)) for x in xs]
+        s2, s3, s4 = (sum(x**p for x, _ in pairs) for p in (2, 3, 4))
+        t1, t2 = sum(x * r for x, r in pairs), sum(x * x * r for x, r in pairs)
+        det = s4 * s2 - s3 * s3
+        m0, m1 = float((t2 * s2 - t1 * s3) / det), float((s4 * t1 - s3 * t2) / det)
+        assert got[k] == pytest.approx((m0, m1), rel=1e-4), k
+
+
 def dense_scores(rows, truncate):
     """Guide-by-guide matrices filled query by query."""
     guides = sorted({r[2] for r in rows} | {r[3] for r in rows})
@@ -304,6 +323,19 @@ def test_excluded_constructs_count_for_the_mean(spark, constructs):
     assert kept == {k: v for k, v in every.items() if k[0] != "C"} and len(kept) < len(every)
 
 
+def test_trimmed_z_of_its_own_result_is_the_same(spark):
+    """As in the published table of 403 pairs: the values inside the percentiles have mean 0 and sd 1, so nothing changes."""
+    rng = np.random.default_rng(403)
+    df = spark.createDataFrame([(c, float(v)) for c in ("A549", "HT29") for v in rng.standard_t(3, size=403)], "sample string, dlfc double")
+    once = stage(trimmed_z(df, "dlfc", name="z"), "z")
+    twice = trimmed_z(once, "z", name="zz").collect()
+    assert len(twice) == 806 and all(r.zz == pytest.approx(r.z, abs=1e-12) for r in twice)
+    inside = [r.z for r in twice if r.sample == "A549"]
+    low, high = np.percentile(inside, [2.5, 97.5])
+    kept = [z for z in inside if low < z < high]
+    assert len(kept) == 381 and abs(np.mean(kept)) < 1e-12 and np.std(kept, ddof=1) == pytest.approx(1)
+
+
 def test_density_integrates_to_one(spark):
     rng = np.random.default_rng(6)
     df = spark.createDataFrame([("L", float(v)) for v in rng.normal(size=300)], "sample string, v double")

@@ -5,6 +5,10 @@ into blocks of equally many words, and its shards win the blocks by highest quot
 numbers). Inside a shard the documents lie in a seeded order as one stream of words; the shard's quota takes blocks
 from its start, and from its start again once all is taken.
 
+By default a source gets its target rounded to blocks. With ``whole`` the sources win their blocks by highest quotients
+of their targets too, and what blocks leave, or limits keep from a shard, is dealt word by word over the shards of the
+source, so each takes its target to the word, however small.
+
 The number of shards follows the square root of the number of documents, so the shards of a source and the documents
 of a shard are both small against the table at any size, whatever a source holds.
 """
@@ -19,12 +23,18 @@ from duoscreen.llm.common import stage
 WEIGHTS = (5, 2, 1)
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words between ASCII blanks of each row (null text: 0)."""
+def sizes(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, source and the number of words between ASCII blanks of each row (null text: 0), and a key to draw by.
+
+    The key is the id. With ``whole`` rows without an id have the digest of their text instead, so that they don't
+    all draw the same.
+    """
     runs = F.size(F.split("text", r"[\x20\x09-\x0D]+", -1))
     ends = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0) + F.when(F.col("text").rlike(r"[\x20\x09-\x0D]\z"), 1).otherwise(0)
     size = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.greatest(runs - ends, F.lit(0)))
-    return docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string")).select("doc_id", "source", size.cast("long").alias("size"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))) if whole else F.lit(""))
+    base = docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string"))
+    return base.select("doc_id", "source", size.cast("long").alias("size"), key.alias("key"))
 
 
 def targets(rows: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -82,29 +92,49 @@ def apportion(parties: DataFrame, group: list[str], seats: str, votes: str, orde
     )
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = 64, seed: int = 7) -> DataFrame:
+def _to_the_word(quotas: DataFrame) -> DataFrame:
+    """Quotas of a source's shards, made up to or cut down to its rounded target along the shards."""
+    every = Window.partitionBy("q_source")
+    before = every.orderBy("q_shard").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.round("target").cast("long") - F.sum("quota").over(every)
+    room = F.when(left > 0, F.col("limit") - F.col("quota")).otherwise(F.col("quota"))
+    moved = F.least("room", F.greatest(F.abs("left") - F.coalesce(F.sum("room").over(before), F.lit(0)), F.lit(0)))
+    filled = quotas.withColumn("left", left).withColumn("room", room).withColumn("moved", moved)
+    return filled.withColumn("quota", F.col("quota") + F.signum("left").cast("long") * F.col("moved")).drop("left", "room", "moved")
+
+
+def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = 64, seed: int = 7, whole: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every row of ``docs`` (doc_id, text, source).
 
     Null sources are a source of their own, the last; null and empty texts have size 0 and nothing is taken of them.
     Rows that repeat an id are taken apart; equal rows may swap their parts. An empty table gives an empty result,
-    other columns are ignored. Each source takes its target to within half a block and what blocks leave at a limit.
+    other columns are ignored. Each source takes its target to within half a block and what blocks leave at a limit, or with
+    ``whole`` to the word. Copies of a row without an id stay in one shard.
     """
-    rows = stage(sizes(docs), "sizes")
+    rows = stage(sizes(docs, whole), "sizes")
     goals = targets(rows, share, most)
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key"))), 1, 8), 16, 10).cast("long")
     total = F.broadcast(rows.agg(F.ceil(F.sqrt(F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double"))).alias("width")))
-    goals = stage(goals.join(total).withColumn("shards", F.ceil(F.col("source_docs") / F.col("width"))), "goals")
+    goals = goals.join(total).withColumn("shards", F.ceil(F.col("source_docs") / F.col("width")))
+    if whole:
+        # one group: a row for each source, like the windows of ``targets``
+        goals = goals.withColumn("all", F.lit(1)).withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"))
+        goals = apportion(goals, ["all"], "blocks", "target", ["source"]).withColumnRenamed("won", "seats")
+    else:
+        goals = goals.withColumn("seats", F.round(F.col("target") / block).cast("long"))
+    goals = stage(goals, "goals")
     dealt = rows.join(goals, rows["source"].eqNullSafe(goals["source"])).select(
-        "doc_id", goals["source"], "size", "source_size", "target", "shards", draw.alias("draw")
+        "doc_id", goals["source"], "size", "source_size", "target", "shards", "seats", draw.alias("draw")
     )
     dealt = stage(dealt.withColumn("shard", F.col("draw") % F.col("shards")), "dealt")
-    shards = dealt.groupBy("source", "shard", "source_size", "target").agg(F.sum("size").alias("shard_size"))
-    seats = F.round(F.col("target") / block).cast("long")
-    won = apportion(shards.withColumn("seats", seats), ["source"], "seats", "shard_size", ["shard"])
+    shards = dealt.groupBy("source", "shard", "source_size", "target", "seats").agg(F.sum("size").alias("shard_size"))
+    won = apportion(shards, ["source"], "seats", "shard_size", ["shard"])
+    limit = most * F.col("shard_size")
     quota = won.select(
-        F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "shard_size",
-        F.least(F.col("won") * block, most * F.col("shard_size")).alias("quota"),
+        F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "shard_size", F.col("target").alias("q_target"),
+        limit.alias("limit"), F.least(F.col("won") * block, limit).alias("quota"),
     )
+    quota = _to_the_word(quota.withColumnRenamed("q_target", "target")).drop("target", "limit") if whole else quota.drop("q_target", "limit")
     stream = Window.partitionBy("source", "shard").orderBy("draw", "doc_id", "size")
     placed = dealt.withColumn("end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)))
     begin = F.col("end") - F.col("size")

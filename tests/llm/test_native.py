@@ -156,6 +156,24 @@ def test_mix_of_odd_tables(spark):
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_whole_mix_takes_targets_to_the_word(spark):
+    """Sources of a few words, a source at its limit, and a third of the rows without an id."""
+    rng = random.Random(21)
+    rows = [(i if i % 3 else None, "w " * rng.randrange(1, 120) + f"x{i}", f"s{i % 4}") for i in range(900)]
+    rows += [(2000, "ten words " * 5, "tiny"), (2001, "one", "one"), (2002, None, "empty"), (2003, "y " * 30_000, "a"), (2004, "v " * 7, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(frame, whole=True).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r["size"] for r in got)
+    for source in {r.source for r in got}:
+        own = [r for r in got if r.source == source]
+        assert sum(r.taken for r in own) == round(own[0].target + 1e-9), source
+    assert sum(r.taken for r in got if r.source == "tiny") > 0
+    again = mixing.mix(frame.repartition(5), whole=True).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    keys = mixing.sizes(frame, whole=True).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert keys == 1 and mixing.mix(frame.limit(0), whole=True).count() == 0
+
+
 def test_topk_of_odd_vectors(spark):
     rng = random.Random(9)
     rows = [(i, [rng.gauss(0, 1) for _ in range(24)], 1) for i in range(120)]
@@ -180,7 +198,7 @@ def test_queries_match_sql(spark, name):
 
     run, sql = catalog.QUERIES[name]
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     frame = run(spark, SMALL)
     cursor = con.execute(sql)

@@ -42,7 +42,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixing plan: documents of which words are taken, with sizes, targets and the words taken."""
-    return mixing.mix(docs).filter("taken > 0")
+    return mixing.mix(docs, whole=True).filter("taken > 0")
 
 
 STAGES = [

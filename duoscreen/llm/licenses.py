@@ -2,8 +2,9 @@
 
 Every word pair of every text meets the pairs of the templates by an equi join on a hash; equal words, and the next
 word for longer templates, confirm a hit. Hits of a template at the same offset of text and template are votes of a
-diagonal, kept as a bit mask, so votes are summed up before the shuffle. Diagonals near each other belong to one
-copy with a word more or less and are merged; the share of the template's grams that a span holds verifies it.
+diagonal, kept as a bit mask for each stretch of places of the template, so votes are summed up before the shuffle and a
+template may have any length. Diagonals near each other belong to one copy with a word more or less and are merged;
+the share of the template's grams that a span holds verifies it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases (fixed values) whose every place counts, with their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Sentences of licenses and notices, at most 62 words each, with their labels.
+#: Sentences of licenses and notices with their labels; ``scan`` takes any list, whole licenses too.
 NOTICES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
@@ -41,7 +42,8 @@ DRIFT = 3
 #: Share of a notice's grams that a span must hold.
 COVERAGE = 0.7
 
-MAX_WORDS = 62
+#: Places of a template whose votes share a mask.
+STRETCH = 62
 
 
 def template_rows(phrases: dict[str, str], notices: list[tuple[str, str]]) -> list[tuple]:
@@ -49,8 +51,8 @@ def template_rows(phrases: dict[str, str], notices: list[tuple[str, str]]) -> li
     rows = []
     entries = [(label, text.split(), 2) for text, label in phrases.items()] + [(label, text.split(), 3) for label, text in notices]
     for number, (label, words, k) in enumerate(entries):
-        if not k <= len(words) <= MAX_WORDS:
-            raise ValueError(f"a template has {k} to {MAX_WORDS} words: {' '.join(words)}")
+        if len(words) < k:
+            raise ValueError(f"a template has at least {k} words: {' '.join(words)}")
         for i in range(len(words) - k + 1):
             rows.append((words[i], words[i + 1], words[i + 2] if k == 3 else None, number, label, k == 2, i, len(words) - k + 1))
     return rows
@@ -86,17 +88,21 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: list[tuple
     doc = ["doc_id", "digest"]
     votes = (
         grams.join(known, hit, "left")
-        .groupBy(*doc, "n_words", "template", "label", "phrase", "grams", (F.col("at") - F.col("place")).alias("diagonal"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
+        .withColumn("stretch", F.floor(F.col("place") / STRETCH))
+        .groupBy(*doc, "n_words", "template", "label", "phrase", "grams", (F.col("at") - F.col("place")).alias("diagonal"), "stretch")
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, place % {STRETCH})")).alias("mask"))
     )
-    near = Window.partitionBy(*doc, "template").orderBy("diagonal")
-    apart = F.when(~F.col("phrase") & (F.col("diagonal") - F.lag("diagonal").over(near) <= DRIFT), 0).otherwise(1)
+    near = Window.partitionBy(*doc, "template").orderBy("diagonal", "stretch")
+    drift = F.when(F.col("phrase"), 0).otherwise(DRIFT)
+    apart = F.when(F.col("diagonal") - F.lag("diagonal").over(near) <= drift, 0).otherwise(1)
     spans = (
         votes.withColumn("apart", apart)
         .withColumn("copy", F.sum("apart").over(near.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*doc, "n_words", "template", "label", "phrase", "grams", "copy", "stretch")
+        .agg(F.bit_count(F.bit_or("mask")).alias("held"), F.min("diagonal").alias("start"))
         .groupBy(*doc, "n_words", "template", "label", "phrase", "grams", "copy")
-        .agg(F.bit_or("mask").alias("mask"), F.min("diagonal").alias("start"))
-        .withColumn("share", F.bit_count("mask") / F.col("grams"))
+        .agg(F.sum("held").alias("held"), F.min("start").alias("start"))
+        .withColumn("share", F.col("held") / F.col("grams"))
         .withColumn("base", F.col("phrase") & (F.col("share") == 1))
         .withColumn("found", F.col("base") | (~F.col("phrase") & (F.col("share") >= coverage)))
     )

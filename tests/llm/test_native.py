@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import brute
 import duckdb
@@ -156,6 +157,40 @@ def test_mix_of_odd_tables(spark):
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
 
 
+#: The whole text of a license (fixed value).
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to
+do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT
+NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_templates_of_any_length(spark):
+    """A whole license and one of 200 words, against a count of the template's grams in the text."""
+    rng = random.Random(31)
+    words = [f"w{rng.randrange(150)}" for _ in range(200)]
+    mit = re.findall(r"[a-z0-9]+", MIT.lower())
+    assert len(mit) > 160
+    changed, longer = list(words), words[:90] + ["extra"] + words[90:]
+    for i in (3, 70, 71, 150, 199):
+        changed[i] = "other"
+    texts = [f"intro text here\n{MIT}\nend", "a b " + " ".join(words), "c " + " ".join(changed) + " d", " ".join(longer), " ".join(words[:120]), " ".join(words) + " mid " + " ".join(words)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {}, [("mit", " ".join(mit)), ("long", " ".join(words))]).collect()}
+
+    def share(text):
+        own = text.split()
+        grams = {tuple(own[i : i + 3]) for i in range(len(own) - 2)}
+        return sum(tuple(words[i : i + 3]) in grams for i in range(198)) / 198
+
+    assert got[0].labels == "mit" and got[0].score == 1.0
+    for i, text in enumerate(texts[1:], start=1):
+        assert got[i].score == pytest.approx(share(text)) and got[i].labels == ("long" if share(text) >= 0.7 else ""), i
+    assert got[1].score == 1.0 and got[2].score < 1 and got[4].labels == ""
+
+
 def test_whole_mix_takes_targets_to_the_word(spark):
     """Sources of a few words, a source at its limit, and a third of the rows without an id."""
     rng = random.Random(21)

@@ -12,8 +12,8 @@ Where every row needs its rank, the rows are written in ranges of the value inst
 ``log2`` in the JVM is documented as semi-monotonic, and ``1 + x``, ``x * 2^k``, ``abs`` and ``floor`` are monotone
 in floating point, so a larger value never falls into a lower cell and the results are exact.
 
-A group whose values lie close together may fill one cell: the cells that hold a wanted rank are cut once more, evenly
-between their smallest and largest value. There is one way for groups of all sizes and for any number of groups.
+A cell of one value that holds a wanted rank gives its value at once. A group whose values lie close together may fill
+one cell: the other cells that hold a wanted rank are cut once more, evenly between their smallest and largest value. There is one way for groups of all sizes and for any number of groups.
 
 NULL keys form groups like any other key; NULL and NaN values are skipped.
 """
@@ -89,9 +89,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
     )
     ranks = F.array_distinct(F.array(*[r for t in _target_ranks(probs, F.col("_total")) for r in t[:2]]))
     picked = _holding(cells, keys, "_cell", ranks, F.lit(0))
+    alone, crowded = picked.where(F.col("_low") == F.col("_high")), picked.where(F.col("_low") != F.col("_high"))
     share = F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low"))
     inside = join_null_safe(
-        counted, picked.select(*keys, "_cell", "_start", "_total", "_ranks", "_low", "_high"), [*keys, "_cell"]
+        counted, crowded.select(*keys, "_cell", "_start", "_total", "_ranks", "_low", "_high"), [*keys, "_cell"]
     ).withColumn("_cut", F.coalesce(F.floor(share * F.lit(float(_CUTS_PER_CELL))), F.lit(0)).cast("long"))
     cuts = inside.groupBy(*keys, "_cell", "_cut").agg(
         F.sum("_n").alias("_n"), *[F.any_value(c).alias(c) for c in ("_start", "_total", "_ranks")]
@@ -108,6 +109,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
         .withColumn("_begin", F.col("_end") - F.col("_n"))
         .withColumn("_rank", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_begin")) & (r < F.col("_end")))))
     )
+    found = [*keys, "_total", "_rank", "_v"]
+    hits = alone.withColumn("_rank", F.explode("_ranks")).withColumn("_v", F.col("_low")).select(*found).unionByName(hits.select(*found))
     aggs = [F.max("_total").alias("n")]
     for name, (low, high, _) in zip(quantiles, _target_ranks(probs, F.col("_total"))):
         aggs.append(F.max(F.when(F.col("_rank") == low, F.col("_v"))).alias(f"_low_{name}"))

@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -66,6 +67,7 @@ _TITLED = {"post", "article", "entry", "story", "content", "main"}
 _PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 
 
+@lru_cache(1 << 16)
 def marked_noise(name: str) -> str:
     """noise, comment or empty, for one class, id or role: some part speaks of it and no part of anything else."""
     parts = [p for p in _PARTS.split(name) if p]
@@ -100,9 +102,9 @@ class Parsed:
     mains: list[tuple[int, str]]
 
 
-def _step(parent: int, step: str) -> int:
+def _step(parent: int, step: bytes) -> int:
     """Hash of a path from the hash of its parent; a path is never written out, however deep."""
-    return xxhash.xxh64_intdigest(step.encode("utf-8", "surrogatepass"), parent)
+    return xxhash.xxh64_intdigest(step, parent)
 
 
 def _signed(digest: int) -> int:
@@ -112,20 +114,28 @@ def _signed(digest: int) -> int:
 def parsed(page: str) -> Parsed:
     """The blocks, styles and marks of a page; memory is in proportion to its length."""
     out = Parsed([], [], [(0, "")], [(0, "")])
-    # tag, path, noise mark, main mark, children
-    stack: list[tuple[str, int, int, int, xxhash.xxh64]] = [("", 0, 0, 0, xxhash.xxh64())]
+    # tag, path, noise mark, main mark; beside it the hash of the children so far
+    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
+    children = [0]
     opened: Counter[str] = Counter()
-    text: list[tuple[str, bool]] = []
+    text: list[str] = []
+    linked: list[str] = []
     link = 0  # depth at which a link was opened
 
+    def add(found: str) -> None:
+        text.append(found)
+        if link:
+            linked.append(found)
+
     def flush() -> None:
         if text:
-            words = " ".join(html.unescape("".join(x for x, _ in text)).split())
-            linked = " ".join(html.unescape("".join(x for x, a in text if a)).split()) if any(a for _, a in text) else ""
+            words = " ".join(html.unescape("".join(text)).split())
+            plain = len(words) - (len(" ".join(html.unescape("".join(linked)).split())) if linked else 0)
             text.clear()
+            linked.clear()
             if words:
-                tag, path, mark, main, _ = stack[-1]
-                out.blocks.append(Block(_signed(path), mark, main, words, max(0, len(words) - len(linked)), tag == "h1"))
+                tag, path, mark, main = stack[-1]
+                out.blocks.append(Block(_signed(path), mark, main, words, max(0, plain), tag == "h1"))
 
     def close(depth: int) -> None:
         nonlocal link
@@ -133,12 +143,12 @@ def parsed(page: str) -> Parsed:
         if link > depth:
             link = 0
         while len(stack) > depth:
-            tag, path, _, _, children = stack.pop()
+            tag, path, _, _ = stack.pop()
             opened[tag] -= 1
-            out.styles.append((_signed(path), _signed(children.intdigest())))
+            out.styles.append((_signed(path), _signed(children.pop())))
 
     def depth_of(tags: set[str], stop: set[str]) -> int:
-        if not any(opened[t] for t in tags):
+        if not any(opened.get(t) for t in tags):
             return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in tags:
@@ -151,9 +161,10 @@ def parsed(page: str) -> Parsed:
     while at < len(page):
         token = _TOKEN.search(page, at)
         if token is None:
-            text.append((page[at:], link > 0))
+            add(page[at:])
             break
-        text.append((page[at : token.start()], link > 0))
+        if at < token.start():
+            add(page[at : token.start()])
         at = token.end()
         tag = (token[2] or "").lower()
         if not tag:
@@ -171,11 +182,11 @@ def parsed(page: str) -> Parsed:
         if tag in _RAW and not token[3].endswith("/"):
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             at = end.end()
-            text.append((" ", False))
+            text.append(" ")
             continue
         if tag in _INLINE:
             if tag == "br":
-                text.append((" ", False))
+                text.append(" ")
             link = len(stack) if tag == "a" else link
             continue
         if tag in _VOID:
@@ -186,13 +197,14 @@ def parsed(page: str) -> Parsed:
         if stack[-1][0] == "p" or (tag == "body" and stack[-1][0] == "head"):
             close(len(stack) - 1)
         flush()
-        _, path, mark, main, children = stack[-1]
-        found = [(kind.lower(), a or b or c) for kind, a, b, c in _NAMES.findall(token[3])]
+        _, path, mark, main = stack[-1]
+        found = [(kind.lower(), a or b or c) for kind, a, b, c in _NAMES.findall(token[3])] if token[3] else []
         names = [n for _, value in found for n in value.split()]
         step = f"{tag}.{' '.join(sorted(n.lower() for n in names))}" if names else tag
-        children.update(f"{step} ".encode("utf-8", "surrogatepass"))
+        own = step.encode("utf-8", "surrogatepass")
+        children[-1] = _step(children[-1], own)
         outer = tag in ("body", "html")
-        kinds = set() if outer or tag in _MAIN else {marked_noise(n) for n in names}
+        kinds = {marked_noise(n) for n in names} if names and not outer and tag not in _MAIN else set()
         if tag in _NOISE and not (tag == "header" and main):
             kinds.add("noise")
         if kinds & {"noise", "comment"}:
@@ -201,10 +213,11 @@ def parsed(page: str) -> Parsed:
         elif tag in _MAIN or ("role", "main") in [(k, v.lower()) for k, v in found]:
             out.mains.append((main, "element"))
             main = len(out.mains) - 1
-        elif not outer and any(_MAIN_NAME.fullmatch(n) for n in names):
+        elif names and not outer and any(_MAIN_NAME.fullmatch(n) for n in names):
             out.mains.append((main, "name"))
             main = len(out.mains) - 1
-        stack.append((tag, _step(path, step), mark, main, xxhash.xxh64()))
+        stack.append((tag, _step(path, own), mark, main))
+        children.append(0)
         opened[tag] += 1
     close(1)
     return out

@@ -15,7 +15,7 @@ from duoscreen.session import stage
 from duoscreen.sources.lineitem_screen import ESSENTIALS, LAYOUT
 
 LATE = LAYOUT.late
-SWEEPS = 20
+SWEEPS, LOOSE = 20, 0.2  # where the tables of sweeps end
 
 
 # moderated t
@@ -305,7 +305,7 @@ def moderated_pairs_loess(spark, d):
     return df.select("sample", "gene_pair", "n", "mean_observed", "effect", "variance")
 
 
-# variational model, two sweeps written out
+# variational model, its first sweeps written out
 
 cte(
     "glog",
@@ -404,7 +404,7 @@ cte("gchanges", " UNION ALL ".join(f"SELECT * FROM gchange_{k}" for k in _SWEEPS
 cte(
     "gstop",
     f"""SELECT coalesce(min(sweep), {SWEEPS}) AS stop FROM (SELECT sweep, max(change) AS change FROM gchanges GROUP BY sweep)
-        WHERE change <= 0.2""",
+        WHERE change <= {LOOSE}""",
 )
 for _t in ("gs", "gy"):
     cte(f"{_t}_end", " UNION ALL ".join(f"SELECT t.* FROM {_t}_{k} t WHERE (SELECT stop FROM gstop) = {k}" for k in _SWEEPS))
@@ -416,6 +416,49 @@ cte(
 )
 
 
+# the fit until it has settled: one table of rows, which carry the moments of all their parameters from sweep to sweep
+
+TOLERANCE = 1e-3
+
+
+def _mean(table: str, keys: str, keep: str, names: tuple[str, str], weight: str, value: str, prior: tuple[float, float]) -> str:
+    """Rows with the Gaussian update of one parameter: mean and second moment over the rows of ``keys``, 0 where ``keep`` fails."""
+    over = f"OVER (PARTITION BY {keys})"
+    return f"""SELECT * EXCLUDE (m, p) REPLACE (CASE WHEN {keep} THEN m ELSE 0 END AS {names[0]}, CASE WHEN {keep} THEN m * m + 1 / p ELSE 0 END AS {names[1]})
+      FROM (SELECT *, ({prior[0]} + sum({value}) {over}) / ({prior[1]} + sum({weight}) {over}) AS m, {prior[1]} + sum({weight}) {over} AS p FROM {table})"""
+
+
+_STATE = f"{IDS}, sample, d, rate, tau, xx, xx2, pair, a, a2, b, b2, ya, ya2, yb, yb2, s, s2"
+cte(
+    "gfit",
+    f"""WITH RECURSIVE fit AS (
+      SELECT 0 AS sweep, {_STATE}, 'infinity'::DOUBLE AS change FROM {_at(0, 0, 0, 0, 0)} UNION ALL (
+      WITH fold AS (SELECT * FROM fit WHERE change > {TOLERANCE} AND NOT isnan(change)),
+      ffirst AS ({_mean("fold", "guide1", "gene1 <> 'CTRL'", ("a", "a2"), "tau * ya2", "tau * ya * (d - b * yb - xx * s)", (1, 1))}),
+      fsecond AS ({_mean("ffirst", "guide2", "gene2 <> 'CTRL'", ("b", "b2"), "tau * yb2", "tau * yb * (d - a * ya - xx * s)", (1, 1))}),
+      fgene AS (SELECT gene, sample, m AS y, m * m + 1 / p AS y2 FROM (
+        SELECT gene, sample, 0.01 + sum(w) AS p, sum(r) / (0.01 + sum(w)) AS m FROM (
+          SELECT gene1 AS gene, sample, tau * a2 AS w, tau * a * (d - b * yb - xx * s) AS r FROM fsecond UNION ALL
+          SELECT gene2, sample, tau * b2, tau * b * (d - a * ya - xx * s) FROM fsecond) WHERE gene <> 'CTRL' GROUP BY ALL)),
+      fgenes AS (SELECT r.* REPLACE (coalesce(u.y, 0) AS ya, coalesce(u.y2, 0) AS ya2, coalesce(v.y, 0) AS yb, coalesce(v.y2, 0) AS yb2),
+        r.ya AS old_a, r.yb AS old_b, r.s AS old_s FROM fsecond r LEFT JOIN fgene u ON gene1 = u.gene AND r.sample = u.sample
+        LEFT JOIN fgene v ON gene2 = v.gene AND r.sample = v.sample),
+      fpair AS ({_mean("fgenes", "pair, sample", "pair IS NOT NULL", ("s", "s2"), "tau * xx2", "tau * xx * (d - a * ya - b * yb)", (0, 0.01))}),
+      fboth AS ({_mean("fpair", IDS, "true", ("xx", "xx2"), "tau * s2", "tau * s * (d - a * ya - b * yb)", (1, 1))}),
+      fnoise AS (SELECT * REPLACE (1 / (rate + 0.5 * ((d - a * ya - b * yb - xx * s) ** 2
+          + a2 * ya2 - (a * ya) ** 2 + b2 * yb2 - (b * yb) ** 2 + xx2 * s2 - (xx * s) ** 2)) AS tau),
+        max(greatest(abs(ya - old_a), abs(yb - old_b), abs(s - old_s))) OVER (PARTITION BY sample) AS moved,
+        max(greatest(abs(ya), abs(yb), abs(s))) OVER (PARTITION BY sample) AS size FROM fboth)
+      SELECT sweep + 1, {_STATE}, max(coalesce(moved / nullif(size, 0), 0)) OVER () FROM fnoise)) SELECT * FROM fit""",
+)
+cte("gend", "SELECT * FROM gfit WHERE sweep = (SELECT max(sweep) FROM gfit)")
+cte(
+    "gsettled",
+    """SELECT pair, sample, max(s) AS s, max(CASE WHEN gene1 < gene2 THEN ya ELSE yb END) AS y_a, max(CASE WHEN gene1 < gene2 THEN yb ELSE ya END) AS y_b
+       FROM gend WHERE pair IS NOT NULL GROUP BY pair, sample""",
+)
+
+
 def _vlong(spark, d):
     return stage(var.fold_changes(_stored(spark, d), LAYOUT), "fold-changes")
 
@@ -431,7 +474,7 @@ def variational_start(spark, d):
     return pairs.select(pair_key(F.col("gene_a"), F.col("gene_b")).alias("pair"), "sample", "s")
 
 
-@query("variational_effects", "SELECT pair, sample, s, y_a, y_b FROM geffect", ["s", "y_a", "y_b"])
+@query("variational_effects", "SELECT pair, sample, s, y_a, y_b FROM gsettled", ["s", "y_a", "y_b"])
 def variational_effects(spark, d):
     return var.effects(var.infer(_vlong(spark, d), CONTROL)).select("pair", "sample", "s", "y_a", "y_b")
 
@@ -444,7 +487,7 @@ def variational_effects(spark, d):
     ["mae", "change"],
 )
 def variational_convergence(spark, d):
-    return var.convergence(var.infer(_vlong(spark, d), CONTROL))
+    return var.convergence(var.infer(_vlong(spark, d), CONTROL, SWEEPS, tolerance=LOOSE))
 
 
 @query(
@@ -453,7 +496,7 @@ def variational_convergence(spark, d):
     ["bound"],
 )
 def variational_bound(spark, d):
-    return var.bounds(var.infer(_vlong(spark, d), CONTROL, evidence=True))
+    return var.bounds(var.infer(_vlong(spark, d), CONTROL, SWEEPS, tolerance=LOOSE, evidence=True))
 
 
 @query(
@@ -466,7 +509,7 @@ def variational_bound(spark, d):
     ["strong", "sensitive_lethality", "sensitive_recovery"],
 )
 def variational_scores(spark, d):
-    model = var.infer(_vlong(spark, d), CONTROL)
+    model = var.infer(_vlong(spark, d), CONTROL, SWEEPS, tolerance=LOOSE)
     return var.scores(var.effects(model), var.positive_control_threshold(model, ESSENTIALS))
 
 
@@ -477,4 +520,4 @@ def variational_scores(spark, d):
     ["strong", "sensitive_lethality", "sensitive_recovery"],
 )
 def variational_scores_unbounded(spark, d):
-    return var.scores(var.effects(var.infer(_vlong(spark, d), CONTROL)))
+    return var.scores(var.effects(var.infer(_vlong(spark, d), CONTROL, SWEEPS, tolerance=LOOSE)))

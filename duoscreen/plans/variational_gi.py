@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -282,21 +283,21 @@ def parameter_changes(before: Model, genes: DataFrame, pairs: DataFrame) -> Data
 def infer(
     long: DataFrame,
     control: str,
-    sweeps: int = 20,
+    sweeps: int | None = None,
     priors: Priors = Priors(),
-    tolerance: float = 0.2,
+    tolerance: float = 1e-3,
     part_rows: int = PART_ROWS,
     evidence: bool = False,
 ) -> Model:
-    """Fit the model until, in every cell line, a sweep changes no y or s by more than ``tolerance`` of the largest, or for ``sweeps`` sweeps.
+    """Fit the model until, in every cell line, a sweep changes no y or s by more than ``tolerance`` of the largest.
 
-    This rule does not depend on the unit of the fold changes. The driver reads two numbers per cell line after each sweep
-    and, with ``evidence``, the bound.
+    ``sweeps`` ends it sooner; None sets no limit. This rule does not depend on the unit of the fold changes. The driver
+    reads two numbers per cell line after each sweep and, with ``evidence``, the bound.
     """
     model = initialise(long, control, priors, part_rows)
-    for _ in range(sweeps):
+    for _ in count() if sweeps is None else range(sweeps):
         model = sweep(model, priors, evidence)
-        if all(c <= tolerance for c in model.changes[-1].values()):
+        if not any(c > tolerance for c in model.changes[-1].values()):  # so a change that is not a number ends it too
             break
     return model
 

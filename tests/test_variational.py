@@ -1,9 +1,13 @@
 """Stopping rule and data layout of the variational fit."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from duoscreen.catalog import QUERIES
+from duoscreen.catalog.check import connect
 from duoscreen.plans import variational_gi as var
 from duoscreen.session import stage
 
@@ -86,3 +90,50 @@ def test_bucketed_rows_meet_their_pairs_without_an_exchange(spark, monkeypatch):
     assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(gene_a" in plan
     aggregates = [x for x in plan.split("\n") if "HashAggregate" in x]
     assert len(aggregates) == 4  # by part within the bucket, then over the parts of a pair
+
+
+SMALL = "/root/testdata/sf0.001"
+SETTLED = ["variational_effects"]
+
+
+@pytest.mark.parametrize("name", SETTLED)
+def test_queries_fit_until_settled(spark, monkeypatch, name):
+    """No limit on the sweeps and 0.1 % as the last change, in the code and in the SQL."""
+    asked = {}
+
+    class Stop(Exception):
+        pass
+
+    def infer(*args, **options):
+        asked.update(inspect.signature(fit).bind(*args, **options).arguments)
+        raise Stop
+
+    fit = var.infer
+    monkeypatch.setattr(var, "infer", infer)
+    with pytest.raises(Stop):
+        QUERIES[name].run(spark, SMALL)
+    default = {k: p.default for k, p in inspect.signature(fit).parameters.items()}
+    assert (default | asked)["sweeps"] is None and (default | asked)["tolerance"] <= 1e-3
+    # the SQL's last sweep moved nothing by more than that
+    head, tail = QUERIES[name].sql.rsplit("\nSELECT * REPLACE", 1)
+    sweeps, change = connect(SMALL).execute(head + "\nSELECT max(sweep), min(change) FROM gend").fetchone()
+    assert "gend" in head and tail and sweeps > 20 and change <= 1e-3
+
+
+def test_fit_settles_without_a_limit(monkeypatch):
+    """Changes that shrink by a tenth: 66 sweeps until the largest is a thousandth; a change that is not a number ends the fit."""
+
+    class Fit:
+        changes = []
+
+    def sweep(model, priors, evidence):
+        after = Fit()
+        after.changes = [*model.changes, step(len(model.changes) + 1)]
+        return after
+
+    monkeypatch.setattr(var, "initialise", lambda *a: Fit())
+    monkeypatch.setattr(var, "sweep", sweep)
+    step = lambda n: {"K": 0.9**n, "L": 0.5**n}
+    assert len(var.infer(None, "CTRL").changes) == 66 and len(var.infer(None, "CTRL", 4).changes) == 4
+    step = lambda n: {"K": float("nan")}
+    assert len(var.infer(None, "CTRL").changes) == 1

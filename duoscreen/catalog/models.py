@@ -457,6 +457,11 @@ cte(
     """SELECT pair, sample, max(s) AS s, max(CASE WHEN gene1 < gene2 THEN ya ELSE yb END) AS y_a, max(CASE WHEN gene1 < gene2 THEN yb ELSE ya END) AS y_b
        FROM gend WHERE pair IS NOT NULL GROUP BY pair, sample""",
 )
+cte(
+    "ggene",
+    """SELECT gene, sample, max(y) AS y FROM (SELECT gene1 AS gene, sample, ya AS y FROM gend UNION ALL SELECT gene2, sample, yb FROM gend)
+       WHERE gene <> 'CTRL' GROUP BY gene, sample""",
+)
 
 
 def _vlong(spark, d):
@@ -504,12 +509,12 @@ def variational_bound(spark, d):
     f"""SELECT pair, e.sample, abs(s) - greatest(abs(y_a), abs(y_b)) AS strong,
           CASE WHEN least(y_a, y_b) >= threshold THEN least(y_a, y_b) - (y_a + y_b + s) END AS sensitive_lethality,
           CASE WHEN least(y_a, y_b) < threshold THEN (y_a + y_b + s) - least(y_a, y_b) END AS sensitive_recovery
-        FROM geffect e JOIN (SELECT sample, median(y) AS threshold FROM gy_end WHERE gene IN ('{"', '".join(ESSENTIALS)}') GROUP BY sample) t
+        FROM gsettled e JOIN (SELECT sample, median(y) AS threshold FROM ggene WHERE gene IN ('{"', '".join(ESSENTIALS)}') GROUP BY sample) t
           ON e.sample = t.sample""",
     ["strong", "sensitive_lethality", "sensitive_recovery"],
 )
 def variational_scores(spark, d):
-    model = var.infer(_vlong(spark, d), CONTROL, SWEEPS, tolerance=LOOSE)
+    model = var.infer(_vlong(spark, d), CONTROL)
     return var.scores(var.effects(model), var.positive_control_threshold(model, ESSENTIALS))
 
 

@@ -406,14 +406,6 @@ cte(
     f"""SELECT coalesce(min(sweep), {SWEEPS}) AS stop FROM (SELECT sweep, max(change) AS change FROM gchanges GROUP BY sweep)
         WHERE change <= {LOOSE}""",
 )
-for _t in ("gs", "gy"):
-    cte(f"{_t}_end", " UNION ALL ".join(f"SELECT t.* FROM {_t}_{k} t WHERE (SELECT stop FROM gstop) = {k}" for k in _SWEEPS))
-cte(
-    "geffect",
-    """SELECT p.pair, p.sample, s, a.y AS y_a, b.y AS y_b FROM gs_end p
-        LEFT JOIN gy_end a ON split_part(pair, '_', 1) = a.gene AND p.sample = a.sample
-        LEFT JOIN gy_end b ON split_part(pair, '_', 2) = b.gene AND p.sample = b.sample""",
-)
 
 
 # the fit until it has settled: one table of rows, which carry the moments of all their parameters from sweep to sweep
@@ -521,8 +513,8 @@ def variational_scores(spark, d):
 @query(
     "variational_scores_unbounded",
     """SELECT pair, sample, abs(s) - greatest(abs(y_a), abs(y_b)) AS strong, least(y_a, y_b) - (y_a + y_b + s) AS sensitive_lethality,
-         NULL::DOUBLE AS sensitive_recovery FROM geffect""",
+         NULL::DOUBLE AS sensitive_recovery FROM gsettled""",
     ["strong", "sensitive_lethality", "sensitive_recovery"],
 )
 def variational_scores_unbounded(spark, d):
-    return var.scores(var.effects(var.infer(_vlong(spark, d), CONTROL, SWEEPS, tolerance=LOOSE)))
+    return var.scores(var.effects(var.infer(_vlong(spark, d), CONTROL)))

@@ -93,7 +93,7 @@ def test_bucketed_rows_meet_their_pairs_without_an_exchange(spark, monkeypatch):
 
 
 SMALL = "/root/testdata/sf0.001"
-SETTLED = ["variational_effects", "variational_scores"]
+SETTLED = ["variational_effects", "variational_scores", "variational_scores_unbounded"]
 
 
 @pytest.mark.parametrize("name", SETTLED)
